@@ -404,9 +404,6 @@ SOURCE_LABELS = {
     "chat": "Chat", "voice": "🎙️", "document": "Document",
 }
 CHUNK_CHARS = 1200
-CHUNKS_MAX = 100
-EMAIL_BODY_MAX = 20000
-DOCUMENT_TEXT_MAX = 500000
 
 # Suggestion confidences.
 CONFIDENCE_NAME_MATCH = 0.55
