@@ -135,7 +135,7 @@ def calendar(spark: SparkSession, sf: str) -> DataFrame:
         "concat_ws('-', 'cal', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id",
         "concat('order ', l_orderkey) AS title", "l_shipdate AS starts_at",
         "l_returnflag AS location", "l_linestatus AS description",
-        "array_distinct(transform(array(l_suppkey, l_partkey % 100, l_orderkey % 150), x -> concat('p', x))) AS person_ids")
+        "array_sort(array_distinct(transform(array(l_suppkey, l_partkey % 100, l_orderkey % 150), x -> concat('p', x)))) AS person_ids")
 
 
 def calendar_bridge(spark: SparkSession, sf: str) -> DataFrame:
@@ -271,7 +271,7 @@ FROM customer""",
     "v_calendar": """
 SELECT concat_ws('-', 'cal', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, 'order ' || l_orderkey AS title,
        l_shipdate AS starts_at, l_returnflag AS location, l_linestatus AS description,
-       list_distinct(['p' || l_suppkey, 'p' || (l_partkey % 100), 'p' || (l_orderkey % 150)]) AS person_ids
+       list_sort(list_distinct(['p' || l_suppkey, 'p' || (l_partkey % 100), 'p' || (l_orderkey % 150)])) AS person_ids
 FROM lineitem""",
     "v_bridge": "SELECT id, title, starts_at, unnest(person_ids) AS person_id FROM v_calendar",
     "v_emails": """

@@ -6,6 +6,7 @@ import glob
 import math
 import os
 import sys
+import threading
 import time
 
 import duckdb
@@ -37,15 +38,28 @@ def rows_of(columns, rows):
     return sorted(tuple(cell(r[i]) for i in order) for r in rows)
 
 
+LIMIT = 90
+
+
+def guarded(stop, work):
+    """Run ``work``; call ``stop`` when it takes too long."""
+    timer = threading.Timer(LIMIT, stop)
+    timer.start()
+    try:
+        return work()
+    finally:
+        timer.cancel()
+
+
 def compare(spark, con, sf, name, fn, sql):
     start = time.time()
     df = fn(spark, sf)
-    got = [tuple(r) for r in df.collect()]
+    got = [tuple(r) for r in guarded(spark.sparkContext.cancelAllJobs, df.collect)]
     took = time.time() - start
     if sql is None:
         return "ROWS", len(got), took, ""
     start = time.time()
-    cur = con.execute(sql)
+    cur = guarded(con.interrupt, lambda: con.execute(sql))
     columns = [d[0] for d in cur.description]
     want = cur.fetchall()
     oracle = time.time() - start
@@ -54,7 +68,8 @@ def compare(spark, con, sf, name, fn, sql):
     a, b = rows_of(df.columns, got), rows_of(columns, want)
     if a == b:
         return "OK", len(got), took, f"oracle {oracle:.1f}s"
-    left, right = [r for r in a if r not in set(b)][:3], [r for r in b if r not in set(a)][:3]
+    in_a, in_b = set(a), set(b)
+    left, right = [r for r in a if r not in in_b][:3], [r for r in b if r not in in_a][:3]
     return "DIFF", len(got), took, f"{len(a)} vs {len(b)}\n   spark {left}\n   oracle {right}"
 
 
@@ -70,7 +85,9 @@ def main():
     con = connect(sf)
     oracles = entry.oracle_sql()
     bad = 0
+    print(flush=True)
     for name, fn in entry.queries().items():
+        print("->", name, file=sys.stderr, flush=True)
         if wanted and not any(w in name for w in wanted):
             continue
         try:
