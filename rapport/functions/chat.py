@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rapport import constants as K
 from rapport.functions.media import media_filename_key, media_kind
-from rapport.functions.text import clean_text, java_quote, strip
+from rapport.functions.text import clean_text, java_quote, let, strip
 
 # A new message starts at the beginning of a line with either header form.
 CHAT_HEADER = (
@@ -60,19 +60,22 @@ def attachment_names(body: Column) -> Column:
 
 def attachments(body: Column) -> Column:
     """One entry per distinct file key; a bare 'media omitted' gives one unnamed entry."""
-    names = attachment_names(body)
-    keys = F.transform(names, media_filename_key)
-    first = F.filter(names, lambda n, i: F.array_position(keys, media_filename_key(n)) == i + 1)
-    listed = F.transform(first, lambda n: F.struct(
-        media_kind(n).alias("kind"), n.alias("filename"),
-        media_filename_key(n).alias("filename_key"), body.alias("label")))
+    def listed(inputs: Column) -> Column:
+        keys = inputs["keys"]
+        first = F.filter(inputs["names"], lambda n, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+        return F.transform(first, lambda n: F.struct(
+            media_kind(n).alias("kind"), n.alias("filename"),
+            media_filename_key(n).alias("filename_key"), body.alias("label")))
+
+    named = let(attachment_names(body), lambda names: let(
+        F.struct(names.alias("names"), F.transform(names, media_filename_key).alias("keys")), listed))
     null = F.lit(None).cast("string")
     omitted = F.array(F.struct(F.lit("media").alias("kind"), null.alias("filename"),
                                null.alias("filename_key"), body.alias("label")))
     lost = body.rlike(K.MEDIA_OMITTED) | body.rlike(K.MEDIA_WORD_ONLY)
-    return (F.when(F.size(names) > 0, listed)
-            .when(lost, omitted)
-            .otherwise(F.array().cast(f"array<{ATTACHMENT}>")))
+    return let(named, lambda found: (
+        F.when(F.size(found) > 0, found).when(lost, omitted)
+        .otherwise(F.array().cast(f"array<{ATTACHMENT}>"))))
 
 
 def caption(body: Column) -> Column:

@@ -20,6 +20,12 @@ def lit_map(mapping: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also where the body uses it
+    inside a lambda (Spark would otherwise evaluate it there for every element)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def java_quote(text: str) -> str:
     """Escape every regex metacharacter, for patterns assembled from fixed values."""
     return "".join("\\" + ch if ch in r"\.^$|?*+()[]{}-/" else ch for ch in text)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rapport import constants as K
-from rapport.functions.text import norm_name_unicode
+from rapport.functions.text import let, norm_name_unicode
 
 _FILLER = sorted(set(K.TOPIC_STOPWORDS + K.TOPIC_CHAT_FILLER + K.TOPIC_SYSTEM_EVENTS
                      + K.TOPIC_FILLER_STEMS))
@@ -88,15 +88,28 @@ def extract_topics(text: Column, limit: int = 5) -> Column:
         lambda p: ~is_noise_topic(p))), 1, limit)
     tokens = F.filter(F.regexp_extract_all(F.lower(text), F.lit(K.TOPIC_TOKEN), F.lit(0)),
                       lambda w: ~w.isin(_FILLER))
-    line = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
-    repeated = F.transform(runs(tokens, more_than_once=True), lambda r: F.struct(
-        (-run_count(r)).alias("n"),
-        F.instr(line, F.concat(F.lit(" "), run_word(r), F.lit(" "))).alias("at"),
-        run_word(r).alias("w")))
-    ranked = F.transform(F.slice(F.array_sort(repeated), 1, limit * 2), lambda s: s["w"])
-    low = F.transform(phrases, F.lower)
-    fresh = F.filter(ranked, lambda w: ~F.array_contains(low, w))
-    return F.slice(F.concat(phrases, fresh), 1, limit)
+    return let(phrases, lambda found: F.when(F.size(found) >= limit, found).otherwise(
+        F.slice(F.concat(found, _repeated_words(tokens, found, limit)), 1, limit)))
+
+
+def _repeated_words(tokens: Column, phrases: Column, limit: int) -> Column:
+    """Words that occur at least twice, by count then first appearance, without
+    those already among the phrases."""
+    def ranked(inputs: Column) -> Column:
+        line = inputs["line"]
+        entries = F.transform(inputs["runs"], lambda r: F.struct(
+            (-run_count(r)).alias("n"),
+            F.instr(line, F.concat(F.lit(" "), run_word(r), F.lit(" "))).alias("at"),
+            run_word(r).alias("w")))
+        return F.transform(F.slice(F.array_sort(entries), 1, limit * 2), lambda s: s["w"])
+
+    def inputs(t: Column) -> Column:
+        line = F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))
+        return F.struct(line.alias("line"), runs(t, more_than_once=True).alias("runs"))
+
+    words_found = let(tokens, lambda t: let(inputs(t), ranked))
+    return let(F.transform(phrases, F.lower), lambda low: F.filter(
+        words_found, lambda w: ~F.array_contains(low, w)))
 
 
 def content_terms_desktop(c: Column) -> Column:

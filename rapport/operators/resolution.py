@@ -380,10 +380,10 @@ def suggestion_evidence(suggestions: DataFrame, people: DataFrame, stored: DataF
                                    F.col("n").alias(f"interactions_{p}"), F.col("last").alias(f"last_{p}"))
     pairs = suggestions.join(rename("a"), "person_a_id", "left").join(rename("b"), "person_b_id", "left")
     by_person = messages.where(F.col("content") != "").select(
-        F.col("person_id").alias("key"), "id", "content", "sent_at")
+        F.col("person_id").alias("key"), F.col("id").alias("message_id"), "content", "sent_at")
     by_label = messages.where(F.col("content") != "").select(
-        F.lower("sender_label").alias("key"), "id", "content", "sent_at")
-    order = [F.col("sent_at").desc_nulls_last(), F.asc("id")]
+        F.lower("sender_label").alias("key"), F.col("id").alias("message_id"), "content", "sent_at")
+    order = [F.col("sent_at").desc_nulls_last(), F.asc("message_id")]
     newest = lambda df: top_per_group(df, ["key"], order, limit, "sample")
     duplicates = pairs.where(F.col("person_b_id").isNotNull()).withColumn("key", F.col("person_b_id"))
     labels = pairs.where(F.col("person_b_id").isNull()).withColumn("key", F.lower("label"))
@@ -392,7 +392,7 @@ def suggestion_evidence(suggestions: DataFrame, people: DataFrame, stored: DataF
     return (out.withColumn("sample_text", F.substring("content", 1, 220))
             .withColumn("suggestion_kind", F.when(F.col("person_b_id").isNull(), "name_match")
                         .otherwise("duplicate"))
-            .drop("key", "content").withColumnRenamed("id", "message_id"))
+            .drop("key", "content"))
 
 
 # -- merging ---------------------------------------------------------------------------------

@@ -132,39 +132,36 @@ def keyword_search(questions: DataFrame, corpus: DataFrame, k: int = 12,
         "qid", "id", "score", "rank")
 
 
-def _grams(text: Column, n: int) -> Column:
-    low = F.lower(text)
-    count = F.length(low) - n + 1
-    return F.when(count > 0, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), count), lambda i: F.substring(low, i, F.lit(n))))
-    ).otherwise(F.array().cast("array<string>"))
+def _trigrams(c: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)(?=(.{3}))"), F.lit(1)))
 
 
 def substring_search(questions: DataFrame, corpus: DataFrame, k: int = 12) -> DataFrame:
     """Memories whose text contains a term of the question anywhere (also inside
     words), ranked 1, 1/2, 1/3, ... by id.
 
-    Terms and texts meet on character trigrams instead of in a cross join: a text
-    containing the term contains its rarest trigram, and the containment test
-    settles the rest. Terms are three characters or longer by construction.
+    A term holds word characters only, so it lies inside one word of the text.
+    Terms meet the distinct words of the corpus on character trigrams (a word that
+    contains the term contains the term's rarest trigram; a containment test
+    settles the rest), and the words found lead back to the memories. No cross
+    join, and the vocabulary grows far slower than the corpus.
     """
     terms = question_terms(questions)
     needles = terms.select("term").distinct().where(F.length("term") >= 3)
-    needle_grams = needles.select("term", F.explode(_grams(F.col("term"), 3)).alias("gram"))
     kept = [c for c in (*FILTERS, "occurred_at") if c in corpus.columns]
-    text = index_text(corpus)
-    grams = (corpus.select("id", F.explode(_grams(text, 3)).alias("gram"))
-             .join(needle_grams.select("gram").distinct(), "gram", "left_semi"))
-    common = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = (needle_grams.join(common, "gram", "left")
-              .groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram")))
-    candidates = grams.join(rarest, "gram").select("id", "term")
-    texts = corpus.select("id", *kept, F.lower(text).alias("_text"))
-    found = (candidates.join(texts, "id").where(F.contains(F.col("_text"), F.col("term")))
-             .select("id", "term", *kept))
-    asked = terms.join(questions.select("qid", *_filter_columns(questions)), "qid")
-    pairs = (found.join(asked, "term").where(_passes(questions, corpus.columns))
-             .select("qid", "id").distinct())
+    held = corpus.select("id", *kept, F.explode(F.array_distinct(words(index_text(corpus)))).alias("word"))
+    grams = (held.select("word").distinct()
+             .select("word", F.explode(_trigrams(F.col("word"))).alias("gram")))
+    asked_grams = needles.select("term", F.explode(_trigrams(F.col("term"))).alias("gram"))
+    common = (grams.join(asked_grams.select("gram").distinct(), "gram", "left_semi")
+              .groupBy("gram").agg(F.count("*").alias("n")))
+    rarest = (asked_grams.join(common, "gram")
+              .groupBy("term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram")))
+    found = (grams.join(rarest, "gram").where(F.contains("word", F.col("term"))).select("word", "term"))
+    asked = found.join(terms, "term").select("word", "qid").distinct()
+    filters = questions.select("qid", *_filter_columns(questions))
+    pairs = (held.join(asked, "word").join(filters, "qid")
+             .where(_passes(questions, corpus.columns)).select("qid", "id").distinct())
     ranked = top_per_group(pairs, ["qid"], [F.asc("id")], k)
     return ranked.select("qid", "id", F.round(1.0 / F.col("rank"), 6).alias("score"), "rank")
 

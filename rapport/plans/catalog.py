@@ -1,5 +1,5 @@
 """All registered queries: name -> (query, SQL twin or None)."""
 
-from rapport.plans import catalog_ledger
+from rapport.plans import catalog_ledger, catalog_search
 
-QUERIES = {**catalog_ledger.QUERIES}
+QUERIES = {**catalog_ledger.QUERIES, **catalog_search.QUERIES}

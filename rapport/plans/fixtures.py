@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 
 from rapport.functions.text import message_id
 from rapport.functions.topics import extract_topics_desktop
-from rapport.session import prepare
+from rapport.session import prepare, spread
 
 AS_OF = "2024-01-25 00:00:00"            # ledger clock: the last days lie in the future
 AS_OF_CALENDAR = "2000-01-01 00:00:00"
 SINCE = "2024-01-11 00:00:00"
 
 
+# Tables whose rows are long texts: per-row work dominates, so all cores share it.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     prepare(spark)
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(rows) if name in TEXT_TABLES else rows
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
@@ -268,6 +273,15 @@ FROM v_corpus""",
 SELECT c_custkey AS qid, replace([{templates}][CAST(c_custkey % {n_templates} AS INTEGER) + 1], '{{}}',
        lower(c_mktsegment) || ' ' || (c_custkey % 45)) AS question
 FROM customer""",
+    "v_names": """
+SELECT name, first(person_id ORDER BY created_at, person_id) AS person_id, min(created_at) AS created_at FROM (
+  SELECT person_id, created_at, lower(display_name) AS name FROM v_people UNION ALL
+  SELECT person_id, created_at, lower(aliases[1]) FROM v_people) GROUP BY name""",
+    "v_hits": """
+SELECT q.qid, lower(q.question) AS low, n.* FROM v_asks q JOIN v_names n ON contains(lower(q.question), n.name)""",
+    "v_mention": """
+SELECT qid, first(person_id ORDER BY length(name) DESC, created_at, person_id) AS person_id FROM v_hits
+WHERE regexp_matches(low, '\\b' || regexp_escape(name) || '\\b') GROUP BY qid""",
     "v_calendar": """
 SELECT concat_ws('-', 'cal', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, 'order ' || l_orderkey AS title,
        l_shipdate AS starts_at, l_returnflag AS location, l_linestatus AS description,
@@ -372,7 +386,7 @@ def with_views(body: str) -> str:
         view = VIEWS[name]
         for key, value in fills.items():
             view = view.replace("{" + key + "}", value)
-        ctes.append(f"{name} AS ({view.replace('{{}}', '{}')})")
+        ctes.append(f"{name} AS {'MATERIALIZED ' if name == 'v_hits' else ''}({view.replace('{{}}', '{}')})")
     if not ctes:
         return body
     joiner = ", " if body.lstrip().upper().startswith("WITH ") else " "

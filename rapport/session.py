@@ -50,3 +50,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def at_most(df: DataFrame, rows: int) -> bool:
     """True when ``df`` holds no more than ``rows`` rows (reads at most rows + 1)."""
     return df.limit(rows + 1).count() <= rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a bare scan at least one partition per core before heavy per-row work.
+
+    A scan that already has enough partitions (any table of more than a few
+    files or row groups) comes back unchanged, so large tables are never
+    shuffled for this."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

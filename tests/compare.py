@@ -38,7 +38,7 @@ def rows_of(columns, rows):
     return sorted(tuple(cell(r[i]) for i in order) for r in rows)
 
 
-LIMIT = 90
+LIMIT = 40
 
 
 def guarded(stop, work):
