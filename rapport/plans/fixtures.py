@@ -197,7 +197,7 @@ def chat_files(spark: SparkSession, sf: str) -> DataFrame:
     """Chat exports written from the conversations: one file per conversation and
     run of 50 turns; bodies with line breaks become continuation lines."""
     rows = messages(spark, sf).withColumn("_line", F.concat(
-        F.date_format("sent_at", "M/d/yy, h:mm a"), F.lit(" - "), F.col("sender_label"), F.lit(": "),
+        F.date_format("sent_at", "d/M/yy, h:mm a"), F.lit(" - "), F.col("sender_label"), F.lit(": "),
         F.col("content")))
     lines = F.array_sort(F.collect_list(F.struct("seq", "_line")))
     return (rows.groupBy("conversation_id", F.floor(F.col("seq") / 50).alias("part"))

@@ -24,17 +24,29 @@ from rapport.sources.files import file_stem
 ROWS = "path string, row_no int, columns array<string>, fields map<string,string>"
 
 
+EMIT = 20000          # rows per Arrow batch handed back to Spark
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["path", "row_no", "columns", "fields"])
+
+
 def csv_rows(files: DataFrame) -> DataFrame:
     """Rows of CSV files (path, text); quoting and embedded line breaks respected.
     Files of one shape are read faster with ``spark.read.csv`` and :func:`frame_rows`."""
     def parse(batches):
         for pdf in batches:
+            out = []
             for path, text in zip(pdf["path"], pdf["text"]):
                 reader = csv.DictReader(io.StringIO(text or ""))
                 names = [n for n in (reader.fieldnames or []) if n is not None]
-                out = [(path, i, names, {k: v for k, v in row.items() if isinstance(k, str) and isinstance(v, str)})
-                       for i, row in enumerate(reader)]
-                yield pd.DataFrame(out, columns=["path", "row_no", "columns", "fields"])
+                for i, row in enumerate(reader):
+                    out.append((path, i, names, {k: v for k, v in row.items()
+                                                 if isinstance(k, str) and isinstance(v, str)}))
+                    if len(out) >= EMIT:
+                        yield _frame(out)
+                        out = []
+            yield _frame(out)
 
     return files.select("path", "text").mapInPandas(parse, ROWS)
 
@@ -74,6 +86,7 @@ def html_table_rows(files: DataFrame) -> DataFrame:
     """Rows of the first HTML table; a first row without header cells is data."""
     def parse(batches):
         for pdf in batches:
+            out = []
             for path, text in zip(pdf["path"], pdf["text"]):
                 table = _Table()
                 table.feed(text or "")
@@ -82,8 +95,11 @@ def html_table_rows(files: DataFrame) -> DataFrame:
                     continue
                 names = [c or f"col{i}" for i, c in enumerate(rows[0][1])]
                 data = rows[1:] if rows[0][0] else rows
-                yield pd.DataFrame([(path, i, names, dict(zip(names, cells))) for i, (_, cells) in enumerate(data)],
-                                   columns=["path", "row_no", "columns", "fields"])
+                out.extend((path, i, names, dict(zip(names, cells))) for i, (_, cells) in enumerate(data))
+                if len(out) >= EMIT:
+                    yield _frame(out)
+                    out = []
+            yield _frame(out)
 
     return files.select("path", "text").mapInPandas(parse, ROWS)
 
