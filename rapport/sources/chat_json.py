@@ -70,11 +70,15 @@ def parse_telegram(files: DataFrame) -> DataFrame:
 
 
 def _documents(text: Column) -> Column:
-    """The JSON document as a list of items; NDJSON when it is not one document."""
-    whole = F.try_parse_json(strip(text))
-    lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda line: F.try_parse_json(F.trim(line))),
+    """The JSON document as a list of items. A first line that is complete JSON with
+    more lines after it makes the text NDJSON, read line by line."""
+    body = strip(text)
+    first = F.substring_index(body, "\n", 1)
+    whole = F.try_parse_json(body)
+    lines = F.filter(F.transform(F.split(body, r"\r?\n"), lambda line: F.try_parse_json(F.trim(line))),
                      lambda v: v.isNotNull())
-    return F.coalesce(get(whole, "$", LIST), F.when(whole.isNotNull(), F.array(whole)), lines)
+    many = whole.isNull() | (F.contains(body, F.lit("\n")) & F.try_parse_json(first).isNotNull())
+    return F.when(many, lines).otherwise(F.coalesce(get(whole, "$", LIST), F.array(whole)))
 
 
 def _threads(item: Column) -> Column:
