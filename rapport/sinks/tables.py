@@ -36,7 +36,7 @@ class Archive:
 
     def write(self, name: str, rows: DataFrame, batch: int) -> DataFrame:
         """Write one batch and hand back what was written, its lineage cut."""
-        columns = [f.strip().split(" ")[0] for f in _fields(TABLES[name])]
+        columns = [f.strip().split(" ")[0] for f in split_ddl(TABLES[name])]
         for column in columns:
             if column not in rows.columns:
                 rows = rows.withColumn(column, F.lit(None))
@@ -45,6 +45,13 @@ class Archive:
         out.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch}")
         return self.batch(name, batch)
 
+    def stage(self, name: str, rows: DataFrame, batch: int) -> DataFrame:
+        """Keep an intermediate result of a batch as a table and read it back, so
+        later steps start from files instead of a long plan."""
+        path = f"{self.root}/_staging/{name}/batch={batch}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def insert_new(self, name: str, rows: DataFrame, batch: int, order: list[str]) -> DataFrame:
         """Insert-if-new by the table's key; first write wins."""
         key = KEYS[name]
@@ -58,7 +65,8 @@ class Archive:
         return latest(rows, key, "batch").drop("batch")
 
 
-def _fields(ddl: str) -> list[str]:
+def split_ddl(ddl: str) -> list[str]:
+    """Top-level column definitions of a DDL string."""
     out, depth, current = [], 0, ""
     for ch in ddl:
         depth += (ch == "<") - (ch == ">")

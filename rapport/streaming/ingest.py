@@ -63,13 +63,13 @@ def ingest(archive: Archive, files: DataFrame, batch: int, as_of, root: str = ""
     before = lambda name: archive.read(name, before=batch)
     fresh = unprocessed(files.where(F.length("content") > 0), before("processed"))
     fresh = fresh.persist()
-    processed = archive.write("processed", fresh.select("checksum", "path"), batch)
+    archive.write("processed", fresh.select("checksum", "path"), batch)
     work = unpacked(fresh.drop("checksum"), root).persist()
-    parsed = parse_all(work.where("verdict = 'ok'"))
+    parsed = parse_all(work.where("verdict = 'ok'"), lambda name, rows: archive.stage(name, rows, batch))
 
     people, identities = before("people"), before("identities")
     aliases = before("aliases")
-    contacts = R.resolve_contacts(parsed["contacts"], people, identities)
+    contacts = archive.stage("contacts", R.resolve_contacts(parsed["contacts"], people, identities), batch)
     created = ntz(as_of)
     met = R.contact_people(contacts).withColumn("created_at", created)
     named = archive.write("identities", R.contact_identities(contacts).join(
@@ -82,7 +82,7 @@ def ingest(archive: Archive, files: DataFrame, batch: int, as_of, root: str = ""
                                         F.col("from_address").alias("email")))
               .unionByName(meetings.select(F.explode("participants").alias("label"),
                                            F.lit(None).cast("string").alias("email"))))
-    resolved = R.resolve_senders(labels, everyone, known_ids, aliases=aliases).persist()
+    resolved = archive.stage("senders", R.resolve_senders(labels, everyone, known_ids, aliases=aliases), batch)
     archive.write("aliases", R.new_aliases(resolved, everyone), batch)
     archive.write("suggestions", R.name_match_suggestions(resolved), batch)
     archive.insert_new("people", met.unionByName(R.new_people(resolved).withColumn("created_at", created)),
@@ -109,7 +109,7 @@ def ingest(archive: Archive, files: DataFrame, batch: int, as_of, root: str = ""
     profiles = archive.write("profiles", P.refresh_profiles(
         touched, people, archive.read("events"), archive.read("memories"), archive.read("calendar"), as_of), batch)
     _finish(archive, work, batch, profiles)
-    for frame in (fresh, work, resolved):
+    for frame in (fresh, work):
         frame.unpersist()
 
 
