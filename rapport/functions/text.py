@@ -58,9 +58,13 @@ def repair_mojibake(c: Column, rounds: int = 1) -> Column:
     """Undo UTF-8 that was decoded as Latin-1; text that is not such a mistake
     comes back unchanged. ``rounds`` repeats the repair for doubly broken text."""
 
+    # Every non-ASCII UTF-8 sequence has continuation bytes 0x80-0xBF, so text
+    # without such characters cannot be the mistake.
+    suspicious = c.rlike(r"[\x80-\xBF]")
+
     def once(text: Column) -> Column:
         candidate = F.when(
-            text.rlike(r"[\x80-\xFF]") & text.rlike(r"^[\x00-\xFF]*$"),
+            text.rlike(r"[\x80-\xBF]") & text.rlike(r"^[\x00-\xFF]*$"),
             F.try_validate_utf8(F.encode(text, "ISO-8859-1").cast("string")),
         )
         fixed = F.when((candidate != "") & ~candidate.contains("\ufffd"), candidate)
@@ -68,7 +72,8 @@ def repair_mojibake(c: Column, rounds: int = 1) -> Column:
 
     if rounds == 1:
         return once(c)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), c, lambda acc, _: once(acc))
+    return F.when(suspicious, F.aggregate(
+        F.sequence(F.lit(1), F.lit(rounds)), c, lambda acc, _: once(acc))).otherwise(c)
 
 
 def norm_name(c: Column) -> Column:

@@ -19,7 +19,8 @@ def topic_counts(memories: DataFrame, people: DataFrame, as_of) -> DataFrame:
     now = ntz(as_of)
     active = (F.col("occurred_at") >= days_ago(now, 14)) & (F.col("occurred_at") <= now)
     counts = (memories.where(has_person(F.col("person_id")))
-              .select("person_id", "occurred_at", F.explode("topics").alias("topic"))
+              .select("person_id", "occurred_at", F.explode_outer("topics").alias("topic"))
+              .where("topic IS NOT NULL")
               .groupBy("person_id", "topic")
               .agg(F.count("*").alias("n"), F.count_if(active).alias("active_n"),
                    F.max("occurred_at").alias("last_seen"))

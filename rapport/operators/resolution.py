@@ -109,7 +109,7 @@ def name_mentions(texts: DataFrame, people: DataFrame) -> DataFrame:
 
     asked = (texts.select("qid", F.lower("question").alias("low"), text_words.alias("_w"))
              .where(F.size("_w") > 0)
-             .select("qid", "low", F.explode(grams(F.col("_w"))).alias("gram")))
+             .select("qid", "low", F.explode_outer(grams(F.col("_w"))).alias("gram")).where("gram IS NOT NULL"))
     pairs = asked.join(keyed, "gram")
     bounded = F.regexp_like("low", F.concat(F.lit(r"(?U)\b\Q"), F.col("name"), F.lit(r"\E\b")))
     return (pairs.where(F.contains("low", F.col("name")) & bounded)

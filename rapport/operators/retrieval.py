@@ -22,12 +22,15 @@ from rapport.functions.evidence import evidence_entry, matched_by
 from rapport.functions.text import strip, trim_at_word
 from rapport.functions.topics import content_terms, run_count, run_word, runs, stem, words
 from rapport.operators.ranking import top_per_group
+from rapport.session import at_most
 
 FILTERS = ("person_id", "source", "kind")
 # Question tables up to this many rows travel to the corpus; larger ones are
 # matched block against block.
 QUESTION_BLOCK = 2048
 CORPUS_BLOCK = 8192
+# (question, term) rows up to this many are broadcast: about ten megabytes.
+BROADCAST_TERMS = 200_000
 
 
 # -- index ----------------------------------------------------------------------
@@ -46,12 +49,15 @@ def postings(corpus: DataFrame) -> DataFrame:
     """(id, term, tf, doc_len, filter columns...): the inverted index.
 
     Counting happens inside each row (equal tokens are adjacent once sorted), so
-    building it needs no shuffle at all.
+    building it needs no shuffle at all. (``explode_outer`` with a filter after it:
+    for a plain ``explode`` Spark adds a size test below it and computes the tokens
+    twice.)
     """
     kept = [c for c in (*FILTERS, "occurred_at") if c in corpus.columns]
     tokens = F.transform(words(index_text(corpus)), stem)
     return (corpus.select("id", *kept, tokens.alias("_tokens"))
-            .select("id", *kept, F.size("_tokens").alias("doc_len"), F.explode(runs(F.col("_tokens"))).alias("_run"))
+            .select("id", *kept, F.size("_tokens").alias("doc_len"), F.explode_outer(runs(F.col("_tokens"))).alias("_run"))
+            .where("_run IS NOT NULL")
             .select("id", run_word(F.col("_run")).alias("term"), run_count(F.col("_run")).alias("tf"),
                     F.col("doc_len").cast("bigint").alias("doc_len"), *kept))
 
@@ -106,7 +112,11 @@ def keyword_scores(questions: DataFrame, corpus: DataFrame, index: DataFrame | N
     index = postings(corpus) if index is None else index
     size = corpus_size(corpus) if size is None else size
     terms = question_terms(questions)
-    asked = index.join(terms.select("term").distinct(), "term", "left_semi")
+    # Few question terms (checked) are broadcast; more are joined as Spark sees fit.
+    small = at_most(terms, BROADCAST_TERMS)
+    ship = F.broadcast if small else (lambda df: df)
+    # One exchange by memory feeds both the document frequencies and the scores.
+    asked = index.join(ship(terms.select("term").distinct()), "term", "left_semi").repartition("id")
     docs = size.select("docs").scalar()
     avg_len = size.select("avg_len").scalar()
     df = asked.groupBy("term").agg(F.count("*").alias("df"))
@@ -115,11 +125,11 @@ def keyword_scores(questions: DataFrame, corpus: DataFrame, index: DataFrame | N
     filters = questions.select("qid", *_filter_columns(questions))
     if len(filters.columns) > 1:
         weighted = weighted.join(filters, "qid")
-    hits = asked.repartition("id").join(weighted, "term").where(_passes(questions, index.columns))
+    hits = asked.join(ship(weighted), "term").where(_passes(questions, index.columns))
     norm = F.col("tf") + K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * F.col("doc_len") / avg_len)
     part = F.col("idf") * F.col("tf") * (K.BM25_K1 + 1) / norm
     # Fixed-point partial scores make the sum independent of the order of rows.
-    exact = F.sum(F.round(part * F.lit(1e12)).cast("decimal(38,0)"))
+    exact = F.sum(F.round(part * F.lit(1e12)).cast("bigint"))
     return hits.groupBy("id", "qid").agg((exact.cast("double") / F.lit(1e12)).alias("score"))
 
 
@@ -149,7 +159,8 @@ def substring_search(questions: DataFrame, corpus: DataFrame, k: int = 12) -> Da
     terms = question_terms(questions)
     needles = terms.select("term").distinct().where(F.length("term") >= 3)
     kept = [c for c in (*FILTERS, "occurred_at") if c in corpus.columns]
-    held = corpus.select("id", *kept, F.explode(F.array_distinct(words(index_text(corpus)))).alias("word"))
+    held = corpus.select("id", *kept, F.explode_outer(F.array_distinct(words(index_text(corpus)))).alias("word")
+                         ).where("word IS NOT NULL")
     grams = (held.select("word").distinct()
              .select("word", F.explode(_trigrams(F.col("word"))).alias("gram")))
     asked_grams = needles.select("term", F.explode(_trigrams(F.col("term"))).alias("gram"))

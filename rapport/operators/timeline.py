@@ -157,7 +157,7 @@ def document_chunks(documents: DataFrame, size: int = K.CHUNK_CHARS,
         count = F.least(count, F.lit(limit))
     starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
     return (documents.withColumn("_clean", clean)
-            .select("*", F.explode(starts).alias("chunk_no"))
+            .select("*", F.explode_outer(starts).alias("chunk_no")).where("chunk_no IS NOT NULL")
             .withColumn("chunk", F.substring(F.col("_clean"), F.col("chunk_no") * size + 1, F.lit(size)))
             .drop("_clean"))
 

@@ -50,7 +50,7 @@ def parse_chat(files: DataFrame) -> DataFrame:
     key = F.when(F.size(senders) > 0, F.concat(F.lit("whatsapp:d"), F.substring(F.sha2(
         F.array_join(F.transform(senders, F.lower), K.ID_SEPARATOR), 256), 1, 32))
     ).otherwise(F.concat(F.lit("whatsapp:"), F.lower(file_stem(F.col("path")))))
-    rows = parsed.select("path", key.alias("conversation_id"), F.inline("entries"))
+    rows = parsed.select("path", key.alias("conversation_id"), F.inline_outer("entries"))
     body = F.col("body")
     kept = rows.where(F.col("sender").isNotNull() & (body != "") & ~is_noise_line(body))
     sent = parse_export_datetime(F.col("date"), F.col("time"))
@@ -73,7 +73,7 @@ def parse_transcript(files: DataFrame) -> DataFrame:
     continue the message above them; text before the first header is ignored."""
     text = F.regexp_replace("text", K.LINE_BREAK, "\n")
     lines = F.filter(F.split(text, rf"(?m)^(?={_TRANSCRIPT_START})"), lambda e: e.rlike("^" + _TRANSCRIPT_START))
-    rows = files.select("path", F.explode(lines).alias("entry"))
+    rows = files.select("path", F.explode_outer(lines).alias("entry")).where("entry IS NOT NULL")
     first = F.substring_index("entry", "\n", 1)
     when, sender, body = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
     for pattern in reversed(K.GENERIC_LINE_PATTERNS):
