@@ -511,11 +511,12 @@ def _suggestions(spark, sf):
 
 
 @query("x6_voice_mentions", """
-SELECT 'sug-voice-' || v.id || '-' || m.person_id AS id, m.person_id AS person_a_id, filename AS label FROM v_voice v JOIN (
- SELECT v.id, first(n.person_id ORDER BY length(name) DESC, created_at, n.person_id) AS person_id FROM v_voice v JOIN (
-  SELECT lower(display_name) AS name, first(person_id ORDER BY created_at, person_id) AS person_id, min(created_at) AS created_at FROM v_people GROUP BY 1) n
- ON contains(lower(transcript), n.name) AND regexp_matches(lower(transcript), '\\b' || regexp_escape(n.name) || '\\b') GROUP BY v.id) m
-ON m.id = v.id""")
+WITH n AS MATERIALIZED (SELECT lower(display_name) AS name, first(person_id ORDER BY created_at, person_id) AS person_id,
+    min(created_at) AS created_at FROM v_people GROUP BY 1),
+h AS MATERIALIZED (SELECT v.id, v.filename, lower(transcript) AS low, n.* FROM v_voice v JOIN n ON contains(lower(transcript), n.name))
+SELECT 'sug-voice-' || id || '-' || first(person_id ORDER BY length(name) DESC, created_at, person_id) AS id,
+  first(person_id ORDER BY length(name) DESC, created_at, person_id) AS person_a_id, any_value(filename) AS label
+FROM h WHERE regexp_matches(low, '\\b' || regexp_escape(name) || '\\b') GROUP BY h.id""")
 def x6_voice(spark, sf):
     return RS.voice_mention_suggestions(X.voice(spark, sf), X.people(spark, sf)).select("id", "person_a_id", "label")
 
@@ -553,12 +554,15 @@ def u3_aliases(spark, sf):
     return RS.gained_aliases(X.people(spark, sf), _merges(spark, sf))
 
 
-@query("x7_merge_chains")
+@query("x7_merge_chains", """
+SELECT 'p' || c_custkey AS old_id, 'p' || (c_custkey - c_custkey % 10) AS new_id FROM customer WHERE c_custkey % 10 <> 0""")
 def x7_chains(spark, sf):
-    """Chains p1 <- p2 <- p3 ... through every customer of a segment block of ten."""
-    rows = X.table(spark, sf, "customer").where(F.col("c_custkey") % 10 != 0).select(
-        F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("old_id"),
-        F.concat(F.lit("p"), (F.col("c_custkey") - 1).cast("string")).alias("new_id"))
+    """Everybody is merged into the person before them, except every tenth (who maps
+    to themselves): chains of nine links."""
+    k = F.col("c_custkey")
+    rows = X.table(spark, sf, "customer").select(
+        F.concat(F.lit("p"), k.cast("string")).alias("old_id"),
+        F.concat(F.lit("p"), (k - F.sign(k % 10).cast("bigint")).cast("string")).alias("new_id"))
     return RS.resolve_merges(rows)
 
 
