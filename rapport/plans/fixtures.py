@@ -134,10 +134,10 @@ def asks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def calendar(spark: SparkSession, sf: str) -> DataFrame:
-    """One event per order line, with two or three attendees; lines that repeat an
-    order and line number are told apart by part and supplier."""
+    """One event per order line, with two or three attendees; the id names
+    the whole line, since order and line number repeat in the data."""
     return table(spark, sf, "lineitem").selectExpr(
-        "concat_ws('-', 'cal', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id",
+        "concat_ws('-', 'cal', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_quantity AS bigint), date_format(l_shipdate, 'yyyyMMdd')) AS id",
         "concat('order ', l_orderkey) AS title", "l_shipdate AS starts_at",
         "l_returnflag AS location", "l_linestatus AS description",
         "array_sort(array_distinct(transform(array(l_suppkey, l_partkey % 100, l_orderkey % 150), x -> concat('p', x)))) AS person_ids")
@@ -283,7 +283,7 @@ SELECT q.qid, lower(q.question) AS low, n.* FROM v_asks q JOIN v_names n ON cont
 SELECT qid, first(person_id ORDER BY length(name) DESC, created_at, person_id) AS person_id FROM v_hits
 WHERE regexp_matches(low, '\\b' || regexp_escape(name) || '\\b') GROUP BY qid""",
     "v_calendar": """
-SELECT concat_ws('-', 'cal', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, 'order ' || l_orderkey AS title,
+SELECT concat_ws('-', 'cal', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT), strftime(l_shipdate, '%Y%m%d')) AS id, 'order ' || l_orderkey AS title,
        l_shipdate AS starts_at, l_returnflag AS location, l_linestatus AS description,
        list_sort(list_distinct(['p' || l_suppkey, 'p' || (l_partkey % 100), 'p' || (l_orderkey % 150)])) AS person_ids
 FROM lineitem""",
