@@ -9,13 +9,6 @@ from rapport import constants as K
 from rapport.functions.media import media_filename_key, media_kind
 from rapport.functions.text import clean_text, java_quote, let, strip
 
-# A new message starts at the beginning of a line with either header form.
-CHAT_HEADER = (
-    rf"(?:\[{K.CHAT_DATE}\s*,\s*{K.CHAT_TIME}\]\s*"
-    rf"|{K.CHAT_DATE}\s*,\s*{K.CHAT_TIME}\s*(?:-|–)\s*)"
-)
-CHAT_HEADER_PARTS = rf"^\[?({K.CHAT_DATE})\s*,\s*({K.CHAT_TIME})(?:\]|\s*(?:-|–))\s*"
-
 ATTACHMENT = "struct<kind:string,filename:string,filename_key:string,label:string>"
 
 
