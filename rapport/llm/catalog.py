@@ -1,7 +1,9 @@
 """Registered queries of this subpackage: name -> (query, SQL twin or None)."""
 
-from rapport.llm import op2_quality
+from rapport.llm import op2_quality, op4_mixing, op10_ngram_join
 
 QUERIES = {
     "op2_quality_rules": (op2_quality.op2_quality_rules, op2_quality.SQL),
+    "op4_mixing": (op4_mixing.op4_mixing, op4_mixing.SQL),
+    "op10_ngram_join": (op10_ngram_join.op10_ngram_join, op10_ngram_join.SQL),
 }
