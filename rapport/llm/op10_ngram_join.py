@@ -4,10 +4,11 @@
    the counts of n-grams in a fixed number of buckets (a sketch over all documents, summed on the cluster).
 2. Documents with equal sets are one class. A class's n-grams are put in order of rising bucket count, and its prefix
    (n - ceil(t n) + 1 of them) becomes postings. Two sets at or above the threshold share a prefix n-gram.
-3. First every posting list links its members to its first one: near copies in thousands meet in as many pairs as there
-   are members. Pairs pass the length and positional filters and the histogram bound (a suffix filter: the sum of the
-   smaller counts limits the overlap) and are then verified once, on whole sets.
-4. Then every pair of a list whose members are not yet in one component is treated alike. Lists beyond ``BLOCK`` members
+3. First every posting list links each member to its first one and to the one before: near copies in thousands meet in
+   about as many pairs as there are members. Pairs pass the length filter and the histogram bound (a suffix filter: the sum
+   of the smaller counts limits the overlap) and are then verified once, on whole sets.
+4. Then every pair of a list whose members are not yet in one component is treated alike, after the positional filter
+   (what is left of both sets behind the shared n-gram limits the overlap). Lists beyond ``BLOCK`` members
    are cut in blocks that meet pair by pair. So no link between different components is lost.
 
 Defined results: a text without words (or null) has an empty set and links with nothing; fewer words than n are one
@@ -26,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rapport.llm import texts as X
+from rapport.llm.bitmaps import SCHEMA, gathered, pieces
 from rapport.llm.components import components
 from rapport.llm.shared import col, fresh, staged, table
 
-#: Buckets of the n-gram counts; in how many pieces they travel; bins of a set's histogram.
-BUCKETS, PIECES, BINS = 1 << 18, 16, 64
-#: Members of a posting list that one task compares with each other.
-BLOCK = 20_000
+#: Buckets of the n-gram counts; bins of a set's histogram.
+BUCKETS, BINS = 1 << 18, 64
+#: Members of a posting list that one task compares with each other, and pairs that it holds at once.
+BLOCK, AT_ONCE = 4_096, 2_000_000
 #: Bits of the filter that says which sets are needed: 16 for each, within these bounds.
 FEWEST_BITS, MOST_BITS = 1 << 20, 1 << 28
 _M = np.uint64(0xD6E8FEB86659FD93)
@@ -101,36 +103,13 @@ def _profile(n: int):
                     [ids.slice(rows.first, k), pa.array(np.diff(bound)), pa.array(fingerprints(gram, bound)),
                      _binary(histograms(gram, bound)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         if counts.any():
+            own = pieces(counts)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(PIECES, pa.int64())] * 3 + [pa.nulls(PIECES, pa.binary()), pa.array(np.arange(PIECES, dtype=np.int32)),
-                 pa.array([part.tobytes() for part in np.split(counts, PIECES)])], names)
+                [pa.nulls(own.num_rows, pa.int64())] * 3 + [pa.nulls(own.num_rows, pa.binary()), *own.columns], names)
 
     return run, "doc_id bigint, n bigint, fp bigint, bins binary, piece int, counts binary"
 
 
-def _merged(combine, kind):
-    """Combine the ``counts`` arrays of each piece, one array per piece in memory."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for piece, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = np.frombuffer(counts.as_buffer(), kind)
-                total[piece] = combine(total[piece], part) if piece in total else part.copy()
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()),
-                                          pa.array([v.tobytes() for v in total.values()], pa.binary())], ["piece", "counts"])
-
-    return run
-
-
-def _gathered(pieces: DataFrame, combine, kind, size: int) -> np.ndarray:
-    """The pieces of all tasks combined: an array of fixed size, the only thing that comes to the driver."""
-    out = np.zeros(size, kind)
-    step = size // PIECES
-    for row in pieces.repartition(PIECES, "piece").mapInArrow(_merged(combine, kind), "piece int, counts binary").collect():
-        out[row.piece * step:(row.piece + 1) * step] = np.frombuffer(row.counts, kind)
-    return out
-
-
 def _postings(n: int, num: int, den: int, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.minimum(counts.value, (1 << 24) - 1).astype(np.uint64) << np.uint64(40)
@@ -161,13 +140,16 @@ def _postings(n: int, num: int, den: int, counts):
     return run, "token bigint, fp bigint, n int, pos int"
 
 
+LISTS = "token bigint, fp bigint, n int, pos int, lead bigint, lead_n int, back bigint, back_n int"
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings, ordered by (token, fp): those of tokens with two classes or more, each beside its list's first.
+    """Postings, ordered by (token, fp): those of tokens with two classes or more, beside their list's first and the one before.
 
     Streams; the last posting of a batch is held until the next one tells whether its list goes on.
     """
-    names = ["token", "fp", "n", "pos", "lead", "lead_n", "lead_pos"]
-    held, lead, joined_ = None, None, False        # joined_: the held posting's list has others already
+    names = LISTS.replace(" bigint", "").replace(" int", "").split(", ")
+    held, lead, back, joined_ = None, None, None, False        # joined_: the held posting's list has others already
     for batch in batches:
         own = [batch.column(i).to_numpy() for i in range(4)]
         if not len(own[0]):
@@ -180,25 +162,24 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = own[0]
         same = token[1:] == token[:-1]
         head = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(token)), 0))
-        leads = [v[head] for v in own[1:]]
+        leads = [v[head] for v in own[1:3]]
+        backs = [np.concatenate([v[:1], v[:-1]]) for v in own[1:3]]      # of a list's first: any
         if held is not None:
             for values, value in zip(leads, lead):
                 values[head == 0] = value
+            for values, value in zip(backs, back):
+                values[0] = value
         several = np.concatenate([[joined_], same])
         several[:-1] |= same
-        out = [v[:-1][several[:-1]] for v in (*own, *leads)]
-        held, lead, joined_ = [v[-1] for v in own], [v[-1] for v in leads], bool(several[-1])
+        opens = head == np.arange(len(token))
+        opens[0] = not joined_
+        backs = [np.where(opens, a, b) for a, b in zip(leads, backs)]
+        out = [v[:-1][several[:-1]] for v in (*own, *leads, *backs)]
+        held, lead, back, joined_ = [v[-1] for v in own], [v[-1] for v in leads], [v[-1] for v in backs], bool(several[-1])
         if len(out[0]):
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in out], names)
     if joined_:
-        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (*held, *lead)], names)
-
-
-def _filters(num: int, den: int, n, pos, other_n, other_pos):
-    """Length and positional filter, as columns."""
-    need = F.ceil(F.lit(num) * (n + other_n) / F.lit(num + den))
-    return ((F.lit(den) * F.least(n, other_n) >= F.lit(num) * F.greatest(n, other_n))
-            & (1 + F.least(n - pos - 1, other_n - other_pos - 1) >= need))
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (*held, *lead, *back)], names)
 
 
 def bounded(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -234,10 +215,9 @@ def _verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, num:
         for batch in batches:
             for at in _bits(batch.column(0).to_numpy(), bits):
                 seen[at] = 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES, dtype=np.int32)), pa.array(
-            [np.packbits(part).tobytes() for part in np.split(seen, PIECES)])], ["piece", "counts"])
+        yield pieces(np.packbits(seen))
 
-    filled = _gathered(needed.mapInArrow(mark, "piece int, counts binary"), np.bitwise_or, np.uint8, bits // 8)
+    filled = gathered(needed.mapInArrow(mark, SCHEMA), np.bitwise_or, np.uint8, bits // 8)
     wanted = texts.sparkSession.sparkContext.broadcast(filled)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,26 +260,52 @@ def _bits(fp: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def _cross_pairs(num: int, den: int):
-    """Pairs within a list (or a pair of its blocks) from different components, after all filters."""
-    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        fp, size, pos, label, block = (group[c].to_numpy() for c in ("fp", "n", "pos", "label", "block"))
-        bins = _matrix(group["bins"].combine_chunks())
-        _, low, high = (k.as_py() for k in key)
-        names, inverse, many = np.unique(label, return_inverse=True, return_counts=True)
-        left, right = [], []
-        if len(names) > 1:
-            for i in np.flatnonzero(inverse != many.argmax()):      # members of the largest component wait for the others
-                met = (label != label[i]) & ((inverse == many.argmax()) | (fp > fp[i]))
-                if low != high:
-                    met &= block != block[i]
-                met &= den * np.minimum(size, size[i]) >= num * np.maximum(size, size[i])
-                met &= (1 + np.minimum(size - pos, size[i] - pos[i]) - 1) * (num + den) >= num * (size + size[i])
-                at = np.flatnonzero(met)
-                at = at[bounded(bins[at], bins[i][None]) * (num + den) >= num * (size[at].astype(np.int64) + size[i])]
-                left.append(np.minimum(fp[at], fp[i]))
-                right.append(np.maximum(fp[at], fp[i]))
-        empty = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(left or empty), "b": np.concatenate(right or empty)})
+    """Rows in order of (token, low, high): the pairs of each list (or two of its blocks) from different components."""
+    def pairs(i, j, fp, size, pos, label, block, apart):
+        met = (label[i] != label[j]) & ((block[i] != block[j]) | ~apart[i])
+        i, j = i[met], j[met]
+        small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        left = 1 + np.minimum(size[i] - pos[i], size[j] - pos[j]) - 1
+        met = (den * small >= num * large) & (left * (num + den) >= num * (small + large))
+        i, j = i[met], j[met]
+        return np.unique(np.stack([np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])], axis=1), axis=0)
+
+    def compared(columns):
+        token, low, high, fp, size, pos, label, block = columns
+        n = len(token)
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+        start = np.flatnonzero(new)
+        many = np.diff(np.append(start, n))
+        owner = np.cumsum(new) - 1
+        after = (start + many)[owner] - np.arange(n) - 1           # members behind each in its list
+        upto = np.concatenate([[0], np.cumsum(after)])
+        apart = low != high
+        at = 0
+        while at < n:                                              # some rows at once, each with all behind it
+            stop = max(at + 1, int(np.searchsorted(upto, upto[at] + AT_ONCE, "right")) - 1)
+            i = np.repeat(np.arange(at, stop), after[at:stop])
+            j = i + 1 + np.arange(len(i)) - np.repeat(upto[at:stop] - upto[at], after[at:stop])
+            found = pairs(i, j, fp, size, pos, label, block, apart)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            at = stop
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = None                                             # a list goes on in the next batch
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            if not len(columns[0]):
+                continue
+            if waiting is not None:
+                columns = [np.concatenate(pair) for pair in zip(waiting, columns)]
+            token, low, high = columns[:3]
+            last = (token == token[-1]) & (low == low[-1]) & (high == high[-1])
+            cut = int(last.argmax())
+            if cut:
+                yield from compared([c[:cut] for c in columns])
+            waiting = [c[cut:] for c in columns]
+        if waiting is not None:
+            yield from compared(waiting)
 
     return run
 
@@ -310,7 +316,7 @@ def links(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> t
     run, schema = _profile(n)
     profile = staged(docs.select(col(key).cast("bigint").alias("doc_id"), col(text).alias("text")).mapInArrow(run, schema), "profiles")
     counts = spark.sparkContext.broadcast(
-        _gathered(profile.where("piece IS NOT NULL").select("piece", "counts"), np.add, np.int64, BUCKETS))
+        gathered(profile.where("piece IS NOT NULL").select("piece", "counts"), np.add, np.int64, BUCKETS))
     profile = profile.where("piece IS NULL").select("doc_id", "n", "fp", "bins")
     classes = staged(profile.where("doc_id IS NOT NULL AND n > 0").groupBy("fp").agg(
         F.any_value("n").alias("n"), F.any_value("bins").alias("bins")), "classes")
@@ -318,25 +324,27 @@ def links(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> t
     run, schema = _postings(n, num, den, counts)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     lists = (texts.mapInArrow(run, schema).repartition(parts, "token").sortWithinPartitions("token", "fp")
-             .mapInArrow(_shared, "token bigint, fp bigint, n int, pos int, lead bigint, lead_n int, lead_pos int"))
+             .mapInArrow(_shared, LISTS))
     lists = staged(lists, "postings")
-    stars = (lists.where(F.col("fp") != F.col("lead"))
-             .where(_filters(num, den, F.col("n"), F.col("pos"), F.col("lead_n"), F.col("lead_pos")))
-             .select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b")).distinct())
+    first, back = (lists.where(F.col("fp") != F.col(k)).where(
+        F.lit(den) * F.least("n", f"{k}_n") >= F.lit(num) * F.greatest("n", f"{k}_n"))
+        .select(F.least("fp", k).alias("a"), F.greatest("fp", k).alias("b")) for k in ("lead", "back"))
+    stars = staged(first.union(back).distinct(), "stars")
     linked = _verify(stars, classes, texts, n, num, den)
     label = components(linked)
 
-    # Lists that still hold different components; the others are done.
+    # Lists that still hold different components; the others are done, and so are those of two.
     tagged = staged(lists.select("token", "fp", "n", "pos").join(label.withColumnRenamed("node", "fp"), "fp", "left")
                     .withColumn("label", F.coalesce("label", "fp")), "tagged")
     mixed = (tagged.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m"))
-             .where("x != y").select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
+             .where("x != y AND m > 2").select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
     members = (tagged.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-               .join(classes.select("fp", "bins"), "fp"))
-    crossed = members.groupBy("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    pairs = crossed.applyInArrow(_cross_pairs(num, den), "a bigint, b bigint").distinct()
-    pairs = pairs.join(linked, ["a", "b"], "left_anti")
+               .select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+                       "fp", "n", "pos", "label", "block"))
+    pairs = (members.repartition(parts, "token", "low", "high").sortWithinPartitions("token", "low", "high")
+             .mapInArrow(_cross_pairs(num, den), "a bigint, b bigint").distinct())
+    pairs = staged(pairs.join(stars, ["a", "b"], "left_anti"), "cross-pairs")
     more = _verify(pairs, classes, texts, n, num, den)
     return profile.select("doc_id", "n", "fp"), components(linked.union(more))
 

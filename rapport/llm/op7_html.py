@@ -224,16 +224,15 @@ def main_text(page: str | None) -> str:
     return "\n".join(whole for whole, element, links in found if kept(whole, element, links))
 
 
-@F.arrow_udf("struct<text:string,n_chars:bigint>")
-def extract(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in pages:
-        texts = [main_text(page.as_py()) for page in batch]
-        yield pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                                         ["text", "n_chars"])
-
-
 def extracted(pages: DataFrame, html: str = "html", into: str = "main") -> DataFrame:
     """``pages`` with the struct column ``into``: text and n_chars (code points)."""
+    @F.arrow_udf("struct<text:string,n_chars:bigint>")
+    def extract(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in column:
+            texts = [main_text(page.as_py()) for page in batch]
+            yield pa.StructArray.from_arrays(
+                [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["text", "n_chars"])
+
     return pages.withColumn(into, extract(col(html)))
 
 

@@ -204,12 +204,13 @@ def archived(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
              folder: str | None = None) -> DataFrame:
     """Write ``pages`` to archives in ``folder`` and return the merged index of what was read back.
 
-    ``captured``: a column with the capture time in ISO form; without one, times follow the ids, a second each.
+    ``captured``: a column with the capture time in ISO form; without one, times follow the ids, a second each
+    (modulo 10 ** 9).
     """
     spark = pages.sparkSession
     folder = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     if captured is None:
-        captured = F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + F.coalesce(col(key), F.lit(0))),
+        captured = F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod(F.coalesce(col(key), F.lit(0)), F.lit(10 ** 9))),
                                  "yyyy-MM-dd'T'HH:mm:ss'Z'")
     ready = pages.select(col(key).cast("bigint").alias("page_id"), col(url).alias("url"),
                          F.coalesce(col(html), F.lit("")).alias("payload"), captured.alias("captured"))
