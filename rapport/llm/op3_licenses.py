@@ -30,8 +30,8 @@ from rapport.llm import texts as X
 from rapport.llm.shared import col, table
 
 FEATURES = 1 << 16
-NEGATIVES, FORMS, FALSE_RATE, CONFIRM = 4_000, 60, 0.001, 0.6
-ROUNDS, RATE, DECAY = 400, 4.0, 1e-5
+NEGATIVES, FORMS, FALSE_RATE, CONFIRM = 2_000, 16, 0.001, 0.6
+ROUNDS, RATE, DECAY = 150, 8.0, 1e-5
 
 #: Notices by family.
 TEMPLATES = {
@@ -173,8 +173,7 @@ def trained(negatives: list[str], forms: int = FORMS) -> Classifier:
     foreign = sorted({w for p in negatives[:500] for w in p.split()}) or ["the", "and", "text"]
     texts, label = disturbed(foreign, forms, rng)
     pieces = [" ".join(foreign[i] for i in rng.integers(0, len(foreign), int(n))) for n in rng.integers(1, 30, 200)]
-    fragments = [" ".join(rng.permutation(t.split())[:3]) for forms_ in TEMPLATES.values() for t in forms_ for _ in range(3)]
-    unknown = [*negatives, *pieces, *fragments, "license", "the license", "version 2.0", "software", "copyright"]
+    unknown = [*negatives, *pieces, "license", "the license", "version 2.0", "software", "copyright", "all of the rights"]
     texts, label = texts + unknown, np.array(label + [UNKNOWN] * len(unknown))
     held = rng.random(len(texts)) < 0.2
     at, row, value = counts(texts)
@@ -254,7 +253,7 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", into: str
 
 def op3_licenses(spark, sf_dir: str) -> DataFrame:
     docs = scanned(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "licences.n_paragraphs", "licences.found")
-    best = F.when(F.size("found") > 0, F.reduce(F.slice("found", 2, 1 << 30), F.col("found")[0], lambda a, b: F.when(
+    best = F.when(F.size("found") > 0, F.reduce(F.slice("found", 2, 1 << 30), F.get("found", F.lit(0)), lambda a, b: F.when(
         b["probability"] > a["probability"], b).otherwise(a)))
     return docs.select("doc_id", "n_paragraphs", F.size("found").cast("bigint").alias("n_licence_paragraphs"),
                        best["family"].alias("licence"), best["probability"].alias("probability"), "found")
