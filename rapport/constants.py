@@ -132,9 +132,16 @@ FILENAME_MAX = 180
 
 # -- import limits and routing ----------------------------------------------------
 ALLOWED_EXTENSIONS = [
-    ".txt", ".json", ".csv", ".html", ".htm", ".pdf", ".docx",
-    ".wav", ".mp3", ".m4a", ".ogg", ".webm",
-    ".zip", ".eml", ".mbox", ".ics", ".vcf",
+    ".txt", ".md", ".json", ".js", ".csv", ".html", ".htm", ".eml", ".mbox",
+    ".ics", ".vcf", ".zip", ".pdf", ".docx",
+    ".jpg", ".jpeg", ".png", ".gif", ".webp", ".bmp", ".heic",
+    ".mp4", ".mov", ".webm", ".3gp", ".mkv",
+    ".opus", ".m4a", ".mp3", ".ogg", ".wav", ".aac", ".flac",
+]
+RECORDED_EXTENSIONS = [
+    ".jpg", ".jpeg", ".png", ".gif", ".webp", ".bmp", ".heic",
+    ".mp4", ".mov", ".webm", ".3gp", ".mkv",
+    ".opus", ".m4a", ".mp3", ".ogg", ".wav", ".aac", ".flac",
 ]
 AUDIO_EXTENSIONS = [".wav", ".mp3", ".m4a", ".ogg", ".webm"]
 ARCHIVE_MAX_BYTES = 500 * 1024 * 1024

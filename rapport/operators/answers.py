@@ -248,7 +248,7 @@ def accept_answers(answers: DataFrame, rows: DataFrame) -> DataFrame:
     labels = rows.groupBy("qid").agg(F.array_sort(F.collect_set("label")).alias("labels"))
     known = F.coalesce("labels", F.array().cast("array<string>"))
     text = F.col("answer")
-    refused = F.contains(F.lower(text), F.lit(K.INSUFFICIENT.lower()[:30])) & ~F.contains(text, F.lit("["))
+    refused = F.contains(F.lower(text), F.lit(K.INSUFFICIENT.lower())) & ~F.contains(text, F.lit("["))
     used = used_labels(text, known)
     empty = refused | (F.size(used) == 0)
     return answers.join(labels, "qid", "left").select(

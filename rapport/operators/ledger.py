@@ -36,9 +36,9 @@ def recent_people(events: DataFrame, as_of, since, limit: int = 10) -> DataFrame
 
 
 def activity_totals(events: DataFrame, as_of, since=None, person_id=None, source=None) -> DataFrame:
-    """(facet, value, n): the total, counts by kind and counts by source from one
-    grouping-sets pass; missing values read 'unknown'."""
-    rows = events.where(in_window(F.col("occurred_at"), as_of, since or "1970-01-01 00:00:00"))
+    """(facet, value, n): the total (0 for an empty window), counts by kind and counts
+    by source; missing values read 'unknown'. Without ``since`` there is no lower bound."""
+    rows = events.where(in_window(F.col("occurred_at"), as_of, since))
     if person_id:
         rows = rows.where(F.col("person_id") == person_id)
     if source:
@@ -46,19 +46,20 @@ def activity_totals(events: DataFrame, as_of, since=None, person_id=None, source
     named = rows.select(*[F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("unknown")).alias(c)
                           for c in ("kind", "source")])
     kind, src = F.col("kind"), F.col("source")
-    sets = named.groupingSets([[kind], [src], []], kind, src).agg(
-        F.count("*").alias("n"), F.grouping_id().alias("g"))
-    facet = F.when(F.col("g") == 1, "kind").when(F.col("g") == 2, "source").otherwise("total")
-    return sets.select(facet.alias("facet"), F.coalesce(kind, src, F.lit("all")).alias("value"), "n")
+    sets = named.groupBy(kind, src).agg(F.count("*").alias("n"))    # a few rows: kinds by sources
+    total = lambda: F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n")
+    parts = [sets.groupBy(c.alias("value")).agg(total()).select(F.lit(name).alias("facet"), "value", "n")
+             for name, c in (("kind", kind), ("source", src))]
+    whole = sets.agg(total()).select(F.lit("total").alias("facet"), F.lit("all").alias("value"), "n")
+    return whole.unionByName(parts[0]).unionByName(parts[1])
 
 
-def distinct_people(events: DataFrame, as_of, since=None, limit: int = 100000,
+def distinct_people(events: DataFrame, as_of, since=None, limit: int | None = None,
                     approximate: bool = False) -> DataFrame:
-    """How many different people appear in the window."""
-    rows = events.where(has_person(F.col("person_id"))
-                        & in_window(F.col("occurred_at"), as_of, since or "1970-01-01 00:00:00"))
+    """How many different people appear in the window; ``limit`` caps the number shown."""
+    rows = events.where(has_person(F.col("person_id")) & in_window(F.col("occurred_at"), as_of, since))
     count = F.approx_count_distinct("person_id") if approximate else F.count_distinct("person_id")
-    return rows.agg(F.least(count, F.lit(limit)).cast("bigint").alias("people"))
+    return rows.agg((count if limit is None else F.least(count, F.lit(limit))).cast("bigint").alias("people"))
 
 
 def last_interaction(events: DataFrame, per_person: bool = False) -> DataFrame:

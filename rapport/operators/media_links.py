@@ -9,10 +9,10 @@ from rapport import constants as K
 from rapport.functions.media import media_filename_key, media_kind, media_mime, sanitize_filename, basename
 
 
-def media_catalogue(files: DataFrame) -> DataFrame:
+def media_catalogue(files: DataFrame, max_bytes: int | None = K.MEDIA_MAX_BYTES) -> DataFrame:
     """One row per distinct content (path, content, modified): the earliest path
-    names it; empty and oversized files are left out."""
-    rows = files.where((F.length("content") > 0) & (F.length("content") <= K.MEDIA_MAX_BYTES)).select(
+    names it; empty files are left out, those above ``max_bytes`` are TOO_LARGE."""
+    rows = files.where(F.length("content") > 0).select(
         F.sha2("content", 256).alias("checksum"), basename(F.col("path")).alias("name"), "path",
         F.length("content").cast("bigint").alias("size_bytes"))
     picked = rows.groupBy("checksum").agg(
@@ -23,7 +23,8 @@ def media_catalogue(files: DataFrame) -> DataFrame:
         media_filename_key(F.col("f.name")).alias("filename_key"),
         media_kind(F.col("f.name")).alias("kind"), media_mime(F.col("f.name")).alias("mime_type"),
         F.col("f.size_bytes").alias("size_bytes"), "checksum", F.col("f.path").alias("path"),
-        F.lit("STORED").alias("status"))
+        (F.lit("STORED") if max_bytes is None else F.when(F.col("f.size_bytes") > max_bytes, "TOO_LARGE").otherwise("STORED"))
+        .alias("status"))
 
 
 def attachment_keys(messages: DataFrame) -> DataFrame:

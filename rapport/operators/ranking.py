@@ -19,12 +19,15 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int,
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list[str], desc: bool = False) -> DataFrame:
-    """One whole row per group, the first (or last) by ``order``: an aggregate
+    """One whole row per group, the first (or last) by ``order``, then by a hash of
+    the other plain columns, so equal orders do not leave it to chance: an aggregate
     with map-side combine, not a sort."""
     pick = F.max_by if desc else F.min_by
     rest = [c for c in df.columns if c not in keys]
     row = F.struct(*[F.col(c) for c in rest])
-    by = F.struct(*[F.col(c) for c in order])
+    plain = [f.name for f in df.schema if f.name in rest and f.name not in order
+             and f.dataType.typeName() in ("string", "long", "integer", "timestamp", "timestamp_ntz", "boolean", "double")]
+    by = F.struct(*[F.col(c) for c in order], F.xxhash64(F.lit(0), *[F.col(c) for c in plain]).alias("_tie"))
     picked = df.groupBy(*keys).agg(pick(row, by).alias("_row"))
     return picked.select(*[F.col(k) for k in keys], "_row.*").select(*df.columns)
 
@@ -56,7 +59,8 @@ def rolling_counts(df: DataFrame, keys: list[str], at: str, days: list[int]) ->
 
     Each group is split into time blocks as wide as the longest window; a row is
     copied once into the next block as context. Every window is complete inside
-    one block, and a hot group spreads over as many tasks as it has blocks.
+    one block, and a hot group spreads over as many tasks as it has blocks. Rows
+    without a time have no window and keep NULL counts.
     """
     width = max(days) * 86400 * 1_000_000
     micros = F.unix_micros(F.col(at).cast("timestamp"))
@@ -69,7 +73,9 @@ def rolling_counts(df: DataFrame, keys: list[str], at: str, days: list[int]) ->
     for n in days:
         spread = spread.withColumn(
             f"n{n}", F.count("*").over(window.rangeBetween(-n * 86400 * 1_000_000, 0)))
-    return spread.where(F.col("_copy.home")).drop("_copy", "_micros")
+    counted = spread.where(F.col("_copy.home")).drop("_copy", "_micros")
+    timeless = df.where(F.col(at).isNull())
+    return counted.unionByName(timeless.withColumns({f"n{n}": F.lit(None).cast("bigint") for n in days}))
 
 
 def sorted_page(df: DataFrame, order: list[Column], limit: int | None = None, offset: int = 0) -> DataFrame:

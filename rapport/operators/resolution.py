@@ -398,36 +398,37 @@ def suggestion_evidence(suggestions: DataFrame, people: DataFrame, stored: DataF
 # -- merging ---------------------------------------------------------------------------------
 
 def resolve_merges(merge_map: DataFrame) -> DataFrame:
-    """(old_id, new_id) with chains followed to their end.
+    """(old_id, new_id) with chains followed to their end and several targets of one
+    person brought together: everybody whom merges connect becomes one person.
 
-    Pointer doubling: every round replaces each target by its own target, so a
-    chain of length n closes in log2(n) joins. Each old id has one target, the
-    smallest when it was given several. Members of a cycle point at the smallest
-    id of the cycle.
+    The keeper is the smallest id that nobody merged away; in a pure cycle, the
+    smallest of its targets. Smallest ids pass along the links, and every round also
+    takes the label of the label, so a chain of length n closes in about log2(n) rounds.
     """
-    current = (merge_map.where(F.col("old_id") != F.col("new_id"))
-               .groupBy("old_id").agg(F.min("new_id").alias("new_id"))
-               .withColumn("low", F.least("old_id", "new_id")))
+    edges = cut_lineage(merge_map.where(F.col("old_id") != F.col("new_id")).select("old_id", "new_id").distinct())
+    links = cut_lineage(edges.select(F.col("old_id").alias("a"), F.col("new_id").alias("b"))
+                        .unionByName(edges.select(F.col("new_id").alias("a"), F.col("old_id").alias("b"))))
+    current = links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("label")).select(
+        "id", F.least("id", "label").alias("label"))
     current = cut_lineage(current)
-    limit = max(1, current.count()).bit_length() + 1
-    for _ in range(limit):
-        ahead = current.select(F.col("old_id").alias("new_id"), F.col("new_id").alias("next"),
-                               F.col("low").alias("next_low"))
-        step = current.join(ahead, "new_id", "left")
-        moved = step.select("old_id", F.coalesce("next", "new_id").alias("new_id"),
-                            F.least("low", F.coalesce("next_low", "low")).alias("low"))
-        moved = cut_lineage(moved)
-        changed = moved.join(current.withColumnsRenamed({"new_id": "was", "low": "was_low"}), "old_id").where(
-            (F.col("was") != F.col("new_id")) | (F.col("was_low") != F.col("low")))
-        done = changed.isEmpty()
-        current = moved
+    while True:
+        near = (links.join(current.select(F.col("id").alias("b"), "label"), "b")
+                .groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near")))
+        moved = cut_lineage(current.join(near, "id").select("id", F.col("label").alias("was"),
+                                                            F.least("label", "near").alias("label")))
+        ahead = current.select(F.col("id").alias("label"), F.col("label").alias("next"))
+        moved = cut_lineage(moved.join(ahead, "label").select("id", "was", F.least("label", "next").alias("label")))
+        done = moved.where("was != label").isEmpty()
+        current = moved.select("id", "label")
         if done:
             break
-    # A target that is itself merged away lies on a cycle: use the cycle's smallest id.
-    cyclic = current.select(F.col("old_id").alias("new_id"), F.col("low").alias("cycle_low"))
-    out = current.join(cyclic, "new_id", "left").select(
-        "old_id", F.coalesce("cycle_low", "new_id").alias("new_id"))
-    return out.where(F.col("old_id") != F.col("new_id"))
+    olds, targets = edges.select(F.col("old_id").alias("id")).distinct(), edges.select(F.col("new_id").alias("id")).distinct()
+    marked = (current.join(olds.withColumn("old", F.lit(True)), "id", "left")
+              .join(targets.withColumn("target", F.lit(True)), "id", "left"))
+    keepers = marked.groupBy("label").agg(F.coalesce(
+        F.min(F.when(F.col("old").isNull(), F.col("id"))), F.min(F.when(F.col("target"), F.col("id")))).alias("keeper"))
+    return (marked.join(keepers, "label").where(F.col("id") != F.col("keeper"))
+            .select(F.col("id").alias("old_id"), F.col("keeper").alias("new_id")))
 
 
 def repoint(df: DataFrame, merges: DataFrame, column: str = "person_id") -> DataFrame:

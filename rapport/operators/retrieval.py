@@ -13,7 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -321,10 +321,11 @@ def pick_within_budget(candidates: Column, k: int, total_chars: int) -> Column:
 def evidence(fused: DataFrame, corpus: DataFrame, budget=K.BUDGET_SEARCH,
              people: DataFrame | None = None) -> DataFrame:
     """The evidence set per question: rows labelled S1..Sk, trimmed, inside the
-    character budget. Every question has at most 4k fused candidates (8k for
-    'rrf'), so the fold works on a short array."""
+    character budget. The fold is over a question's fused candidates, which the
+    searches before it bound (4k, or 8k for 'rrf')."""
     k, snippet_chars, total_chars = budget
-    ranked = top_per_group(fused, ["qid"], [F.desc("score"), F.asc("id")], 8 * k)
+    best = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("id"))
+    ranked = fused.withColumn("rank", F.row_number().over(best))
     summary = F.col("summary") if "summary" in corpus.columns else F.lit(None).cast("string")
     text = strip(F.coalesce(F.nullif(summary, F.lit("")), F.col("text"), F.lit("")))
     snippets = ranked.join(corpus.select("id", trim_at_word(text, snippet_chars).alias("text")), "id")

@@ -123,14 +123,14 @@ def memories_of(messages: DataFrame, emails: DataFrame, calendar: DataFrame, not
         F.col("id").alias("record_id"),
         citation(F.lit("email"), F.col("sent_at"), F.col("subject")).alias("citation"),
         F.concat_ws(" ", F.col("subject"), body).alias("topic_text"))
-    label = F.array_join(F.slice("participants", 1, 4), " / ")
+    label = F.array_join("participants", " / ")
     event_text = clean_text(F.concat(F.col("title"), F.lit(". "), label, F.lit(". "),
                                      F.coalesce("description", F.lit("")), F.lit(" "),
                                      F.coalesce("location", F.lit(""))))
     attendee = F.posexplode_outer("person_ids").alias("n", "person_id")
     meeting = calendar.select("*", attendee).select(
         F.when(F.coalesce("n", F.lit(0)) == 0, F.concat(F.lit("mem-"), F.col("id")))
-        .otherwise(F.concat(F.lit("mem-"), F.col("id"), F.lit("-"), F.substring("person_id", 1, 8)))
+        .otherwise(F.concat(F.lit("mem-"), F.col("id"), F.lit("-"), F.col("person_id")))
         .alias("id"), "person_id", F.lit("calendar").alias("kind"), F.lit("calendar").alias("source"),
         F.col("starts_at").alias("occurred_at"), event_text.alias("text"), F.col("id").alias("record_id"),
         citation(F.lit("calendar"), F.col("starts_at"), F.col("title")).alias("citation"),

@@ -566,6 +566,23 @@ def x7_chains(spark, sf):
     return RS.resolve_merges(rows)
 
 
+@query("x7_merge_components", """
+WITH RECURSIVE m AS (SELECT 'p' || c_custkey AS a, 'p' || (c_custkey - c_custkey % 7) AS b FROM customer WHERE c_custkey % 7 > 0
+  UNION ALL SELECT 'p' || c_custkey, 'p' || (c_custkey - 3) FROM customer WHERE c_custkey % 21 = 5),
+e AS (SELECT a, b FROM m UNION SELECT b, a FROM m),
+reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+k AS (SELECT a, min(b) FILTER (WHERE b NOT IN (SELECT a FROM m)) AS keeper FROM (SELECT a, b FROM reach UNION SELECT a, a FROM e) GROUP BY a)
+SELECT a AS old_id, keeper AS new_id FROM k WHERE a <> keeper""")
+def x7_components(spark, sf):
+    """Six in seven are merged into the seventh, and some have a second target in the same family."""
+    k = F.col("c_custkey")
+    name = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    rows = X.table(spark, sf, "customer")
+    first = rows.where(k % 7 > 0).select(name(k).alias("old_id"), name(k - k % 7).alias("new_id"))
+    second = rows.where(k % 21 == 5).select(name(k).alias("old_id"), name(k - 3).alias("new_id"))
+    return RS.resolve_merges(first.unionByName(second))
+
+
 @query("x8_repoint_record", """
 SELECT c.id, CASE WHEN v.id IS NOT NULL THEN v.person_id ELSE c.person_id END AS person_id FROM v_corpus c
 LEFT JOIN v_notes v ON 'doc-' || substr(v.id, 6) = 'doc-' || c.doc_id""")
@@ -577,9 +594,12 @@ def x8_record(spark, sf):
 
 
 @query("x9_repair_names", """
-SELECT person_id, display_name, FALSE AS changed FROM v_people""")
+SELECT person_id, display_name || ' é' AS display_name, CAST(substr(person_id, 2) AS BIGINT) % 3 = 0 AS changed FROM v_people""")
 def x9_repair(spark, sf):
-    return RS.repair_names(X.people(spark, sf)).select("person_id", "display_name", "changed")
+    """Every third name holds an accent whose bytes were read as Latin-1."""
+    broken = F.col("person_id").substr(2, 20).cast("bigint") % 3 == 0
+    people = X.people(spark, sf).withColumn("display_name", F.concat("display_name", F.when(broken, F.lit(" Ã©")).otherwise(F.lit(" é"))))
+    return RS.repair_names(people).select("person_id", "display_name", "changed")
 
 
 @query("j13_suggestion_evidence", """
@@ -648,7 +668,7 @@ def j11_records(spark, sf):
 SELECT 'mem-' || id AS id, 'email' AS kind, person_id, subject || chr(10) || body AS text,
    'Email — ' || CASE WHEN subject = '' THEN '' ELSE subject || ' — ' END || strftime(sent_at, '%b %d, %Y %H:%M') AS citation FROM v_emails
 UNION ALL SELECT 'mem-' || id, 'note', person_id, title || '. ' || body, 'Note — ' || strftime(noted_at, '%b %d, %Y %H:%M') FROM v_notes
-UNION ALL SELECT 'mem-' || id || CASE WHEN n = 1 THEN '' ELSE '-' || substr(p, 1, 8) END, 'calendar', p,
+UNION ALL SELECT 'mem-' || id || CASE WHEN n = 1 THEN '' ELSE '-' || p END, 'calendar', p,
    trim(title || '. . ' || description || ' ' || location), 'Calendar — ' || title || ' — ' || strftime(starts_at, '%b %d, %Y %H:%M')
  FROM (SELECT *, unnest(person_ids) AS p, generate_subscripts(person_ids, 1) AS n FROM v_calendar)""")
 def u2_memories(spark, sf):

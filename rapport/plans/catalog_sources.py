@@ -169,15 +169,14 @@ def s8_eml(spark, sf):
         "path", "from_address", "subject", "sent_at", "body", F.size("to").cast("bigint").alias("recipients"))
 
 
-@query("s8_email_rows", "SELECT id AS path, person_id || '@x.org' AS from_address, 'x ' || subject AS subject, sent_at FROM v_emails")
+@query("s8_email_rows", "SELECT id AS path, person_id || '@x.org' AS from_address, trim('x ' || subject) AS subject, sent_at FROM v_emails")
 def s8_rows(spark, sf):
     rows = X.emails(spark, sf).select(F.col("id").alias("path"), F.lit(0).alias("row_no"),
         F.array(F.lit("From"), F.lit("Title"), F.lit("Date"), F.lit("Snippet")).alias("columns"),
         F.create_map(F.lit("From"), F.concat(F.lit("Ann <"), "person_id", F.lit("@X.org>")), F.lit("Title"),
                      F.concat(F.lit("x "), "subject"), F.lit("Date"), F.date_format("sent_at", ISO),
                      F.lit("Snippet"), F.col("body")).alias("fields"))
-    return tabular.parse_email_rows(rows).select("path", "from_address", F.trim("subject").alias("subject"), "sent_at"
-        ).withColumn("subject", F.when(F.col("subject") == "x", "x ").otherwise(F.col("subject")))
+    return tabular.parse_email_rows(rows).select("path", "from_address", "subject", "sent_at")
 
 
 @query("s9_calendar_ics", """
@@ -239,7 +238,7 @@ def s11_text(spark, sf):
 
 
 @query("s12_notes", """
-SELECT 'note-' || substr(sha256('n' || doc_id || '.txt' || chr(31) || substr(text, 1, 400)), 1, 32) AS id,
+SELECT 'note-' || substr(sha256('n' || doc_id || '.txt' || chr(31) || text), 1, 32) AS id,
   trim(text, ' ' || chr(10)) AS body FROM documents WHERE trim(text, ' ' || chr(10)) <> ''""")
 def s12_notes(spark, sf):
     rows = X.table(spark, sf, "documents").select(
@@ -313,9 +312,9 @@ def s18_filter(spark, sf):
 
 
 @query("s19_verdict", f"""
-SELECT {PATH_SQL} AS path, CASE p_partkey % {len(PATHS)} WHEN 3 THEN 'unsupported file type: .js' WHEN 5 THEN 'unsupported file type: .jpg'
+SELECT {PATH_SQL} AS path, CASE p_partkey % {len(PATHS)}
  WHEN 10 THEN 'unsupported file type: .crdownload' WHEN 12 THEN 'unsupported file type: (none)' WHEN 13 THEN 'unsupported file type: (none)'
- ELSE CASE p_size % 5 WHEN 0 THEN 'empty file' WHEN 4 THEN 'file too large (4 > 3 bytes)' ELSE 'ok' END END AS verdict FROM part""")
+ ELSE CASE p_size % 5 WHEN 0 THEN 'empty file' WHEN 4 THEN CASE WHEN p_partkey % {len(PATHS)} IN (5, 14) THEN 'file too large (4 > 3 bytes)' ELSE 'ok' END ELSE 'ok' END END AS verdict FROM part""")
 def s19_verdict(spark, sf):
     return _paths(spark, sf).select("path", files.verdict(F.col("path"), F.col("size"), 3).alias("verdict"))
 

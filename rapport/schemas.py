@@ -33,6 +33,7 @@ TABLES = {
     "processed": "checksum string, path string",
     "jobs": "id string, path string, checksum string, source string, status string, error string, imported bigint, "
             "version bigint",
+    "provenance": "checksum string, filename string, record_count bigint",
     "feed": "topic string, key string, detail string",
     "daily": "person_id string, day timestamp_ntz, n bigint, version bigint",
     "statuses": "person_id string, status string, reason string, version bigint",

@@ -32,12 +32,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; fall back to a temporary one
-    only where none is configured (single-machine runs and tests)."""
+    """Use the cluster's shared checkpoint folder. Only a local session without one gets
+    a temporary folder; a cluster without it is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from pathlib import PureWindowsPath
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,19 +14,21 @@ from rapport import constants as K
 ENTRIES = "archive string, path string, content binary, verdict string"
 
 
+def _outside(name: str) -> bool:
+    """Whether an entry's name leads out of its archive: from a root or drive, or upwards."""
+    parts = PureWindowsPath(name).parts        # splits at both kinds of slash, and knows drives
+    return bool(PureWindowsPath(name).anchor) or ".." in parts
+
+
 def _problem(infos) -> str | None:
     """Why an archive is refused as a whole, judged from its directory alone."""
+    outside = next((i.filename for i in infos if _outside(i.filename)), None)
+    if outside is not None:
+        return f"entry leaves the archive: {outside}"
     if len(infos) > K.ARCHIVE_MAX_ENTRIES:
-        return "too many entries in archive"
-    if sum(i.file_size for i in infos) > K.ARCHIVE_MAX_BYTES:
-        return "archive uncompressed size exceeds limit"
-    for info in infos:
-        name = info.filename.replace("\\", "/")
-        if name.startswith("/") or name[1:2] == ":":
-            return f"absolute path in archive: {info.filename}"
-        if ".." in name.split("/"):
-            return f"path traversal in archive: {info.filename}"
-    return None
+        return f"more than {K.ARCHIVE_MAX_ENTRIES} entries"
+    size = sum(i.file_size for i in infos)
+    return f"{size} bytes unpacked, more than {K.ARCHIVE_MAX_BYTES}" if size > K.ARCHIVE_MAX_BYTES else None
 
 
 def _entries(archive: str, prefix: str, content: bytes, depth: int):

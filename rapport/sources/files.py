@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rapport import constants as K
 from rapport.functions.media import basename, extension, stem_of
 from rapport.functions.text import java_quote, lit_array, lit_map
+from rapport.operators.hooks import PARSERS
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -102,18 +103,20 @@ def route(path: Column, head: Column, root: str = "") -> Column:
     return F.coalesce(F.try_element_at(known, F.lit(1)), by_name, by_extension, by_content)
 
 
-def verdict(path: Column, size: Column, max_bytes: int = K.MEDIA_MAX_BYTES) -> Column:
-    """'ok', or the reason the file is refused."""
+def verdict(path: Column, size: Column, max_bytes: int | None = K.MEDIA_MAX_BYTES) -> Column:
+    """'ok', or the reason the file is refused. ``max_bytes`` holds for pictures and
+    recordings only; text of any size is taken. Registered parsers add extensions."""
     ext = extension(basename(path))
-    return (F.when(~ext.isin(K.ALLOWED_EXTENSIONS),
+    too_large = F.lit(False) if max_bytes is None else ext.isin(K.RECORDED_EXTENSIONS) & (size > max_bytes)
+    return (F.when(~ext.isin([*K.ALLOWED_EXTENSIONS, *PARSERS]),
                    F.concat(F.lit("unsupported file type: "), F.when(ext == "", "(none)").otherwise(ext)))
             .when(size == 0, "empty file")
-            .when(size > max_bytes, F.concat(F.lit("file too large ("), size.cast("string"),
+            .when(too_large, F.concat(F.lit("file too large ("), size.cast("string"),
                                              F.lit(f" > {max_bytes} bytes)")))
             .otherwise("ok"))
 
 
-def admitted(files: DataFrame, root: str = "", max_bytes: int = K.MEDIA_MAX_BYTES) -> DataFrame:
+def admitted(files: DataFrame, root: str = "", max_bytes: int | None = K.MEDIA_MAX_BYTES) -> DataFrame:
     """Files with source, checksum, verdict and decoded head; scope and progress
     filters applied."""
     path, size = F.col("path"), F.length("content").cast("bigint")

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rapport.functions.text import nfc
 from rapport.operators.hooks import PARSERS
 from rapport.sources import chat_json, chat_text, records, tabular
 from rapport.sources.files import with_text
@@ -30,6 +31,10 @@ SHAPES = {
 }
 
 
+#: Columns with people's names: composed, so that one name is one string.
+NAMES = {"messages": "sender_label", "emails": "from_label", "contacts": "name"}
+
+
 def _docx(files: DataFrame) -> DataFrame:
     rows = records.docx_text(files).where("docx_text != ''").select(
         "path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("docx_title").alias("title"),
@@ -43,7 +48,7 @@ CATALOGUE: dict[str, tuple[str, Parser]] = {
     "transcript": ("messages", chat_text.parse_transcript),
     "telegram": ("messages", chat_json.parse_telegram),
     "instagram": ("messages", chat_json.parse_instagram),
-    "x": ("messages", chat_json.parse_x),
+    "x": ("messages", lambda f: chat_json.parse_x(f, chat_json.x_users(f))),
     "generic_json": ("messages", lambda f: tabular.parse_generic(tabular.json_rows(f))),
     "generic_csv": ("messages", lambda f: tabular.parse_generic(tabular.csv_rows(f))),
     "generic_html": ("messages", lambda f: tabular.parse_generic(tabular.html_table_rows(f))),
@@ -79,10 +84,10 @@ FALLBACK = {
 
 def chain_for(source: str | None, ext: str) -> tuple[str, ...]:
     """Parser names for a file, first choice first; empty for media."""
+    if ext in PARSERS:
+        return (f"registered {ext}",)
     named = NAMED.get(source or "", {}).get(ext)
-    if named:
-        return (named,)
-    return (f"registered {ext}",) if ext in PARSERS else FALLBACK.get(ext, ())
+    return (named,) if named else FALLBACK.get(ext, ())
 
 
 def _as_is(_: str, rows: DataFrame) -> DataFrame:
@@ -106,7 +111,10 @@ def parse_all(files: DataFrame, keep: Keep = _as_is) -> dict[str, DataFrame]:
         for name in chain:
             table, parser = CATALOGUE.get(name) or ("messages", PARSERS[name.split(" ")[1]])
             columns = [c.split(" ")[0] for c in _columns(SHAPES[table])]
-            rows = keep(f"{number}-{name}".replace(" ", "-"), parser(rest).select(*columns))
+            own = parser(rest)
+            if table in NAMES:
+                own = own.withColumn(NAMES[table], nfc(F.col(NAMES[table])))
+            rows = keep(f"{number}-{name}".replace(" ", "-"), own.select(*columns))
             found[table].append(rows)
             if name != chain[-1]:
                 rest = rest.join(rows.select("path").distinct(), "path", "left_anti")

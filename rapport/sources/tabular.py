@@ -190,7 +190,7 @@ def parse_email_rows(rows: DataFrame) -> DataFrame:
 def with_email_id(rows: DataFrame) -> DataFrame:
     when = F.coalesce(F.date_format("sent_at", "yyyy-MM-dd HH:mm:ss"), F.lit("None"))
     return rows.withColumn("id", F.concat(F.lit("eml-"), deterministic_id(
-        F.col("from_address"), F.col("subject"), when, F.substring("body", 1, 200))))
+        F.col("from_address"), F.col("subject"), when, F.col("body"))))
 
 
 def parse_calendar_rows(rows: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def parse_calendar_rows(rows: DataFrame) -> DataFrame:
                       _people_list(pick(a["participants"])).alias("participants"))
     when = F.coalesce(F.date_format("starts_at", "yyyy-MM-dd HH:mm:ss"), F.lit("None"))
     return out.where("title != ''").withColumn("id", F.concat(F.lit("cal-"), deterministic_id(
-        F.col("title"), when, file_stem(F.col("path")))))
+        F.col("title"), when, F.col("location"), file_stem(F.col("path")))))
 
 
 def parse_contact_rows(rows: DataFrame) -> DataFrame:

@@ -37,10 +37,9 @@ def run_ingest(spark: SparkSession, folder: str, root: str, checkpoint: str, as_
     return (query.trigger(availableNow=True) if once else query.trigger(processingTime="10 seconds")).start()
 
 
-def unpacked(files: DataFrame, root: str) -> DataFrame:
+def unpacked(kept: DataFrame, root: str) -> DataFrame:
     """Admitted files, with the entries of ZIP archives in place of the archives.
     Entries share their archive's checksum in the processed table."""
-    kept = admitted(files, root)
     plain = kept.where(F.col("ext") != ".zip")
     entries = expand_archives(kept.where((F.col("ext") == ".zip") & (F.col("verdict") == "ok")))
     good = entries.where("verdict = 'ok'").select(
@@ -55,16 +54,22 @@ def unpacked(files: DataFrame, root: str) -> DataFrame:
 
 
 def ingest(archive: Archive, files: DataFrame, batch: int, as_of, root: str = "") -> None:
-    """One batch: dedupe by content, parse, resolve people, insert what is new,
+    """One batch: admit, dedupe by content, parse, resolve people, insert what is new,
     emit ledger rows and memories, refresh the profiles that changed.
 
+    Only what was admitted counts as processed: a half-written or out-of-scope copy
+    neither hides a good one nor keeps a finished download from being imported.
+
     Every stage writes its table and later stages read the written rows, so no
     stage recomputes an earlier one and a lost executor costs one stage at most."""
     before = lambda name: archive.read(name, before=batch)
-    fresh = unprocessed(files.where(F.length("content") > 0), before("processed"))
-    fresh = fresh.persist()
+    kept = admitted(files, root).persist()
+    taken = kept.where("verdict = 'ok'")
+    fresh = unprocessed(taken, before("processed")).persist()
     archive.write("processed", fresh.select("checksum", "path"), batch)
-    work = unpacked(fresh.drop("checksum"), root).persist()
+    known = taken.join(before("processed").select("checksum"), "checksum", "left_semi")
+    work = unpacked(fresh.unionByName(kept.where("verdict != 'ok'")), root).persist()
+    _started(archive, work, batch)
     parsed = parse_all(work.where("verdict = 'ok'"), lambda name, rows: archive.stage(name, rows, batch))
 
     people, identities = before("people"), before("identities")
@@ -100,35 +105,58 @@ def ingest(archive: Archive, files: DataFrame, batch: int, as_of, root: str = ""
     notes = archive.insert_new("notes", parsed["notes"], batch, ["path"])
     documents = archive.insert_new("documents", parsed["documents"], batch, ["path"])
     voice = archive.batch("voice", batch)
-    is_media = F.col("ext").isin(list(K.MEDIA_TYPES)) & ~F.col("ext").isin(".zip", ".vcf", ".pdf", ".docx")
-    archive.insert_new("media", ML.media_catalogue(work.where(is_media)), batch, ["path"])
+    is_media = F.col("ext").isin(list(K.MEDIA_TYPES)) & ~F.col("ext").isin(".zip", ".vcf", ".docx")
+    archive.insert_new("media", ML.media_catalogue(work.where(is_media & (F.col("verdict") == "ok"))), batch, ["path"])
 
     archive.insert_new("events", R.ledger_events(messages, emails, calendar, notes, voice), batch, ["id"])
     archive.insert_new("memories", memories_of(messages, emails, calendar, notes, documents), batch, ["id"])
     touched = archive.batch("events", batch).select("person_id").distinct()
     profiles = archive.write("profiles", P.refresh_profiles(
         touched, people, archive.read("events"), archive.read("memories"), archive.read("calendar"), as_of), batch)
-    _finish(archive, work, batch, profiles)
-    for frame in (fresh, work):
+    _finish(archive, work, known, parsed, batch, profiles)
+    for frame in (kept, fresh, work):
         frame.unpersist()
 
 
-def _finish(archive: Archive, work: DataFrame, batch: int, profiles: DataFrame) -> None:
-    """Job states per file (a file that gave no row failed) and the progress feed."""
-    imported = None
-    for name in ("messages", "emails", "calendar", "notes", "documents", "media"):
-        part = archive.batch(name, batch).select("path")
-        imported = part if imported is None else imported.unionByName(part)
-    counts = imported.groupBy("path").agg(F.count("*").alias("imported"))
-    stored = F.coalesce("imported", F.lit(0))
+def _job_id(batch: int):
+    return F.concat(F.lit("job-"), deterministic_id(F.col("path"), F.lit(batch))).alias("id")
+
+
+def _started(archive: Archive, work: DataFrame, batch: int) -> None:
+    """Jobs of a running batch; its end overwrites them, and ``resumed`` queues those
+    of a batch that broke off."""
+    archive.write("jobs", work.select(_job_id(batch), "path", "checksum", "source", F.lit("PROCESSING").alias("status"),
+                                      F.lit(batch).alias("version")), batch)
+
+
+def _per_path(parts: list[DataFrame], name: str) -> DataFrame:
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows.groupBy("path").agg(F.count("*").alias(name))
+
+
+def _finish(archive: Archive, work: DataFrame, known: DataFrame, parsed: dict[str, DataFrame], batch: int,
+            profiles: DataFrame) -> None:
+    """Job states per file, provenance and the progress feed. A file that gave rows is
+    COMPLETED, or SKIPPED when the archive held all of them; one without rows FAILED."""
+    new = _per_path([archive.batch(name, batch).select("path") for name in (
+        "messages", "emails", "calendar", "notes", "documents", "media")] + [parsed["contacts"].select("path")], "imported")
+    media = archive.batch("media", batch).select("path")
+    read = _per_path([rows.select("path") for rows in parsed.values()] + [media], "records")
     refused = F.col("verdict") != "ok"
-    status = (F.when(F.col("verdict").startswith("quarantined"), "QUARANTINED").when(refused, "FAILED")
-              .when((stored > 0) | F.col("ext").isin(".vcf"), "COMPLETED").otherwise("FAILED"))
-    jobs = work.select("path", "checksum", "source", "ext", "verdict").join(counts, "path", "left").select(
-        F.concat(F.lit("job-"), deterministic_id(F.col("path"), F.lit(batch))).alias("id"), "path", "checksum", "source",
-        status.alias("status"), F.when(refused, F.col("verdict")).when(stored == 0, "no new records").alias("error"),
-        stored.alias("imported"), F.lit(batch).alias("version"))
-    jobs = archive.write("jobs", jobs, batch)
+    found, stored = F.coalesce("records", F.lit(0)), F.coalesce("imported", F.lit(0))
+    status = (F.when(F.col("verdict").startswith("quarantined"), "QUARANTINED").when(refused | (found == 0), "FAILED")
+              .when(stored == 0, "SKIPPED").otherwise("COMPLETED"))
+    error = F.when(refused, F.col("verdict")).when(found == 0, "no records found").when(stored == 0, "no new records")
+    files = work.select("path", "checksum", "source", "ext", "verdict").join(read, "path", "left").join(new, "path", "left")
+    jobs = files.select(_job_id(batch), "path", "checksum", "source", status.alias("status"), error.alias("error"),
+                        stored.alias("imported"), F.lit(batch).alias("version"))
+    again = known.select(_job_id(batch), "path", "checksum", "source", F.lit("SKIPPED").alias("status"),
+                         F.lit("already imported").alias("error"), F.lit(0).alias("imported"), F.lit(batch).alias("version"))
+    archive.write("provenance", files.where(found > 0).select(
+        "checksum", F.col("path").alias("filename"), found.alias("record_count")), batch)
+    jobs = archive.write("jobs", jobs.unionByName(again), batch)
     feed = jobs.select(F.lit("job").alias("topic"), F.col("path").alias("key"), F.col("status").alias("detail")).unionByName(
         profiles.select(F.lit("person").alias("topic"), F.col("person_id").alias("key"), F.col("status").alias("detail")))
     archive.write("feed", feed, batch)

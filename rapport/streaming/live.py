@@ -18,7 +18,7 @@ def without_repeats(stream: DataFrame, key: str = "path", at: str = "seen_at", w
 
 def split_future(rows: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
     """(rows up to the clock, future-dated rows). The latter stay in lifetime counts."""
-    future = F.col("occurred_at") > ntz(as_of)
+    future = F.coalesce(F.col("occurred_at") > ntz(as_of), F.lit(False))     # without a time: not future
     return rows.where(~future), rows.where(future)
 
 
@@ -26,18 +26,25 @@ def activity_windows(stream: DataFrame, width: str = "14 days", slide: str = "1
                      lateness: str = "1 day") -> DataFrame:
     """Sliding counts per person with bounded lateness. The aggregate is Spark's own,
     so a busy person is combined on every task before the shuffle."""
-    return (stream.where(has_person(F.col("person_id"))).withWatermark("occurred_at", lateness)
+    return (timed(stream.where(has_person(F.col("person_id"))), "occurred_at").withWatermark("occurred_at", lateness)
             .groupBy("person_id", F.window("occurred_at", width, slide).alias("w"))
             .agg(F.count("*").alias("n"))
             .select("person_id", F.col("w.end").alias("window_end"), "n"))
 
 
-def daily_counts(stream: DataFrame, lateness: str = "60 days") -> DataFrame:
-    """Running (person, day) counts: the buckets live counters are added up from."""
-    return (stream.where(has_person(F.col("person_id"))).withWatermark("occurred_at", lateness)
-            .groupBy("person_id", F.window("occurred_at", "1 day").alias("w"))
-            .agg(F.count("*").alias("n"))
-            .select("person_id", F.col("w.start").cast("timestamp_ntz").alias("day"), "n"))
+def timed(stream: DataFrame, at: str) -> DataFrame:
+    """Watermarks take TIMESTAMP only; the ledger holds wall-clock times, read as UTC."""
+    if stream.schema[at].dataType.typeName() == "timestamp_ntz":
+        return stream.withColumn(at, F.col(at).cast("timestamp"))
+    return stream
+
+
+def daily_counts(rows: DataFrame) -> DataFrame:
+    """(person, day) counts of a micro-batch: additive buckets. There is no state and
+    no watermark, so rows of any age count, and a future-dated row makes nothing late."""
+    day = F.date_trunc("day", F.col("occurred_at").cast("timestamp_ntz")).cast("timestamp_ntz")
+    return (rows.where(has_person(F.col("person_id")) & F.col("occurred_at").isNotNull())
+            .groupBy("person_id", day.alias("day")).agg(F.count("*").alias("n")))
 
 
 def status_from_days(daily: DataFrame, as_of, rules: str = "classic") -> DataFrame:
@@ -53,12 +60,12 @@ def status_from_days(daily: DataFrame, as_of, rules: str = "classic") -> DataFra
 
 
 def status_changes(archive: Archive, as_of, rules: str = "classic"):
-    """``foreachBatch`` handler for :func:`daily_counts` in update mode: stores the
-    buckets, and publishes a row for everybody whose status became another."""
+    """``foreachBatch`` handler for a stream of ledger rows: stores the batch's day
+    buckets, and publishes a row for everybody whose status became another. A replayed
+    batch overwrites its own buckets."""
     def handle(rows: DataFrame, batch: int) -> None:
-        archive.write("daily", rows.withColumn("version", F.lit(batch)), batch)
-        daily = latest(archive.read("daily"), ["person_id", "day"], "version")
-        current = status_from_days(daily, as_of, rules).select("person_id", "status", "reason")
+        archive.write("daily", daily_counts(rows).withColumn("version", F.lit(batch)), batch)
+        current = status_from_days(archive.read("daily"), as_of, rules).select("person_id", "status", "reason")
         known = latest(archive.read("statuses", before=batch), ["person_id"], "version").select(
             "person_id", F.col("status").alias("was"))
         changed = current.join(known, "person_id", "left").where(~F.col("status").eqNullSafe(F.col("was")))
@@ -74,8 +81,8 @@ def media_with_messages(references: DataFrame, media: DataFrame, lateness: str =
     sent_at) with media (media_id, filename_key, arrived_at): whichever comes first
     waits for the other within the lateness; what comes later is linked by the batch
     reconciliation."""
-    left = references.withWatermark("sent_at", lateness).alias("r")
-    right = media.withWatermark("arrived_at", lateness).alias("m")
+    left = timed(references, "sent_at").withWatermark("sent_at", lateness).alias("r")
+    right = timed(media, "arrived_at").withWatermark("arrived_at", lateness).alias("m")
     near = (F.col("r.filename_key") == F.col("m.filename_key")) & (
         F.col("m.arrived_at") >= F.col("r.sent_at") - F.expr(f"interval {lateness}")) & (
         F.col("m.arrived_at") <= F.col("r.sent_at") + F.expr(f"interval {lateness}"))

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from rapport.operators import ledger as L
 from rapport.sinks.tables import Archive
 from rapport.streaming.ingest import linked_media, run_ingest
-from rapport.streaming.live import (activity_windows, daily_counts, media_with_messages, split_future, status_changes,
-                                    without_repeats)
+from rapport.streaming.live import activity_windows, media_with_messages, split_future, status_changes, without_repeats
 
 AS_OF = "2024-01-10 00:00:00"
 CHAT = "02/01/24, 8:42 PM - Alice Doe: hi\n02/01/24, 8:43 PM - Me: IMG-1-WA1.jpg (file attached)\n"
@@ -69,7 +68,7 @@ def test_live_counters_and_status_changes(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema("person_id string, occurred_at timestamp").parquet(src)
-        q = (daily_counts(stream).writeStream.outputMode("update").foreachBatch(status_changes(archive, "2024-01-20 00:00:00"))
+        q = (stream.writeStream.foreachBatch(status_changes(archive, "2024-01-20 00:00:00"))
              .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
         q.awaitTermination()
 
