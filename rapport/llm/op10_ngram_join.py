@@ -1,6 +1,6 @@
 """Jaccard join on word n-grams by rare-first prefix filtering, and the groups that its links make.
 
-1. One pass over the texts gives each document's set size, a fingerprint of its set, a 64-bin histogram of the set, and
+1. One pass over the texts gives each document's set size, a fingerprint of its set, a 128-bin histogram of the set, and
    the counts of n-grams in a fixed number of buckets (a sketch over all documents, summed on the cluster).
 2. Documents with equal sets are one class. A class's n-grams are put in order of rising bucket count, and its prefix
    (n - ceil(t n) + 1 of them) becomes postings. Two sets at or above the threshold share a prefix n-gram.
@@ -8,13 +8,13 @@
    about as many pairs as there are members. Pairs pass the length filter and the histogram bound (a suffix filter: the sum
    of the smaller counts limits the overlap) and are then verified once, on whole sets.
 4. Then every pair of a list whose members are not yet in one component is treated alike, after the positional filter
-   (what is left of both sets behind the shared n-gram limits the overlap). Lists beyond ``BLOCK`` members
+   (what is left of both sets behind the shared n-gram limits the overlap) and the histogram bound. Lists beyond ``BLOCK`` members
    are cut in blocks that meet pair by pair. So no link between different components is lost.
 
 Defined results: a text without words (or null) has an empty set and links with nothing; fewer words than n are one
 n-gram; a null id is kept with a null component and links nothing; repeated rows are alike and get the same component;
 ties do not occur, since sets either reach the threshold (in whole numbers) or do not. Texts are never cut. Sets are held
-as 64-bit hashes.
+as 64-bit hashes, of which 48 bits travel to be compared.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from rapport.llm.components import components
 from rapport.llm.shared import col, fresh, staged, table
 
 #: Buckets of the n-gram counts; bins of a set's histogram.
-BUCKETS, BINS = 1 << 18, 64
+BUCKETS, BINS = 1 << 18, 128
 #: Members of a posting list that one task compares with each other, and pairs that it holds at once.
 BLOCK, AT_ONCE = 4_096, 2_000_000
 #: Bits of the filter that says which sets are needed: 16 for each, within these bounds.
@@ -75,7 +75,7 @@ def histograms(gram: np.ndarray, bound: np.ndarray) -> np.ndarray:
     """Counts of each set in ``BINS`` bins, as bytes; 255 stands for 255 or more."""
     rows = len(bound) - 1
     owner = np.repeat(np.arange(rows), np.diff(bound))
-    cell = owner * BINS + (gram >> np.uint64(58)).astype(np.int64)
+    cell = owner * BINS + (gram >> np.uint64(57)).astype(np.int64)
     return np.minimum(np.bincount(cell, minlength=rows * BINS), 255).astype(np.uint8).reshape(rows, BINS)
 
 
@@ -140,46 +140,59 @@ def _postings(n: int, num: int, den: int, counts):
     return run, "token bigint, fp bigint, n int, pos int"
 
 
-LISTS = "token bigint, fp bigint, n int, pos int, lead bigint, lead_n int, back bigint, back_n int"
+LISTS = "token bigint, fp bigint, n int, pos int, lead bigint, lead_n int, back bigint, back_n int, deep boolean"
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings, ordered by (token, fp): those of tokens with two classes or more, beside their list's first and the one before.
+    """Postings, ordered by (token, fp): those of tokens with two classes or more, beside their list's first and the one
+    before; ``deep`` where a list has three or more.
 
-    Streams; the last posting of a batch is held until the next one tells whether its list goes on.
+    Streams; a batch's last list is held while it has fewer than three.
     """
-    names = LISTS.replace(" bigint", "").replace(" int", "").split(", ")
-    held, lead, back, joined_ = None, None, None, False        # joined_: the held posting's list has others already
+    names = LISTS.replace(" bigint", "").replace(" int", "").replace(" boolean", "").split(", ")
+    held = None                       # rows of a list of one or two
+    going = None                      # a list of three or more: token, first fp and n, last fp and n
+
+    def given(own, leads, backs, deep):
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (*own, *leads, *backs, deep)], names)
+
     for batch in batches:
         own = [batch.column(i).to_numpy() for i in range(4)]
         if not len(own[0]):
             continue
         if held is not None:
-            own = [np.concatenate([[x], y]).astype(y.dtype) for x, y in zip(held, own)]
-        token, fp = own[0], own[1]
-        keep = np.concatenate([[True], (token[1:] != token[:-1]) | (fp[1:] != fp[:-1])])
+            own = [np.concatenate(pair) for pair in zip(held, own)]
+        keep = np.concatenate([[True], (own[0][1:] != own[0][:-1]) | (own[1][1:] != own[1][:-1])])
+        if going is not None and own[0][0] == going[0] and own[1][0] == going[3]:
+            keep[0] = False
         own = [v[keep] for v in own]
-        token = own[0]
-        same = token[1:] == token[:-1]
-        head = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(token)), 0))
+        token, count = own[0], len(own[0])
+        if not count:
+            continue
+        opens = np.concatenate([[True], token[1:] != token[:-1]])
+        head = np.maximum.accumulate(np.where(opens, np.arange(count), 0))
+        many = np.bincount(head, minlength=count)[head]
         leads = [v[head] for v in own[1:3]]
-        backs = [np.concatenate([v[:1], v[:-1]]) for v in own[1:3]]      # of a list's first: any
-        if held is not None:
-            for values, value in zip(leads, lead):
-                values[head == 0] = value
-            for values, value in zip(backs, back):
+        backs = [np.where(opens, v, np.concatenate([v[:1], v[:-1]])) for v in own[1:3]]
+        if going is not None and token[0] == going[0]:
+            first = head == 0
+            many[first] = 3
+            for values, value in zip(leads, going[1:3]):
+                values[first] = value
+            for values, value in zip(backs, going[3:5]):
                 values[0] = value
-        several = np.concatenate([[joined_], same])
-        several[:-1] |= same
-        opens = head == np.arange(len(token))
-        opens[0] = not joined_
-        backs = [np.where(opens, a, b) for a, b in zip(leads, backs)]
-        out = [v[:-1][several[:-1]] for v in (*own, *leads, *backs)]
-        held, lead, back, joined_ = [v[-1] for v in own], [v[-1] for v in leads], [v[-1] for v in backs], bool(several[-1])
-        if len(out[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in out], names)
-    if joined_:
-        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (*held, *lead, *back)], names)
+        last = head == head[-1]
+        if many[-1] > 2:
+            held, going = None, (token[-1], leads[0][-1], leads[1][-1], own[1][-1], own[2][-1])
+            out = many > 1
+        else:
+            held, going = [v[last] for v in own], None
+            out = (many > 1) & ~last
+        if out.any():
+            yield given([v[out] for v in own], [v[out] for v in leads], [v[out] for v in backs], many[out] > 2)
+    if held is not None and len(held[0]) == 2:
+        first = [np.repeat(v[:1], 2) for v in held[1:3]]
+        yield given(held, first, first, np.zeros(2, bool))
 
 
 def bounded(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -192,6 +205,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BINS)
 
 
+def packed(gram: np.ndarray) -> bytes:
+    """A set for the way: 48 bits of each hash."""
+    return np.ascontiguousarray(gram.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def unpacked(data: pa.Scalar) -> np.ndarray:
+    out = np.zeros((data.as_buffer().size // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def _verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets reach the threshold."""
     @F.arrow_udf("boolean")
@@ -232,7 +256,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, num:
                 take = [i for i in np.flatnonzero(hit) if not (fps[i] in seen or seen.add(fps[i]))]
                 if take:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(fps[take]), pa.array([gram[bound[i]:bound[i + 1]].tobytes() for i in take], pa.binary())],
+                        [pa.array(fps[take]), pa.array([packed(gram[bound[i]:bound[i + 1]]) for i in take], pa.binary())],
                         ["fp", "grams"])
 
     found = texts.mapInArrow(sets, "fp bigint, grams binary").join(needed, "fp", "left_semi")
@@ -242,8 +266,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, num:
     def enough(left: pa.Array, right: pa.Array) -> pa.Array:
         out = np.zeros(len(left), bool)
         for i, (x, y) in enumerate(zip(left, right)):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = np.concatenate([x, y])
+            both = np.concatenate([unpacked(x), unpacked(y)])
             both.sort()
             common = int((both[1:] == both[:-1]).sum())
             out[i] = den * common >= num * (len(both) - common)
@@ -261,17 +284,20 @@ def _bits(fp: np.ndarray, bits: int) -> list[np.ndarray]:
 
 def _cross_pairs(num: int, den: int):
     """Rows in order of (token, low, high): the pairs of each list (or two of its blocks) from different components."""
-    def pairs(i, j, fp, size, pos, label, block, apart):
-        met = (label[i] != label[j]) & ((block[i] != block[j]) | ~apart[i])
+    def pairs(i, j, fp, size, pos, label, block, bins, split):
+        met = (label[i] != label[j]) & ((block[i] != block[j]) | ~split[i])
         i, j = i[met], j[met]
         small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
         left = 1 + np.minimum(size[i] - pos[i], size[j] - pos[j]) - 1
         met = (den * small >= num * large) & (left * (num + den) >= num * (small + large))
         i, j = i[met], j[met]
+        most = [bounded(bins[i[k:k + 50_000]], bins[j[k:k + 50_000]]) for k in range(0, len(i), 50_000)]
+        met = np.concatenate([np.zeros(0, np.int64), *most]) * (num + den) >= num * (size[i].astype(np.int64) + size[j])
+        i, j = i[met], j[met]
         return np.unique(np.stack([np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])], axis=1), axis=0)
 
     def compared(columns):
-        token, low, high, fp, size, pos, label, block = columns
+        token, low, high, fp, size, pos, label, block, bins = columns
         n = len(token)
         new = np.concatenate([[True], (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
         start = np.flatnonzero(new)
@@ -279,13 +305,13 @@ def _cross_pairs(num: int, den: int):
         owner = np.cumsum(new) - 1
         after = (start + many)[owner] - np.arange(n) - 1           # members behind each in its list
         upto = np.concatenate([[0], np.cumsum(after)])
-        apart = low != high
+        split = low != high
         at = 0
         while at < n:                                              # some rows at once, each with all behind it
             stop = max(at + 1, int(np.searchsorted(upto, upto[at] + AT_ONCE, "right")) - 1)
             i = np.repeat(np.arange(at, stop), after[at:stop])
             j = i + 1 + np.arange(len(i)) - np.repeat(upto[at:stop] - upto[at], after[at:stop])
-            found = pairs(i, j, fp, size, pos, label, block, apart)
+            found = pairs(i, j, fp, size, pos, label, block, bins, split)
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
             at = stop
@@ -293,7 +319,7 @@ def _cross_pairs(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = None                                             # a list goes on in the next batch
         for batch in batches:
-            columns = [c.to_numpy() for c in batch.columns]
+            columns = [c.to_numpy() for c in batch.columns[:-1]] + [_matrix(batch.columns[-1])]
             if not len(columns[0]):
                 continue
             if waiting is not None:
@@ -334,14 +360,15 @@ def links(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> t
     label = components(linked)
 
     # Lists that still hold different components; the others are done, and so are those of two.
-    tagged = staged(lists.select("token", "fp", "n", "pos").join(label.withColumnRenamed("node", "fp"), "fp", "left")
+    tagged = staged(lists.where("deep").select("token", "fp", "n", "pos").join(label.withColumnRenamed("node", "fp"), "fp", "left")
                     .withColumn("label", F.coalesce("label", "fp")), "tagged")
     mixed = (tagged.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m"))
-             .where("x != y AND m > 2").select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
+             .where("x != y").select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
     members = (tagged.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                .select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-                       "fp", "n", "pos", "label", "block"))
+                       "fp", "n", "pos", "label", "block")
+               .join(classes.select("fp", "bins"), "fp").select("token", "low", "high", "fp", "n", "pos", "label", "block", "bins"))
     pairs = (members.repartition(parts, "token", "low", "high").sortWithinPartitions("token", "low", "high")
              .mapInArrow(_cross_pairs(num, den), "a bigint, b bigint").distinct())
     pairs = staged(pairs.join(stars, ["a", "b"], "left_anti"), "cross-pairs")
