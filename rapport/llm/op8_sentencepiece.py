@@ -3,7 +3,7 @@
 Three machines are compiled from the model file and composed with each input as it is read:
 
 * the normaliser: a space marker before a text and in place of each space (identity maps only);
-* the pieces: a trie from characters to pieces;
+* the pieces: a trie from characters, last one first, to pieces;
 * byte fallback: a character that is no piece becomes the pieces of its UTF-8 bytes.
 
 The encoding is the shortest path in the tropical semiring. In a unigram model an arc weighs minus the piece's score. A BPE
@@ -12,8 +12,8 @@ where merging the two pieces' characters leaves exactly these two, and infinity
 all of this kind is what merging gives, so exactly one path of weight 0 is left, the one that the model means, and one
 state per position is enough.
 
-No piece runs across the start of a marked word or a line end, so texts are cut there, and the paths of frequent words are
-remembered (a bounded number).
+No piece runs across the start of a marked word or a line end, nor (where the model's pieces show it) across the end of a
+run of letters, so texts are cut there, and the paths of frequent segments are remembered (a bounded number).
 
 Defined results: null gives null ids, an empty text no ids; every other text, however long, is encoded whole and decodes
 to itself (but for U+2581, the marker, which decodes to a space, as the format has it); repeated rows are alike. Extra
@@ -37,11 +37,14 @@ from rapport.llm.shared import col, fresh, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Words whose paths a worker remembers.
-REMEMBERED = 400_000
+#: Segments whose paths a worker remembers, and bytes of texts (one at least) that it takes at once.
+REMEMBERED, AT_ONCE = 600_000, 2 << 20
 INFINITE = float("inf")
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
-_SEGMENT = re.compile(r" *[^ \n]+| +|\n")
+#: Cuts before a marked word and around line ends, and (finer) also behind a run of letters.
+_COARSE = re.compile(r" *[^ \n]+| +|\n")
+_FINE = re.compile(r" *(?:[^\w \n]|[\d_])*[^\W\d_]+| *(?:[^\w \n]|[\d_])+| +|\n")
+_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -107,7 +110,7 @@ class Transducer:
 
     def __init__(self, model: Model):
         self.model, self.size = model, len(model.pieces)
-        self.trie: dict = {}
+        self.trie: list = [{}, None]       # a node: its children, and the piece that ends here
         self.byte = [0] * 256
         self.known: dict[str, int] = {}
         raw = []
@@ -115,9 +118,9 @@ class Transducer:
             if kind in (_NORMAL, _USER, _UNUSED):
                 self.known[piece] = i
                 node = self.trie
-                for ch in piece:
-                    node = node.setdefault(ch, {})
-                node[""] = i
+                for ch in reversed(piece):
+                    node = node[0].setdefault(ch, [{}, None])
+                node[1] = i
             if kind == _BYTE:
                 self.byte[int(piece[3:5], 16)] = i
             raw.append(bytes([int(piece[3:5], 16)]) if kind == _BYTE else b"" if kind == _CONTROL
@@ -126,14 +129,30 @@ class Transducer:
         self.raw_head = np.cumsum(self.raw_size) - self.raw_size
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.weight = [0.0] * self.size if model.bpe else [-s for s in model.scores]
-        self.fallback = 0.0 if model.bpe else 10.0 - min(model.scores)
+        self.fallback = 10.0 - min(model.scores)
         self.legal: dict[int, bool] = {}
+        across = {a for piece in self.known for a, b in zip(piece, piece[1:]) if _LETTER.match(a) and not _LETTER.match(b)}
+        odd = "".join(map(re.escape, sorted(a for a in across if not a.isalpha())))
+        self.segment = _COARSE if any(a.isalpha() for a in across) else _FINE
+        self.odd = re.compile(f"[{odd}]") if odd else None     # texts with these are cut coarsely
         self.forget()
 
     def forget(self) -> None:
         self.seen: dict[str, int] = {}
-        self.flat: list[int] = []
-        self.heads, self.sizes = [], []
+        self.bound = np.zeros(1 << 16, np.int64)        # where each remembered path begins in ``flat``, and the last ends
+        self.flat = np.zeros(1 << 18, np.int32)
+
+    def remember(self, paths: list[list[int]], known: int) -> None:
+        """Lay down the paths of new segments behind the first ``known`` ones."""
+        size = np.fromiter(map(len, paths), np.int64, len(paths))
+        start = int(self.bound[known])
+        ends = start + np.cumsum(size)
+        while known + len(paths) >= len(self.bound):
+            self.bound = np.concatenate([self.bound, np.zeros_like(self.bound)])
+        while ends[-1] > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.bound[known + 1:known + 1 + len(paths)] = ends
+        self.flat[start:ends[-1]] = np.fromiter((piece for path in paths for piece in path), np.int32, int(size.sum()))
 
     def merged(self, text: str) -> list[str]:
         """What the merges make of a short text: join the neighbours with the best piece, leftmost first, to the end."""
@@ -162,30 +181,65 @@ class Transducer:
 
     def encode(self, segment: str) -> list[int]:
         """Shortest path through the composition with one segment (spaces already marked)."""
-        n, bpe, weight = len(segment), self.model.bpe, self.weight
-        cost = [INFINITE] * (n + 1)
-        last, back = [-1] * (n + 1), [0] * (n + 1)
-        cost[0] = 0.0
-        legal, size = self.legal, self.size
-        for i in range(n):
-            here, before = cost[i], last[i]
-            node = self.trie
-            for j in range(i, n):
-                node = node.get(segment[j])
-                if node is None:
+        return (self._merge_paths if self.model.bpe else self._light_paths)([segment])[0]
+
+    def _light_paths(self, segments: list[str]) -> list[list[int]]:
+        """Paths of least weight, for models whose pieces have weights."""
+        out, weight = [], self.weight
+        for segment in segments:
+            n = len(segment)
+            cost, last, back = [0.0] + [INFINITE] * n, [-1] * (n + 1), [0] * (n + 1)
+            for j in range(1, n + 1):
+                node, i = self.trie, j
+                while i:
+                    i -= 1
+                    node = node[0].get(segment[i])
+                    if node is None:
+                        break
+                    piece = node[1]
+                    if piece is not None and cost[i] + weight[piece] < cost[j]:
+                        cost[j], last[j], back[j] = cost[i] + weight[piece], piece, i
+                if segment[j - 1] not in self.known and cost[j - 1] + self.fallback < cost[j]:
+                    cost[j], last[j], back[j] = cost[j - 1] + self.fallback, -1, j - 1
+            out.append(self._path(segment, last, back))
+        return out
+
+    def _merge_paths(self, segments: list[str]) -> list[list[int]]:
+        """Paths of weight 0: a position is reached by the one piece that may follow there. What a position is reached by
+        depends on what lies before it only, so segments in order share the states of their common beginnings."""
+        out, size, trie, legal, follows = [], self.size, self.trie, self.legal, self.follows
+        before, last, back = "", [-1], [0]
+        for segment in segments:
+            k = 0
+            for x, y in zip(segment, before):
+                if x != y:
                     break
-                piece = node.get("")
-                if piece is None or here + weight[piece] >= cost[j + 1]:
-                    continue
-                if bpe:
-                    ok = legal.get((before + 1) * size + piece)
-                    if not (self.follows(before, piece) if ok is None else ok):
-                        continue
-                cost[j + 1], last[j + 1], back[j + 1] = here + weight[piece], piece, i
-            if segment[i] not in self.known and here + self.fallback < cost[i + 1]:
-                cost[i + 1], last[i + 1], back[i + 1] = here + self.fallback, -1, i
+                k += 1
+            del last[k + 1:], back[k + 1:]
+            before = segment
+            for j in range(k + 1, len(segment) + 1):
+                node, i = trie, j
+                while i:
+                    i -= 1
+                    node = node[0].get(segment[i])
+                    if node is None:
+                        i = -1
+                        break
+                    piece = node[1]
+                    if piece is not None:
+                        ok = legal.get((last[i] + 1) * size + piece)
+                        if follows(last[i], piece) if ok is None else ok:
+                            break
+                else:
+                    i = -1
+                last.append(piece if i >= 0 else -1)
+                back.append(i if i >= 0 else j - 1)          # no piece: bytes
+            out.append(self._path(segment, last, back))
+        return out
+
+    def _path(self, segment: str, last: list[int], back: list[int]) -> list[int]:
         path = []
-        at = n
+        at = len(segment)
         while at:
             piece = last[at]
             path.append([piece] if piece >= 0 else [self.byte[b] for b in segment[at - 1].encode()])
@@ -194,35 +248,33 @@ class Transducer:
 
     def remembered(self, segments: list[str]) -> np.ndarray:
         """Index of each segment's path in the remembered ones."""
-        codes = list(map(self.seen.get, segments))
+        seen = self.seen
+        codes = list(map(seen.get, segments))
         if None in codes:
-            for k, code in enumerate(codes):
-                if code is None:
-                    segment = segments[k]
-                    code = self.seen.get(segment)
-                    if code is None:
-                        path = self.encode(segment.replace(" ", MARK))
-                        code = self.seen[segment] = len(self.heads)
-                        self.heads.append(len(self.flat))
-                        self.sizes.append(len(path))
-                        self.flat.extend(path)
-                    codes[k] = code
+            known = len(seen)
+            missing = [k for k, code in enumerate(codes) if code is None]
+            new = sorted({segments[k] for k in missing})
+            paths = self._merge_paths if self.model.bpe else self._light_paths
+            self.remember(paths([s.replace(" ", MARK) for s in new]), known)
+            seen.update(zip(new, range(known, known + len(new))))
+            for k in missing:
+                codes[k] = seen[segments[k]]
         return np.array(codes, np.int64)
 
     def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end to end, and where each text's ids begin (and the last end)."""
         if len(self.seen) > REMEMBERED:
             self.forget()
-        codes, counts = [], []
+        segments, counts = [], []
         lead = " " if self.model.prefix else ""
         for text in texts:
-            segments = _SEGMENT.findall(lead + text) if text else []
-            codes.append(self.remembered(segments))
-            counts.append(len(segments))
-        code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-        heads, sizes, flat = np.array(self.heads, np.int64), np.array(self.sizes, np.int64), np.array(self.flat, np.int32)
-        size = sizes[code] if len(code) else np.zeros(0, np.int64)
-        ids = flat[_ranges(heads[code], size)] if len(code) else np.zeros(0, np.int32)
+            cut = _COARSE if text and self.odd and self.odd.search(text) else self.segment
+            own = cut.findall(lead + text) if text else []
+            segments += own
+            counts.append(len(own))
+        code = self.remembered(segments)
+        size = self.bound[code + 1] - self.bound[code]
+        ids = self.flat[_ranges(self.bound[code], size)]
         ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
         return ids, ends
 
@@ -275,8 +327,13 @@ def encoder(spark, path: str = MODEL):
         is_byte[machine.byte] = True
         for batch in column:
             ids_, ends_, same = [], [np.zeros(1, np.int64)], []
-            for low in range(0, len(batch), 200):
-                texts = batch.slice(low, 200).to_pylist()
+            low = 0
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            while low < len(batch):
+                done = sizes[low - 1] if low else 0
+                high = max(low + 1, int(np.searchsorted(sizes, done + AT_ONCE, "right")))
+                texts = batch.slice(low, high - low).to_pylist()
+                low = high
                 ids, ends = machine.ids_of(texts)
                 data, bound = machine.bytes_of(ids, ends)
                 whole = memoryview(data.tobytes())
