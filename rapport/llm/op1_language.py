@@ -33,7 +33,7 @@ from rapport.llm.shared import col, fresh, staged, table
 
 SIZES = (3, 5)
 SLOTS, PROBES = 1 << 20, 2
-TRAIN_DOCS, MIN_COUNT, MIN_RATIO = 1500, 3, 0.25
+TRAIN_DOCS, MIN_COUNT, MIN_RATIO = 600, 3, 0.25
 #: Pipeline: texts of which less than this part is known to their language go.
 MIN_SCORE = 0.3
 _PLAIN = np.full(256, 0x20, np.uint8)
@@ -131,6 +131,14 @@ def held_out(key):
     return F.coalesce(F.crc32(key.cast("string")) % 4 == 2, F.lit(False))
 
 
+def _added(total, value: np.ndarray, many: np.ndarray):
+    """Counts of n-grams, in order, with more of them."""
+    if total is None:
+        return value, many
+    value, at = np.unique(np.concatenate([total[0], value]), return_inverse=True)
+    return value, np.bincount(at, np.concatenate([total[1], many])).astype(np.int64)
+
+
 def learned(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", train_docs: int = TRAIN_DOCS) -> Filter:
     labelled = docs.where(col(key).isNotNull() & col(lang).isNotNull() & col(text).isNotNull() & ~held_out(col(key)))
     order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
@@ -144,36 +152,40 @@ def learned(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     index = {name: i for i, name in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {}                              # of this task's part of the sample, which is bounded
         for batch in batches:
             own = np.array([index[x] for x in batch.column(1).to_pylist()], np.int64)
             for rows in X.slices(batch.column(0)):
                 for gram, row in grams(rows):
                     at = own[rows.first + row]
-                    for i in np.unique(at):
-                        value, many = np.unique(gram[at == i], return_counts=True)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(value.view(np.int64)), pa.array(np.full(len(value), i, np.int32)), pa.array(many)],
-                            ["gram", "ix", "n"])
+                    for i in np.unique(at).tolist():
+                        total[i] = _added(total.get(i), *np.unique(gram[at == i], return_counts=True))
+        for i, (value, many) in total.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(value.view(np.int64)), pa.array(np.full(len(value), i, np.int32)), pa.array(many)], ["gram", "ix", "n"])
 
     # The sample is bounded: TRAIN_DOCS ids per language.
     sample = labelled.select(col(key).alias("id"), col(text).alias("text")).join(F.broadcast(chosen), "id").select("text", "lang")
-    counts = sample.mapInArrow(count, "gram bigint, ix int, n bigint").groupBy("gram", "ix").agg(F.sum("n").alias("n"))
+    names = [f"n{i}" for i in range(len(languages))]
+    counts = sample.mapInArrow(count, "gram bigint, ix int, n bigint").groupBy("gram").agg(
+        *[F.coalesce(F.sum(F.when(F.col("ix") == i, F.col("n"))), F.lit(0)).alias(name) for i, name in enumerate(names)])
     counts = staged(counts, "language-grams")
-    totals = dict(counts.groupBy("ix").agg(F.sum("n")).collect())
-    rate = F.col("n") / F.element_at(F.array(*[F.lit(float(totals.get(i, 1))) for i in range(len(languages))]), F.col("ix") + 1)
-    known = (counts.withColumn("p", rate).withColumn("most", F.max("p").over(W.partitionBy("gram")))
-             .where((F.col("n") >= MIN_COUNT) & (F.col("p") >= MIN_RATIO * F.col("most"))).select("gram", "ix"))
-    deep = -(-len(languages) // 64)
+    totals = np.maximum(np.array(counts.agg(*[F.coalesce(F.sum(name), F.lit(0)) for name in names]).first(), float), 1)
+    deep, kind = -(-len(languages) // 64), (np.uint8 if len(languages) <= 8 else np.uint64)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = np.zeros((deep, SLOTS), np.uint64)
+        masks = np.zeros((deep, SLOTS), kind)
         for batch in batches:
-            gram, ix = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            for at in slots(gram):
-                np.bitwise_or.at(masks, (ix // 64, at), np.uint64(1) << (ix % 64).astype(np.uint64))
+            gram = batch.column(0).to_numpy().view(np.uint64)
+            many = np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1)
+            part = many / totals
+            known = (many >= MIN_COUNT) & (part >= MIN_RATIO * part.max(axis=1, keepdims=True))
+            for i in range(len(languages)):
+                for at in slots(gram[known[:, i]]):
+                    masks[i // 64, at] |= kind(1 << (i % 64))
         yield pieces(masks.ravel())
 
-    masks = gathered(known.coalesce(4).mapInArrow(mark, SCHEMA), np.bitwise_or, np.uint64, deep * SLOTS)
+    masks = gathered(counts.coalesce(4).mapInArrow(mark, SCHEMA), np.bitwise_or, kind, deep * SLOTS)
     fallback = max(languages, key=lambda name: (per[name], [-ord(c) for c in name]))
     return Filter(languages, masks.reshape(deep, SLOTS), index[fallback])
 
