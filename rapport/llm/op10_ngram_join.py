@@ -67,7 +67,7 @@ def sets_of(rows: X.Rows, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def fingerprints(gram: np.ndarray, bound: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each set."""
-    total = np.concatenate([[0], np.cumsum(X.mixed(gram ^ _M), dtype=np.uint64)]).astype(np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(X.mixed(gram ^ _M), dtype=np.uint64)])
     return X.mixed(total[bound[1:]] - total[bound[:-1]] + (bound[1:] - bound[:-1]).astype(np.uint64) * _M).view(np.int64)
 
 
