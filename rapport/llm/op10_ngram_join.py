@@ -4,9 +4,10 @@
    the counts of n-grams in a fixed number of buckets (a sketch over all documents, summed on the cluster).
 2. Documents with equal sets are one class. A class's n-grams are put in order of rising bucket count, and its prefix
    (n - ceil(t n) + 1 of them) becomes postings. Two sets at or above the threshold share a prefix n-gram.
-3. First every posting list links each member to its first one and to the one before: near copies in thousands meet in
-   about as many pairs as there are members. Pairs pass the length filter and the histogram bound (a suffix filter: the sum
+3. First every posting list links each member to its first one and to a few before it: near copies in thousands meet in
+   a small multiple of the pairs that there are members. Pairs pass the length filter and the histogram bound (a suffix filter: the sum
    of the smaller counts limits the overlap) and are then verified once, on whole sets.
+   This is repeated with each list's likely centre.
 4. Then every pair of a list whose members are not yet in one component is treated alike, after the positional filter
    (what is left of both sets behind the shared n-gram limits the overlap) and the histogram bound. Lists beyond ``BLOCK`` members
    are cut in blocks that meet pair by pair. So no link between different components is lost.
@@ -20,6 +21,7 @@ as 64-bit hashes, of which 48 bits travel to be compared.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -140,18 +142,23 @@ def _postings(n: int, num: int, den: int, counts):
     return run, "token bigint, fp bigint, n int, pos int"
 
 
-LISTS = "token bigint, fp bigint, n int, pos int, lead bigint, lead_n int, back bigint, back_n int, deep boolean"
+#: How many of the members before it in a list a member is linked to at first, besides the list's first one.
+BACK = 1
+#: How often members of other components are linked to their lists' centres before all pairs are tried.
+ROUNDS = 2
+LISTS = "token bigint, fp bigint, n int, pos int, lead bigint, lead_n int, " + "".join(
+    f"back{k} bigint, back{k}_n int, " for k in range(BACK)) + "deep boolean"
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings, ordered by (token, fp): those of tokens with two classes or more, beside their list's first and the one
-    before; ``deep`` where a list has three or more.
+    """Postings, ordered by (token, fp): those of tokens with two classes or more, beside their list's first and the
+    ``BACK`` before (the first again where there are not so many); ``deep`` where a list has three or more.
 
     Streams; a batch's last list is held while it has fewer than three.
     """
     names = LISTS.replace(" bigint", "").replace(" int", "").replace(" boolean", "").split(", ")
     held = None                       # rows of a list of one or two
-    going = None                      # a list of three or more: token, first fp and n, last fp and n
+    going = None                      # a list of three or more: token, first fp and n, its last BACK fps and ns
 
     def given(own, leads, backs, deep):
         return pa.RecordBatch.from_arrays([pa.array(v) for v in (*own, *leads, *backs, deep)], names)
@@ -163,7 +170,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held is not None:
             own = [np.concatenate(pair) for pair in zip(held, own)]
         keep = np.concatenate([[True], (own[0][1:] != own[0][:-1]) | (own[1][1:] != own[1][:-1])])
-        if going is not None and own[0][0] == going[0] and own[1][0] == going[3]:
+        if going is not None and own[0][0] == going[0] and own[1][0] == going[3][-1]:
             keep[0] = False
         own = [v[keep] for v in own]
         token, count = own[0], len(own[0])
@@ -173,17 +180,28 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.maximum.accumulate(np.where(opens, np.arange(count), 0))
         many = np.bincount(head, minlength=count)[head]
         leads = [v[head] for v in own[1:3]]
-        backs = [np.where(opens, v, np.concatenate([v[:1], v[:-1]])) for v in own[1:3]]
-        if going is not None and token[0] == going[0]:
+        carried = going is not None and token[0] == going[0]
+        if carried:
             first = head == 0
             many[first] = 3
             for values, value in zip(leads, going[1:3]):
                 values[first] = value
-            for values, value in zip(backs, going[3:5]):
-                values[0] = value
+        place = np.arange(count)
+        backs = []
+        for k in range(1, BACK + 1):
+            for v, lead, tail in zip(own[1:3], leads, going[3:5] if carried else (None, None)):
+                at = place - k
+                back = np.where(at >= head, v[np.maximum(at, 0)], lead)
+                if carried:
+                    for j in range(min(k, count)):                # what stood before in the batch before
+                        if head[j] == 0 and len(tail) >= k - j:
+                            back[j] = tail[j - k]
+                backs.append(back)
         last = head == head[-1]
         if many[-1] > 2:
-            held, going = None, (token[-1], leads[0][-1], leads[1][-1], own[1][-1], own[2][-1])
+            tails = [np.concatenate([going[3 + i] if carried and head[-1] == 0 else v[:0], v[last]])[-BACK:]
+                     for i, v in enumerate(own[1:3])]
+            held, going = None, (token[-1], leads[0][-1], leads[1][-1], *tails)
             out = many > 1
         else:
             held, going = [v[last] for v in own], None
@@ -192,7 +210,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield given([v[out] for v in own], [v[out] for v in leads], [v[out] for v in backs], many[out] > 2)
     if held is not None and len(held[0]) == 2:
         first = [np.repeat(v[:1], 2) for v in held[1:3]]
-        yield given(held, first, first, np.zeros(2, bool))
+        yield given(held, first, first * BACK, np.zeros(2, bool))
 
 
 def bounded(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -352,16 +370,37 @@ def links(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> t
     lists = (texts.mapInArrow(run, schema).repartition(parts, "token").sortWithinPartitions("token", "fp")
              .mapInArrow(_shared, LISTS))
     lists = staged(lists, "postings")
-    first, back = (lists.where(F.col("fp") != F.col(k)).where(
+    near = [lists.where(F.col("fp") != F.col(k)).where(
         F.lit(den) * F.least("n", f"{k}_n") >= F.lit(num) * F.greatest("n", f"{k}_n"))
-        .select(F.least("fp", k).alias("a"), F.greatest("fp", k).alias("b")) for k in ("lead", "back"))
-    stars = staged(first.union(back).distinct(), "stars")
-    linked = _verify(stars, classes, texts, n, num, den)
+        .select(F.least("fp", k).alias("a"), F.greatest("fp", k).alias("b")) for k in ("lead", *(f"back{i}" for i in range(BACK)))]
+    stars = staged(reduce(DataFrame.union, near).distinct(), "stars")
+    linked, tested = _verify(stars, classes, texts, n, num, den), stars
     label = components(linked)
 
-    # Lists that still hold different components; the others are done, and so are those of two.
-    tagged = staged(lists.where("deep").select("token", "fp", "n", "pos").join(label.withColumnRenamed("node", "fp"), "fp", "left")
-                    .withColumn("label", F.coalesce("label", "fp")), "tagged")
+    def members_of_lists() -> DataFrame:
+        """Members of lists of three or more (a list of two is done) with their components."""
+        own = lists.where("deep").select("token", "fp", "n", "pos").join(label.withColumnRenamed("node", "fp"), "fp", "left")
+        return staged(own.withColumn("label", F.coalesce("label", "fp")), "tagged")
+
+    for _ in range(ROUNDS):
+        # Edits give a text n-grams of its own, which stand first in its prefix. The member with most shared ones is the
+        # likeliest centre of its list: members of other components meet it, before pairs are tried.
+        own = members_of_lists()
+        shared = own.groupBy("fp").agg(F.count("*").alias("shared"))
+        own = own.join(shared, "fp")
+        hub = own.groupBy("token").agg(F.max(F.struct("shared", "fp", "n", "label")).alias("other"))
+        near = own.join(hub, "token").where("other.label != label").where(
+            F.lit(den) * F.least("n", "other.n") >= F.lit(num) * F.greatest("n", "other.n"))
+        near = near.select(F.least("fp", "other.fp").alias("a"), F.greatest("fp", "other.fp").alias("b")).distinct()
+        near = staged(near.join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        more = _verify(near, classes, texts, n, num, den)
+        if more.isEmpty():
+            break
+        linked, tested = staged(linked.union(more), "linked"), staged(tested.union(near), "tested")
+        label = components(linked)
+
+    # Lists that still hold different components; the others are done.
+    tagged = members_of_lists()
     mixed = (tagged.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m"))
              .where("x != y").select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
     members = (tagged.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
@@ -371,7 +410,7 @@ def links(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> t
                .join(classes.select("fp", "bins"), "fp").select("token", "low", "high", "fp", "n", "pos", "label", "block", "bins"))
     pairs = (members.repartition(parts, "token", "low", "high").sortWithinPartitions("token", "low", "high")
              .mapInArrow(_cross_pairs(num, den), "a bigint, b bigint").distinct())
-    pairs = staged(pairs.join(stars, ["a", "b"], "left_anti"), "cross-pairs")
+    pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"), "cross-pairs")
     more = _verify(pairs, classes, texts, n, num, den)
     return profile.select("doc_id", "n", "fp"), components(linked.union(more))
 
