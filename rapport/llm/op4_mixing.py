@@ -3,8 +3,8 @@
 Each source gets a share of all words; what exceeds ``max_copies`` times a source is shared again by weight. A source's
 target over its size says how often each of its documents is taken: the whole part is certain, the rest is an inclusion
 probability pi. Documents are ranked by their random odds u / (1 - u) over their inclusion odds pi / (1 - pi) (times a
-given relative odds column, if any), and taken in that order up to the words still missing; one further document, the
-nearest in size, closes the gap that is left. u comes from the id's MD5, so runs agree.
+given relative odds column, if any), and taken in that order up to the words still missing; at most ``FILLS`` further
+documents, each the nearest in size, close the gap that is left. u comes from the id's MD5, so runs agree.
 
 The cut of a source is found without sorting it: ranks fall into ``BINS`` bins, whose sums are small, and only the bin
 that holds the cut is ordered. Decisions are a row per source; they travel to the documents, not the other way.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from rapport.llm.shared import col, fresh, staged, table
 
-BINS = 4096
+BINS, FILLS = 4096, 3
 #: Sources whose decisions are broadcast at most; more are joined by shuffle.
 BROADCAST_SOURCES = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -91,13 +91,18 @@ def decisions(sizes: DataFrame, weights=(1, 2, 3), max_copies: int = 3) -> DataF
     cut = edge.join(cut, F.col("s").eqNullSafe(F.col("source")), "left").select(
         "s", F.coalesce("cut.q", F.lit(None).cast("double")).alias("cut_q"), F.col("cut.key").alias("cut_key"),
         F.col("b").alias("cut_bin"), F.coalesce("cut.upto", F.col("before").cast("bigint")).alias("so_far"))
-    per = staged(per.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "mix-cuts")
-    rest = _rank(with_decisions(sizes, per)).where(F.col("q").isNotNull() & ~_taken())
-    gap = F.col("missing") - F.col("so_far")
-    rest = rest.withColumn("off", F.abs(gap - F.col("size"))).where(F.col("off") < gap)
-    fill = rest.groupBy("source").agg(F.min(F.struct("off", "q", "key")).alias("f")).select(
-        F.col("source").alias("s"), F.col("f.key").alias("fill_key"))
-    return staged(per.join(fill, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "mix-decisions")
+    per = per.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    per = staged(per.withColumn("fills", F.array().cast("array<string>")), "mix-cuts")
+    for _ in range(FILLS):
+        rest = _rank(with_decisions(sizes, per)).where(F.col("q").isNotNull() & ~_taken())
+        gap = F.col("missing") - F.col("so_far")
+        rest = rest.withColumn("off", F.abs(gap - F.col("size"))).where(F.col("off") < gap)
+        fill = rest.groupBy("source").agg(F.min(F.struct("off", "q", "key", "size")).alias("f")).select(F.col("source").alias("s"), "f")
+        per = per.join(fill, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumns({
+            "fills": F.when(F.col("f").isNull(), F.col("fills")).otherwise(F.array_append("fills", F.col("f.key"))),
+            "so_far": F.col("so_far") + F.coalesce("f.size", F.lit(0))}).drop("f")
+        per = staged(per, "mix-decisions")
+    return per
 
 
 def with_decisions(df: DataFrame, per: DataFrame) -> DataFrame:
@@ -112,7 +117,7 @@ def _taken():
     q, bin_ = F.col("q"), F.floor(F.col("q") / (1 + F.col("q")) * BINS).cast("int")
     at = F.when(F.col("cut_q").isNull(), F.lit(False)).otherwise(
         (q < F.col("cut_q")) | ((q == F.col("cut_q")) & (F.col("key") <= F.col("cut_key"))))
-    return F.coalesce((bin_ < F.col("cut_bin")) | at, F.lit(False))
+    return F.coalesce((bin_ < F.col("cut_bin")) | at, F.lit(False)) | F.array_contains("fills", F.col("key"))
 
 
 def prepared(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", odds: str | None = None):
@@ -137,7 +142,7 @@ def _applied(docs: DataFrame, per: DataFrame, name: str, size, key: str, source:
                        uniform(col(key)).alias("u"), (col(odds).cast("double") if odds else F.lit(1.0)).alias("odds"),
                        size.alias("size"))
     done = _rank(with_decisions(flat, per))
-    copies = F.col("whole") + (_taken() | F.coalesce(F.col("key") == F.col("fill_key"), F.lit(False))).cast("int")
+    copies = F.col("whole") + _taken().cast("int")
     return done.select("row", F.struct("size", "source_size", "target", copies.alias("copies"),
                                        (F.col("size") * copies).alias("taken")).alias("mix")).select(
         *[F.col("row")[c].alias(c) for c in docs.columns], F.col("mix").alias(name))
@@ -180,10 +185,10 @@ j AS (SELECT d.*, e.* EXCLUDE (source), CASE WHEN source_size > 0 THEN missing /
   FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
 q AS (SELECT *, CASE WHEN pi > 0 AND pi < 1 THEN (u / (1 - u)) / (pi / (1 - pi)) END AS q FROM j),
 c AS (SELECT *, CASE WHEN q IS NOT NULL THEN sum(size) OVER (PARTITION BY source ORDER BY q, key) END AS upto FROM q),
-g AS (SELECT *, coalesce(upto <= missing, false) AS taken0,
-  missing - coalesce(max(CASE WHEN upto <= missing THEN upto END) OVER (PARTITION BY source), 0) AS gap FROM c),
-f AS (SELECT source AS fs, arg_min(key, {'o': abs(gap - size), 'q': q, 'k': key}) AS fill FROM g
-  WHERE q IS NOT NULL AND NOT taken0 AND abs(gap - size) < gap GROUP BY source)
-SELECT doc_id, size, source_size, target,
-  size * (whole + CASE WHEN taken0 OR coalesce(key = fill, false) THEN 1 ELSE 0 END) AS taken
-FROM g LEFT JOIN f ON g.source IS NOT DISTINCT FROM f.fs"""
+g0 AS (SELECT *, coalesce(upto <= missing, false) AS taken0,
+  missing - coalesce(max(CASE WHEN upto <= missing THEN upto END) OVER (PARTITION BY source), 0) AS gap0 FROM c),
+""" + ",\n".join(f"""f{k} AS (SELECT source AS fs, arg_min({{'k': key, 's': size}}, {{'o': abs(gap{k} - size), 'q': q, 'k': key}}) AS fill
+  FROM g{k} WHERE q IS NOT NULL AND NOT taken{k} AND abs(gap{k} - size) < gap{k} GROUP BY source),
+g{k + 1} AS (SELECT g{k}.*, taken{k} OR coalesce(key = fill.k, false) AS taken{k + 1}, gap{k} - coalesce(fill.s, 0) AS gap{k + 1}
+  FROM g{k} LEFT JOIN f{k} ON g{k}.source IS NOT DISTINCT FROM f{k}.fs)""" for k in range(FILLS)) + f"""
+SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN taken{FILLS} THEN 1 ELSE 0 END) AS taken FROM g{FILLS}"""

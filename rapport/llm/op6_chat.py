@@ -118,10 +118,10 @@ def _matrices(group: pa.Table) -> pa.Table:
                      "m": pa.array([product([STEPS[r] for r in roles]).ravel().tolist()], pa.list_(pa.int64()))})
 
 
-def _combine(group: pa.Table) -> pa.Table:
+def _combine(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
     group = group.sort_by("block")
     total = product([np.array(m).reshape(4, 4) for m in group["m"].to_pylist()])
-    return pa.table({"conv": group["conv"].slice(0, 1), "block": pa.array([group["block"][0].as_py() // BLOCK], pa.int64()),
+    return pa.table({"conv": group["conv"].slice(0, 1), "block": pa.array([key[1].as_py()], pa.int64()),
                      "m": pa.array([total.ravel().tolist()], pa.list_(pa.int64()))})
 
 
