@@ -246,8 +246,13 @@ def vector_search(questions: DataFrame, corpus: DataFrame, k: int = 12,
         shared = corpus.sparkSession.sparkContext.broadcast(small)
 
         def scan(batches):
+            best = None                     # the partition's k best per question so far
             for block in batches:
-                yield _score_block(shared.value, block, k, rules)
+                hits = _score_block(shared.value, block, k, rules)
+                best = hits if best is None else pd.concat([best, hits])
+                best = best.sort_values(["qid", "score", "id"], ascending=[True, False, True]).groupby("qid").head(k)
+            if best is not None:
+                yield best
 
         hits = rows.mapInPandas(scan, _HIT)
     else:
@@ -280,10 +285,10 @@ def fuse(vector: DataFrame, keyword: DataFrame, method: str = "rank_norm") -> Da
     1 / (60 + rank). Ranks are reported from zero.
     """
     def branch(hits: DataFrame, name: str, weight: float) -> DataFrame:
-        lengths = hits.groupBy("qid").agg(F.count("*").alias("n"))
-        score = (F.lit(weight) * (1 - (F.col("rank") - 1) / F.col("n")) if method == "rank_norm"
+        length = F.count("*").over(Window.partitionBy("qid"))      # the k rows of a question
+        score = (F.lit(weight) * (1 - (F.col("rank") - 1) / length) if method == "rank_norm"
                  else 1 / (F.lit(K.RRF_K) + F.col("rank")))
-        return hits.join(lengths, "qid").select(
+        return hits.select(
             "qid", "id", score.alias(f"{name}_score"), (F.col("rank") - 1).alias(f"{name}_rank"))
 
     if method not in ("rank_norm", "rrf"):
@@ -328,16 +333,18 @@ def evidence(fused: DataFrame, corpus: DataFrame, budget=K.BUDGET_SEARCH,
     ranked = fused.withColumn("rank", F.row_number().over(best))
     summary = F.col("summary") if "summary" in corpus.columns else F.lit(None).cast("string")
     text = strip(F.coalesce(F.nullif(summary, F.lit("")), F.col("text"), F.lit("")))
-    snippets = ranked.join(corpus.select("id", trim_at_word(text, snippet_chars).alias("text")), "id")
-    order = F.array_sort(F.collect_list(F.struct("rank", "text")))
-    chosen = snippets.groupBy("qid").agg(pick_within_budget(order, k, total_chars).alias("_items"))
-    picked = chosen.select("qid", F.posexplode("_items").alias("_pos", "rank"))
-    out = (picked.withColumn("rank", F.col("rank").cast("int")).join(snippets, ["qid", "rank"])
-           .withColumn("label", F.concat(F.lit("S"), (F.col("_pos") + 1).cast("string")))
-           .withColumn("matched_by", matched_by(F.col("vector_rank"), F.col("keyword_rank"))))
     meta = [c for c in ("person_id", "source", "kind", "occurred_at", "citation", "record_id")
             if c in corpus.columns]
-    out = out.join(corpus.select("id", *meta), "id").withColumn("position", F.col("_pos") + 1)
+    snippets = ranked.join(corpus.select("id", trim_at_word(text, snippet_chars).alias("text"), *meta), "id")
+    # A question's candidates are few; they are folded whole, so nothing is joined back.
+    rest = [c for c in snippets.columns if c not in ("qid", "rank", "text")]
+    folded = snippets.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "text", *rest))).alias("_all"))
+    folded = folded.withColumn("_items", pick_within_budget(F.col("_all"), k, total_chars))
+    picked = F.filter("_all", lambda c: F.array_contains("_items", c["rank"].cast("bigint")))
+    out = folded.select("qid", F.posexplode(picked).alias("_pos", "_c")).select("qid", "_pos", "_c.*")
+    out = (out.withColumn("label", F.concat(F.lit("S"), (F.col("_pos") + 1).cast("string")))
+           .withColumn("matched_by", matched_by(F.col("vector_rank"), F.col("keyword_rank")))
+           .withColumn("position", F.col("_pos") + 1))
     if people is not None:
         out = out.join(people.select("person_id", F.col("display_name").alias("person_name")),
                        "person_id", "left")

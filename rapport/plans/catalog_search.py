@@ -165,7 +165,12 @@ def r8_evidence(spark, sf):
     return rows.select("qid", "id", "label", "text", "matched_by")
 
 
-@query("r8_evidence_block")
+@query("r8_evidence_block", f"""
+WITH picked AS ({evidence_sql(*K.BUDGET_ANSWER)})
+SELECT qid, string_agg('[' || label || '] ' || source || ' ' || kind || ' | ' || strftime(occurred_at, '%Y-%m-%d %H:%M')
+    || CASE WHEN display_name IS NULL THEN '' ELSE ' | person: ' || display_name END
+    || chr(10) || '"' || picked.text || '"', chr(10) || chr(10) ORDER BY CAST(substr(label, 2) AS INTEGER)) AS evidence
+FROM picked JOIN v_corpus c USING (id) LEFT JOIN v_people p ON p.person_id = c.person_id GROUP BY qid""")
 def r8_block(spark, sf):
     corpus = X.corpus(spark, sf)
     rows = S.evidence(_fused(spark, sf, "rank_norm"), corpus, K.BUDGET_ANSWER, X.people(spark, sf))
