@@ -33,12 +33,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rapport.llm.shared import col, fresh, table
+from rapport.llm.shared import col, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Segments whose paths a worker remembers, and bytes of texts (one at least) that it takes at once.
-REMEMBERED, AT_ONCE = 600_000, 2 << 20
+REMEMBERED, AT_ONCE = 400_000, 1 << 20
 INFINITE = float("inf")
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 #: Cuts before a marked word and around line ends, and (finer) also behind a run of letters.
@@ -316,40 +316,60 @@ def _lists(values: np.ndarray, ends: np.ndarray, nulls: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values), mask=nulls)
 
 
+FIELDS = {"ids": "array<int>", "n_pieces": "bigint", "n_bytes": "bigint", "round_trip": "boolean"}
+
+
+def _slices(machine: Transducer, column: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
+    """Some texts of a column at once, with the columns of ``FIELDS``."""
+    is_byte = np.zeros(machine.size, bool)
+    is_byte[machine.byte] = True
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    low = 0
+    while low < len(column):
+        done = sizes[low - 1] if low else 0
+        high = min(len(column), max(low + 1, int(np.searchsorted(sizes, done + AT_ONCE, "right"))))
+        part = column.slice(low, high - low)
+        texts = part.to_pylist()
+        ids, ends = machine.ids_of(texts)
+        data, bound = machine.bytes_of(ids, ends)
+        whole = memoryview(data.tobytes())
+        same = [(t or "").replace(MARK, " ").encode() == whole[a:b] for t, a, b in zip(texts, bound, bound[1:])]
+        many_bytes = np.concatenate([[0], np.cumsum(is_byte[ids])])[ends]
+        yield low, high, [_lists(ids, ends, pc.is_null(part)), pa.array(np.diff(ends)), pa.array(np.diff(many_bytes)),
+                          pa.array(same, pa.bool_())]
+        low = high
+
+
 def encoder(spark, path: str = MODEL):
     """A function from a text column to a struct: ids, n_pieces, n_bytes (by byte fallback), round_trip."""
     shared = spark.sparkContext.broadcast(model_bytes(path))
 
-    @F.arrow_udf("struct<ids:array<int>,n_pieces:bigint,n_bytes:bigint,round_trip:boolean>")
+    @F.arrow_udf("struct<" + ",".join(f"{name}:{kind}" for name, kind in FIELDS.items()) + ">")
     def encode(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine = compiled(shared.value)
-        is_byte = np.zeros(machine.size, bool)
-        is_byte[machine.byte] = True
         for batch in column:
-            ids_, ends_, same = [], [np.zeros(1, np.int64)], []
-            low = 0
-            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-            while low < len(batch):
-                done = sizes[low - 1] if low else 0
-                high = max(low + 1, int(np.searchsorted(sizes, done + AT_ONCE, "right")))
-                texts = batch.slice(low, high - low).to_pylist()
-                low = high
-                ids, ends = machine.ids_of(texts)
-                data, bound = machine.bytes_of(ids, ends)
-                whole = memoryview(data.tobytes())
-                same += [(t or "").replace(MARK, " ").encode() == whole[a:b] for t, a, b in zip(texts, bound, bound[1:])]
-                ids_.append(ids)
-                ends_.append(ends[1:] + ends_[-1][-1])
-            ids, ends = np.concatenate([np.zeros(0, np.int32), *ids_]), np.concatenate(ends_)
-            bytes_ = np.concatenate([[0], np.cumsum(is_byte[ids])])[ends]
-            nulls = pc.is_null(batch)
-            yield pa.StructArray.from_arrays(
-                [_lists(ids, ends, nulls), pa.array(np.diff(ends)), pa.array(np.diff(bytes_)), pa.array(same, pa.bool_())],
-                ["ids", "n_pieces", "n_bytes", "round_trip"])
+            parts = [columns for _, _, columns in _slices(machine, batch)]
+            yield pa.StructArray.from_arrays([pa.concat_arrays(c) for c in zip(*parts)], list(FIELDS)) if parts else pa.array(
+                [], pa.struct([("ids", pa.list_(pa.int32())), ("n_pieces", pa.int64()), ("n_bytes", pa.int64()), ("round_trip", pa.bool_())]))
 
     return encode
 
 
+def encoded_rows(docs: DataFrame, keep: list[str], text: str = "text", path: str = MODEL) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and those of ``FIELDS``, given out some texts at a time."""
+    shared = docs.sparkSession.sparkContext.broadcast(model_bytes(path))
+    rows = docs.select(*[col(c) for c in keep], col(text).alias("_text"))
+    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep] + [f"{n} {k}" for n, k in FIELDS.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = compiled(shared.value)
+        for batch in batches:
+            for low, high, columns in _slices(machine, batch.column(len(keep))):
+                yield pa.RecordBatch.from_arrays([c.slice(low, high - low) for c in batch.columns[:-1]] + columns, [*keep, *FIELDS])
+
+    return rows.mapInArrow(run, schema)
+
+
 def decoder(spark, path: str = MODEL):
     """A function from a column of ids to texts."""
     shared = spark.sparkContext.broadcast(model_bytes(path))
@@ -378,11 +398,8 @@ def encoded(docs: DataFrame, text: str = "text", into: str = "pieces", path: str
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: doc_id, source and what the text is encoded to."""
-    name = fresh(docs, "pieces")
-    return encoded(docs, into=name).select("doc_id", "source", f"{name}.ids", f"{name}.n_pieces", f"{name}.n_bytes",
-                                           f"{name}.round_trip")
+    return encoded_rows(docs, ["doc_id", "source"])
 
 
 def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    docs = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", "pieces.ids", "pieces.n_pieces", "pieces.n_bytes", "pieces.round_trip")
+    return encoded_rows(table(spark, sf_dir, "documents"), ["doc_id"])
