@@ -36,7 +36,7 @@ def test_pipeline(spark, con):
     import corpus_pipeline
     from rapport.llm import op1_language, op2_quality, op4_mixing, op8_sentencepiece
 
-    from test_operators import brute_components
+    from test_llm_operators import brute_components
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     good = {r[0] for r in con.execute(op2_quality.SQL).fetchall() if r[-2]}
