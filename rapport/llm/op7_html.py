@@ -4,8 +4,9 @@ A page is read once into a light tree; elements that never hold main text (menus
 scripts, and those whose class, id or role names them adverts, notices, comments and the like) are left out with all they
 hold. Each remaining block of text is a paragraph: it earns points for its length and its commas, less the part of it that
 is link text, and passes them to its parent, half of them to the next ancestor, a quarter to the one above. The container
-with most points wins; one within an article or main element stands for that element. Its siblings are kept when they
-have a fair share of its points, or are headings, or paragraphs of their own with few links.
+with most points wins; one within an article or main element stands for that element. From there the choice climbs to the
+element that holds all paragraphs with points that are not mostly links (all in articles, where the winner is in one). Of
+what lies in it and among its siblings only what is mostly links goes, and no heading; length and share decide nothing.
 
 The text is the blocks of what is kept, in page order: references decoded, white space inside a block made one space,
 trimmed, joined by ``\\n``. Nothing else is dropped and nothing is cut.
@@ -44,8 +45,9 @@ masthead login popover lightbox skip hidden""".split())
 NAMES = frozenset("header site-header page-header top-header global-header top topbar top-bar banner site-banner".split())
 #: Points: for a paragraph of this length, for every 100 characters up to a number, for each comma.
 LEAST, PER_100, COMMA = 25, 3, 1
-#: A sibling stays from this share of the best container's points; a paragraph from this length and below this link part.
-SHARE, PLAIN_LENGTH, PLAIN_LINKS = 0.2, 80, 0.25
+#: From this part of link text on, what lies beside the best container is links, not main text.
+LINKED = 0.5
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"<(?:!--(?:.*?-->|.*\Z)|([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|/([a-zA-Z][^\s/>]*)[^>]*>"
                     r"|[!?][^>]*>)", re.S)
@@ -177,13 +179,15 @@ def blocks(page: str) -> list[tuple[str, Node, int]]:
 def main_text(page: str | None) -> str:
     """The main text of a page."""
     found = blocks(page) if page else []
-    best, scored = None, {}
+    best, scored, good = None, {}, []
     for whole, element, links in found:
         size = len(whole)
         if size < LEAST:
             points = 0.0
         else:
             points = (1 + min(size / 100, PER_100) + COMMA * len(_COMMAS.findall(whole))) * (1 - min(links / size, 1))
+        if points > 0 and links < LINKED * size:
+            good.append(element)
         node, share = element.up or element, 1.0
         for _ in range(3):
             if node is None:
@@ -202,24 +206,46 @@ def main_text(page: str | None) -> str:
             best = (value, node)
     if best is None:
         return "\n".join(whole for whole, _, _ in found)
-    top = best[1]
+    inner = best[1]
+    while inner.article is not None and inner.article is not inner:
+        inner = inner.article
+    line, place = [], {}
+    node = inner
+    while node is not None:
+        place[node.order] = len(line)
+        line.append(node)
+        node = node.up
+    # Climb to where all paragraphs of the main text meet; where articles are marked, those outside of them have no say.
+    level, held = 0, set(place)
+    for element in good:
+        node = element
+        while node.order not in place:
+            node = node.up
+        if inner.article is None or element.article is not None:
+            level = max(level, place[node.order])
+        node = element
+        while node.order not in held:
+            held.add(node.order)
+            node = node.up
+    top = line[level]
     while top.article is not None and top.article is not top:
         top = top.article
-    least = max(best[0] * SHARE, 3.0)
+    while top.article is None and top.up is not None and top.up.chars == top.chars:
+        top = top.up
 
     def kept(whole: str, element: Node, links: int) -> bool:
-        node, below = element, None
-        while node is not None and node is not top and node is not top.up:
-            node, below = node.up, node
-        if node is top:
-            return True
-        if node is None or below is None:
-            return False
-        if below is element and below.tag in ("h1", "h2", "h3"):
+        node, branch = element, None
+        while node is not inner and node is not top and node is not top.up:
+            if node.order not in held:
+                branch = node
+            if node.up is None:
+                return False
+            node = node.up
+        if node is inner or element.tag in HEADINGS and branch in (element, None):
             return True
-        if below is element and below.tag == "p":
-            return len(whole) >= PLAIN_LENGTH and links < PLAIN_LINKS * len(whole)
-        return below.points * (1 - below.link_chars / max(below.chars, 1)) >= least
+        if branch is None:
+            return links < LINKED * len(whole)
+        return branch.link_chars < LINKED * branch.chars
 
     return "\n".join(whole for whole, element, links in found if kept(whole, element, links))
 

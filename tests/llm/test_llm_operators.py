@@ -348,6 +348,23 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+def test_main_text_is_whole_without_article():
+    """Split, short and list-only articles keep all their text; lists of links go."""
+    from rapport.llm.op7_html import main_text
+
+    long = [f"Paragraph {i} goes on, with commas, and on, for as long as paragraphs of articles do." for i in range(18)]
+    ps = ["".join(f"<p>{p}</p>" for p in part) for part in (long[:10], long[10:])]
+    links = "".join(f"<li><a href=/{i}>Some other page of this site, number {i}</a></li>" for i in range(9))
+    rows = [f"<div class=row><div class=col>{p}</div></div>" for p in ps]
+    assert main_text(f"<body><ul>{links}</ul><div id=content>{''.join(rows)}</div></body>") == "\n".join(long)
+    beside = f"<div><h4>Part</h4><p>Short one.</p><ul><li>bread</li><li>salt</li></ul><div>{ps[0]}</div><div><p>{long[11]}</p></div></div>"
+    assert main_text(beside) == "\n".join(["Part", "Short one.", "bread", "salt", *long[:10], long[11]])
+    assert main_text(f"<body><h1>T</h1><div><div>{ps[0]}</div></div><div><ul>{links}</ul></div></body>") == "\n".join(["T", *long[:10]])
+    both = f"<body><article>{ps[0]}</article><article>{ps[1]}</article></body>"
+    assert main_text(both) == "\n".join(long)
+    assert main_text("<div><ul><li>bread</li><li>salt</li></ul></div>") == "bread\nsalt"
+
+
 # -- archives -------------------------------------------------------------------------------------
 
 def test_archive_round_trip(spark, tmp_path):
