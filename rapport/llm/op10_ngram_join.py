@@ -91,25 +91,25 @@ def _binary(matrix: np.ndarray) -> pa.Array:
 
 
 def _profile(n: int):
-    names = ["doc_id", "n", "fp", "bins", "piece", "counts"]
+    names = ["doc_id", "text_key", "n", "fp", "bins", "piece", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            ids = batch.column(0)
-            for rows in X.slices(batch.column(1)):
+            ids, keys = batch.column(0), batch.column(1)
+            for rows in X.slices(batch.column(2)):
                 gram, bound = sets_of(rows, n)
                 counts += np.bincount(bucket(gram), minlength=BUCKETS)
                 k = len(rows.begin)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(rows.first, k), pa.array(np.diff(bound)), pa.array(fingerprints(gram, bound)),
+                    [ids.slice(rows.first, k), keys.slice(rows.first, k), pa.array(np.diff(bound)), pa.array(fingerprints(gram, bound)),
                      _binary(histograms(gram, bound)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         if counts.any():
             own = pieces(counts)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(own.num_rows, pa.int64())] * 3 + [pa.nulls(own.num_rows, pa.binary()), *own.columns], names)
+                [pa.nulls(own.num_rows, pa.int64())] * 4 + [pa.nulls(own.num_rows, pa.binary()), *own.columns], names)
 
-    return run, "doc_id bigint, n bigint, fp bigint, bins binary, piece int, counts binary"
+    return run, "doc_id bigint, text_key bigint, n bigint, fp bigint, bins binary, piece int, counts binary"
 
 
 def _postings(n: int, num: int, den: int, counts):
@@ -355,13 +355,14 @@ def _cross_pairs(num: int, den: int):
 
 
 def links(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Profiles (doc_id, n, fp) of all documents, and (fp, label) of the classes that link with another class."""
+    """Profiles (doc_id, text_key, n, fp) of all documents, and (fp, label) of the classes that link with another class."""
     spark = docs.sparkSession
     run, schema = _profile(n)
-    profile = staged(docs.select(col(key).cast("bigint").alias("doc_id"), col(text).alias("text")).mapInArrow(run, schema), "profiles")
+    own = docs.select(col(key).cast("bigint").alias("doc_id"), F.xxhash64(col(text)).alias("text_key"), col(text).alias("text"))
+    profile = staged(own.mapInArrow(run, schema), "profiles")
     counts = spark.sparkContext.broadcast(
         gathered(profile.where("piece IS NOT NULL").select("piece", "counts"), np.add, np.int64, BUCKETS))
-    profile = profile.where("piece IS NULL").select("doc_id", "n", "fp", "bins")
+    profile = profile.where("piece IS NULL").select("doc_id", "text_key", "n", "fp", "bins")
     classes = staged(profile.where("doc_id IS NOT NULL AND n > 0").groupBy("fp").agg(
         F.any_value("n").alias("n"), F.any_value("bins").alias("bins")), "classes")
     texts = docs.where(col(key).isNotNull() & col(text).isNotNull()).select(col(text).alias("text"))
@@ -412,7 +413,7 @@ def links(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> t
              .mapInArrow(_cross_pairs(num, den), "a bigint, b bigint").distinct())
     pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"), "cross-pairs")
     more = _verify(pairs, classes, texts, n, num, den)
-    return profile.select("doc_id", "n", "fp"), components(linked.union(more))
+    return profile.select("doc_id", "text_key", "n", "fp"), components(linked.union(more))
 
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -427,18 +428,25 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group of near copies (five words, 0.8): the one with the smallest id.
+    """Pipeline stage: one row of each group of near copies (five words, 0.8): the one with the smallest id, then hash of its text.
 
-    Of rows that repeat an id one stays. Rows with a null id are no group's and all stay.
+    Rows are known by id and text, so an id's other texts stay. Of rows with the same id and text one stays: the one with the
+    smallest hash of all its columns. Rows with a null id are no group's and all stay.
     """
-    groups = staged(joined(docs), "near-copies")
-    gone = groups.where("component_id != doc_id").select("doc_id")
-    again = groups.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    key, name = fresh(docs, "doc_key"), F.col
-    rest = docs.join(gone.union(again).withColumnRenamed("doc_id", key), name("doc_id") == name(key), "left_anti")
-    once = again.join(gone, "doc_id", "left_anti").withColumnRenamed("doc_id", key)
-    once = docs.join(once, name("doc_id") == name(key), "left_semi").dropDuplicates(["doc_id"])
-    return rest.unionByName(once)
+    profile, label = links(docs, "doc_id", "text", 5, 80, 100)
+    rows = profile.where("doc_id IS NOT NULL").groupBy("doc_id", "text_key", "fp").agg(F.min("n").alias("n"), F.count("*").alias("many"))
+    rows = rows.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    rows = staged(rows, "near-copies")
+    first = rows.where("n > 0").groupBy("label").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    key, text, name = fresh(docs, "doc_key"), fresh(docs, "text_key"), F.col
+    gone = rows.where("n > 0").join(first, "label").where("first != struct(doc_id, text_key)").select("doc_id", "text_key")
+    again = rows.where("many > 1").select("doc_id", "text_key")
+    this = [name("doc_id") == name(key), F.xxhash64("text") == name(text)]
+    rest = docs.join(gone.union(again).toDF(key, text), this, "left_anti")
+    once = docs.join(again.join(gone, ["doc_id", "text_key"], "left_anti").toDF(key, text), this, "left_semi")
+    once = once.groupBy("doc_id", F.xxhash64("text").alias(text)).agg(
+        F.min_by(F.struct(*map(col, docs.columns)), F.xxhash64(*map(col, docs.columns))).alias(key))
+    return rest.unionByName(once.select(f"{key}.*"))
 
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:
