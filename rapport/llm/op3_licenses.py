@@ -8,6 +8,10 @@ not see: probabilities are tempered to fit it, and a family counts only from the
 the unseen negatives reach. What the classifier finds is compared with the family's templates; a paragraph that holds less
 than ``CONFIRM`` of the word pairs of every one of them is not confirmed.
 
+Notices that lines break or that stand within longer lines are read in windows: wherever as many word pairs of a template
+as it takes to confirm it lie within about its length, whatever line ends are between, that stretch is judged like a
+paragraph. A stretch that meets a confirmed line, or one more alike or as alike and shorter, is not given again.
+
 Paragraphs of all whole texts are judged, in numpy over Arrow batches; nothing but the training set is sampled.
 
 Defined results: null or empty texts have no paragraphs and no licence; a document's licence is that of its most probable
@@ -18,6 +22,7 @@ negatives from, training uses the templates' foreign words alone.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,19 +49,23 @@ TEMPLATES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
-        "Released under the BSD 3-Clause License.", "Licensed under the BSD 2-Clause license.", "SPDX-License-Identifier: BSD-3-Clause"],
+        "Released under the BSD 3-Clause License.", "Licensed under the BSD 2-Clause license.", "SPDX-License-Identifier: BSD-3-Clause",
+        "SPDX-License-Identifier: BSD-2-Clause"],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
-        "Licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-3.0-or-later"],
+        "Licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0", "SPDX-License-Identifier: GPL-2.0", "under the GPLv3", "under the GPLv2"],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
-        "SPDX-License-Identifier: LGPL-2.1-only"],
+        "SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-or-later", "SPDX-License-Identifier: LGPL-3.0-only",
+        "SPDX-License-Identifier: LGPL-3.0-or-later", "under the LGPLv3", "under the LGPLv2.1"],
     "agpl": [
         "Licensed under the GNU Affero General Public License, version 3.",
         "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
-        "SPDX-License-Identifier: AGPL-3.0-only"],
+        "SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later", "under the AGPLv3"],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
@@ -65,13 +74,13 @@ TEMPLATES = {
         "SPDX-License-Identifier: CC-BY-NC-4.0"],
     "cc-by-sa": [
         "Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-        "Text is available under the Creative Commons Attribution-ShareAlike License."],
+        "Text is available under the Creative Commons Attribution-ShareAlike License.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
     "cc-by": [
         "Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-4.0"],
     "public-domain": [
         "This work has been released into the public domain.", "This is free and unencumbered software released into the public domain.",
-        "CC0 1.0 Universal Public Domain Dedication."],
+        "CC0 1.0 Universal Public Domain Dedication.", "SPDX-License-Identifier: CC0-1.0", "SPDX-License-Identifier: Unlicense"],
     "all-rights-reserved": ["Copyright. All rights reserved.", "No part of this publication may be reproduced without prior written permission of the publisher."],
 }
 FAMILIES = sorted(TEMPLATES)
@@ -125,6 +134,56 @@ def likeness(paragraph: str, family: str) -> float:
     return max(len(own & form) / len(form) for form in template_pairs()[family])
 
 
+def meets(taken: list[tuple[int, int]], begin: int, end: int) -> bool:
+    """Whether a stretch overlaps one of these, which are in order and apart."""
+    k = bisect_left(taken, (end,))
+    return k > 0 and taken[k - 1][1] > begin
+
+
+def word_places(rows: X.Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and text of every word, and a hash of each with the word after it."""
+    data = _PLAIN[rows.data]
+    begin, end, row = X.words(X.Rows(rows.first, data, rows.begin, rows.end))
+    word = X.hashes(data, begin, end)
+    return begin, end, row, word[:-1] * _M + word[1:]
+
+
+@lru_cache(maxsize=1)
+def template_places() -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, int, int, int]]]:
+    """Hashes of all templates' word pairs, a filter by their first 16 bits, and for each template: which hashes are its
+    own, how many confirm it, the words in which they must lie, and its own number of words."""
+    own, forms = [], [form for forms in TEMPLATES.values() for form in forms]
+    for form in forms:
+        own.append(np.unique(word_places(next(X.slices(pa.array([form]))))[3]))
+    known = np.unique(np.concatenate(own))
+    first = np.zeros(1 << 16, bool)
+    first[known >> np.uint64(48)] = True
+    return known, first, [(np.isin(known, pair), int(np.ceil(CONFIRM * len(pairs(words_of(form))))), len(words_of(form)) * 5 // 4 + 2,
+                           len(words_of(form)))
+                          for form, pair in zip(forms, own)]
+
+
+def windows(rows: X.Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and text of every stretch that may hold a template."""
+    begin, end, row, pair = word_places(rows)
+    known, first, templates = template_places()
+    at = np.flatnonzero(first[pair >> np.uint64(48)])
+    at = at[row[at] == row[at + 1]]
+    which = np.minimum(np.searchsorted(known, pair[at]), len(known) - 1)
+    hit = known[which] == pair[at]
+    at, which = at[hit], which[hit]
+    found = []
+    for own, least, width, exact in templates:
+        place = at[own[which]]
+        from_, to = place[:max(len(place) - least + 1, 0)], place[least - 1:]
+        from_ = from_[(to - from_ < width - 1) & (row[from_] == row[to])]
+        for upto in (width, exact):
+            last = np.minimum(from_ + upto, np.searchsorted(row, row[from_], "right")) - 1
+            found.append(np.stack([from_, last], axis=1))
+    found = np.unique(np.concatenate(found), axis=0)
+    return begin[found[:, 0]], end[found[:, 1]], row[found[:, 0]]
+
+
 def counts(paragraphs: list[str]):
     """Normalised sparse features: (feature, row, value)."""
     flat = [p.replace("\n", " ") for p in paragraphs]
@@ -227,16 +286,33 @@ def scanner(spark, model: Classifier):
                 many.append(X.per_row(row, n))
                 first = np.concatenate([[0], np.cumsum(many[-1])])
                 here: list[list] = [[] for _ in range(n)]
-                if len(row):
-                    chance = probabilities(own.logits(at, line, len(row)), own.temperature)
+                taken: list[list] = [[] for _ in range(n)]
+
+                def judge(text, places, at, line):
+                    """Paragraphs (begin, end, text) with their features: those confirmed."""
+                    chance = probabilities(own.logits(at, line, len(places)), own.temperature)
                     best = chance[:, :UNKNOWN].argmax(axis=1)
-                    sure = chance[np.arange(len(row)), best]
-                    for i in np.flatnonzero((chance.argmax(axis=1) != UNKNOWN) & (sure >= own.least)):
+                    sure = chance[np.arange(len(places)), best]
+                    likely = np.flatnonzero((chance.argmax(axis=1) != UNKNOWN) & (sure >= own.least))
+                    like_of = {i: likeness(text(i), FAMILIES[best[i]]) for i in likely.tolist()}
+                    for i, like in sorted(like_of.items(), key=lambda x: (-x[1], places[x[0]][1] - places[x[0]][0], -sure[x[0]], places[x[0]])):
+                        a, b, r = places[i]
                         family = FAMILIES[best[i]]
-                        like = likeness(rows.data[begin[i]:end[i]].tobytes().decode(), family)
-                        if like >= CONFIRM:
-                            here[row[i]].append({"paragraph": int(i - first[row[i]]), "family": family,
-                                                 "probability": round(float(sure[i]), 6), "likeness": round(like, 6)})
+                        if like >= CONFIRM and not meets(taken[r], a, b):
+                            insort(taken[r], (a, b))
+                            here[r].append((a, {"paragraph": int(np.searchsorted(begin, a, "right") - 1 - first[r]), "family": family,
+                                                "probability": round(float(sure[i]), 6), "likeness": round(like, 6)}))
+
+                if len(row):
+                    judge(lambda i: rows.data[begin[i]:end[i]].tobytes().decode(),
+                          list(zip(begin.tolist(), end.tolist(), row.tolist())), at, line)
+                    places = [(a, b, r) for a, b, r in zip(*(v.tolist() for v in windows(rows)))
+                              if not meets(taken[r], a, b)]
+                    texts = [rows.data[a:b].tobytes().decode() for a, b, _ in places]
+                    if texts:
+                        at, line, _ = counts(texts)
+                        judge(texts.__getitem__, places, at, line)
+                here = [[f for _, f in sorted(own_, key=lambda x: x[0])] for own_ in here]
                 found += here
             kind = pa.list_(pa.struct([("paragraph", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("likeness", pa.float64())]))
             yield pa.StructArray.from_arrays(

@@ -551,3 +551,20 @@ def test_licences(spark):
     assert got == {1: ["mit"], 2: [], 3: [], 4: [], None: ["cc-by-nc"], 5: ["gpl", "gpl"]}
     clean = L.scanned(docs, into="own", model=model).where(~F.lower("text").rlike("licen|copyright|public domain|rights reserved")).where(F.size("own.found") > 0)
     assert clean.count() == 0
+
+
+def test_licences_wrapped_and_embedded(spark):
+    """Notices broken over lines, within longer lines, and identifiers by their short names."""
+    import textwrap
+
+    from rapport.llm import op3_licenses as L
+
+    model = L.trained(L.sample(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id", "text"))
+    bsd, gpl = L.TEMPLATES["bsd"][0], L.TEMPLATES["gpl"][1]
+    wrap = lambda text, width, mark: "\n".join(mark + x for x in textwrap.wrap(text, width))
+    noise = " ".join(f"qword{i}" for i in range(200))
+    rows = [(1, "x = 1\n\n" + wrap(bsd, 72, "# ") + "\n\ny = 2"), (2, wrap(gpl, 40, " * ")), (3, f"{noise} {bsd} {noise}"),
+            (4, "SPDX-License-Identifier: GPL-2.0-only"), (5, f"{noise}\n{noise}"), (6, wrap(bsd, 72, "") + "\n\n" + wrap(bsd, 60, ""))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(1)
+    got = {r.doc_id: [f.family for f in r.own.found] for r in L.scanned(docs, into="own", model=model).collect()}
+    assert got == {1: ["bsd"], 2: ["gpl"], 3: ["bsd"], 4: ["gpl"], 5: [], 6: ["bsd", "bsd"]}
