@@ -4,7 +4,7 @@ Legal conversations are those of an automaton: an optional system message, then
 last. For each turn a repair keeps it, merges it into the message before it, gives it another role, or does several of
 these, and it may put empty messages in between. Costs add up, and dynamic programming finds the cheapest legal reading.
 
-A conversation of any length is cut in blocks of ``BLOCK`` turn numbers. A block's effect is a small matrix: the least cost
+A conversation of any length is cut in blocks of ``BLOCK`` rows, whatever their turn numbers (see ``numbered``). A block's effect is a small matrix: the least cost
 from each state before it to each state after it. Matrices are combined in the min-plus algebra, level by level, so that no
 task holds a conversation; the states at the blocks' edges then come down again, and every block is decoded by itself.
 Rows stay rows: the rendered conversation is its pieces in order of (turn, seq), and no text is gathered.
@@ -12,14 +12,13 @@ Rows stay rows: the rendered conversation is its pieces in order of (turn, seq),
 Defined results: turns are ordered by turn (nulls last), role and text; roles are read without case or outer space, a
 missing or foreign role counts as one to be replaced; null texts are empty; repeated rows are turns of their own; a null
 conversation id is one conversation; equal costs go to the operation that is first in ``MOVES``.
-Turns whose number is repeated very often share a block.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rapport.llm.shared import staged, table
@@ -109,7 +108,7 @@ def best_end(matrix: np.ndarray) -> int:
 
 
 def _rows(group: pa.Table) -> pa.Table:
-    return group.sort_by([("turn_", "ascending"), ("role", "ascending"), ("text", "ascending")])
+    return group.sort_by("position")
 
 
 def _matrices(group: pa.Table) -> pa.Table:
@@ -162,6 +161,36 @@ def _render(group: pa.Table) -> pa.Table:
                      "piece": pa.array(pieces, pa.string())})
 
 
+#: Turn numbers that are counted together first; characters of a text by which rows of equal turn and role are parted.
+TURNS_BITS, PREFIX = 12, 4
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows with their ``position`` in the conversation, from 0 on, by (turn_, role, text), nulls last.
+
+    Rows are ranked within (turn, role, first characters of the text); what comes before each of these is added up from
+    counts, level by level. No task holds a conversation or a turn; what a window ranks is sorted by Spark, which spills.
+    """
+    rows = rows.withColumns({
+        "own": F.struct(F.col("conv").isNull().alias("none"), F.coalesce("conv", F.lit(0)).alias("id")),
+        "tie": F.struct(F.col("role").isNull().alias("no_role"), F.coalesce("role", F.lit("")).alias("role"), F.col("text").isNull().alias("no_text"),
+                        F.substring(F.coalesce("text", F.lit("")), 1, PREFIX).alias("head"))})
+
+    def before(counts: DataFrame, within: list[str], at: str, name: str) -> DataFrame:
+        window = Window.partitionBy(*within).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.withColumn(name, F.coalesce(F.sum("n").over(window), F.lit(0))).drop("n")
+
+    ties = staged(rows.groupBy("own", F.shiftright("turn_", TURNS_BITS).alias("turns"), "turn_", "tie").agg(F.count("*").alias("n")), "chat-counts")
+    each = ties.groupBy("own", "turns", "turn_").agg(F.sum("n").alias("n"))
+    many = each.groupBy("own", "turns").agg(F.sum("n").alias("n"))
+    offsets = (before(ties, ["own", "turn_"], "tie", "x").join(before(each, ["own", "turns"], "turn_", "y"), ["own", "turns", "turn_"])
+               .join(before(many, ["own"], "turns", "z"), ["own", "turns"])
+               .select("own", "turn_", "tie", (F.col("x") + F.col("y") + F.col("z")).alias("ahead")))
+    inside = F.row_number().over(Window.partitionBy("own", "turn_", "tie").orderBy("text"))
+    placed = rows.withColumn("inside", inside).join(staged(offsets, "chat-offsets"), ["own", "turn_", "tie"])
+    return placed.withColumn("position", F.col("ahead") + F.col("inside") - 1).drop("own", "tie", "inside", "ahead")
+
+
 EDGES = "conv bigint, block bigint, entry bigint, leave bigint"
 
 
@@ -169,11 +198,11 @@ def repaired(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     """conv_id, block, turn, seq, role, action, piece: a conversation is its pieces, by (block, seq)."""
     rows = turns.select(F.col(conv).cast("bigint").alias("conv"), F.col(turn).cast("bigint").alias("turn"),
                         F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
-    # Turn numbers from 0 on, so that blocks of blocks meet in one at last; missing ones come after all others.
+    # Missing turn numbers come after all others.
     inside = F.greatest(F.least("turn", F.lit(1 << 61)), F.lit(-(1 << 61))) + F.lit(1 << 61)
     rows = rows.withColumn("turn_", F.coalesce(inside, F.lit((1 << 62) + 1)))
-    rows = rows.withColumn("block", F.shiftright("turn_", BLOCK_BITS))
-    level = staged(rows.drop("text").withColumn("text", F.lit("")).groupBy("conv", "block")
+    rows = staged(numbered(rows).drop("turn_"), "chat-turns").withColumn("block", F.shiftright("position", BLOCK_BITS))
+    level = staged(rows.drop("text").groupBy("conv", "block")
                    .applyInArrow(_matrices, "conv bigint, block bigint, m array<bigint>"), "chat-blocks")
     levels = [level]
     while not level.groupBy("conv").agg(F.count("*").alias("n")).where("n > 1").isEmpty():

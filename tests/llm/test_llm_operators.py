@@ -530,6 +530,23 @@ def test_chat_repair(spark, monkeypatch, bits):
     assert C.repaired(turns.limit(0)).count() == 0
 
 
+def test_chat_blocks_are_bounded(spark):
+    """Many rows of one turn, without turn or without conversation go into blocks of ``BLOCK`` rows, in their order."""
+    from rapport.llm import op6_chat as C
+
+    rows = [(conv, turn, "user" if i % 2 else "assistant", f"t{i:05d}") for conv, turn in ((None, 0), (None, None), (1, 5), (1, 6)) for i in range(700)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(3)
+    got = [r for r in C.repaired(turns).collect() if r.action not in ("insert", "end")]
+    for conv in (None, 1):
+        own = sorted((r for r in got if r.conv_id == conv), key=lambda r: (r.block, r.seq))
+        want = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is None, r[1] or 0, r[2], r[3]))
+        assert [r.piece[-6:] for r in own] == [r[3] for r in want]
+        per = {}
+        for r in own:
+            per[r.block] = per.get(r.block, 0) + 1
+        assert per == {k: min(C.BLOCK, 1400 - k * C.BLOCK) for k in range(6)}
+
+
 # -- licences ---------------------------------------------------------------------------------------
 
 def test_licences(spark):
