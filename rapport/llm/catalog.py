@@ -1,7 +1,7 @@
 """Registered queries of this subpackage: name -> (query, SQL twin or None)."""
 
 from rapport.llm import (op1_language, op2_quality, op3_licenses, op4_mixing, op5_near_vectors, op6_chat, op7_html,
-                         op8_sentencepiece, op9_warc, op10_ngram_join)
+                         op8_sentencepiece, op9_warc, op10_ngram_join, op11_prefix_trie, op12_centroids, op13_topk)
 
 QUERIES = {
     "op1_language": (op1_language.op1_language, None),
@@ -14,4 +14,7 @@ QUERIES = {
     "op8_sentencepiece": (op8_sentencepiece.op8_sentencepiece, None),
     "op9_warc": (op9_warc.op9_warc, op9_warc.SQL),
     "op10_ngram_join": (op10_ngram_join.op10_ngram_join, op10_ngram_join.SQL),
+    "op11_prefix_trie": (op11_prefix_trie.op11_prefix_trie, op11_prefix_trie.SQL),
+    "op12_centroids": (op12_centroids.op12_centroids, op12_centroids.SQL),
+    "op13_topk": (op13_topk.op13_topk, op13_topk.SQL),
 }

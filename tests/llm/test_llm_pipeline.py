@@ -21,7 +21,8 @@ def con():
     return cmp.connect(SF)
 
 
-@pytest.mark.parametrize("name", ["op2_quality_rules", "op4_mixing", "op5_near_vectors", "op9_warc", "op10_ngram_join"])
+@pytest.mark.parametrize("name", ["op2_quality_rules", "op4_mixing", "op5_near_vectors", "op9_warc", "op10_ngram_join",
+                                  "op11_prefix_trie", "op12_centroids", "op13_topk"])
 def test_query_matches_sql(spark, con, name):
     from rapport.llm.catalog import QUERIES
 
