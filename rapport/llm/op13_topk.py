@@ -65,9 +65,9 @@ class Shard:
         """Positions and scores of the k best, without row ``own``."""
         q = query[:len(self.values)].astype(self.kind)
         if self.kind == np.float64 and float(np.abs(q).max(initial=0)) * self.most * max(len(q), 1) >= 2.0 ** 53:
-            q, values = q.astype(np.int64), self.values.astype(np.int64)
+            q, values = q.astype(np.int64), self.values[:len(q)].astype(np.int64)
         else:
-            values = self.values
+            values = self.values[:len(q)]
         bound = np.maximum(np.maximum(q * self.high[:len(q)], q * self.low[:len(q)]), 0)
         order = np.argsort(-bound, kind="stable")
         rest = np.append(np.cumsum(bound[order][::-1])[::-1], 0)         # rest[i]: bounds of the terms from i on
