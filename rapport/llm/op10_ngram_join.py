@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from rapport.llm import texts as X
 from rapport.llm.bitmaps import SCHEMA, gathered, pieces
 from rapport.llm.components import components
-from rapport.llm.shared import col, fresh, staged, table
+from rapport.llm.shared import col, fresh, frugal, staged, table
 
 #: Buckets of the n-gram counts; bins of a set's histogram.
 BUCKETS, BINS = 1 << 18, 128
@@ -93,6 +93,7 @@ def _binary(matrix: np.ndarray) -> pa.Array:
 def _profile(n: int):
     names = ["doc_id", "text_key", "n", "fp", "bins", "piece", "counts"]
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
@@ -113,6 +114,7 @@ def _profile(n: int):
 
 
 def _postings(n: int, num: int, den: int, counts):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.minimum(counts.value, (1 << 24) - 1).astype(np.uint64) << np.uint64(40)
         seen: set[int] = set()          # classes of this task: copies add no postings
@@ -150,6 +152,7 @@ LISTS = "token bigint, fp bigint, n int, pos int, lead bigint, lead_n int, " + "
     f"back{k} bigint, back{k}_n int, " for k in range(BACK)) + "deep boolean"
 
 
+@frugal
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Postings, ordered by (token, fp): those of tokens with two classes or more, beside their list's first and the
     ``BACK`` before (the first again where there are not so many); ``deep`` where a list has three or more.
@@ -252,6 +255,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, num:
     while bits < min(16 * many, MOST_BITS):
         bits *= 2
 
+    @frugal
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(bits, np.uint8)
         for batch in batches:
@@ -262,6 +266,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, num:
     filled = gathered(needed.mapInArrow(mark, SCHEMA), np.bitwise_or, np.uint8, bits // 8)
     wanted = texts.sparkSession.sparkContext.broadcast(filled)
 
+    @frugal
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags, seen = wanted.value, set()
         for batch in batches:
@@ -334,6 +339,7 @@ def _cross_pairs(num: int, den: int):
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
             at = stop
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = None                                             # a list goes on in the next batch
         for batch in batches:

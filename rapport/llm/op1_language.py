@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 
 from rapport.llm import texts as X
 from rapport.llm.bitmaps import SCHEMA, gathered, pieces
-from rapport.llm.shared import col, fresh, staged, table
+from rapport.llm.shared import col, fresh, frugal, staged, table
 
 SIZES = (3, 5)
 SLOTS, PROBES = 1 << 20, 2
 TRAIN_DOCS, MIN_COUNT, MIN_RATIO = 600, 3, 0.25
+#: Bytes of text judged at once; about a hundred bytes of arrays stand for each.
+SLICE_BYTES = 1 << 18
 #: Pipeline: texts of which less than this part is known to their language go.
 MIN_SCORE = 0.3
 _PLAIN = np.full(256, 0x20, np.uint8)
@@ -151,6 +153,7 @@ def learned(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         return Filter([], np.zeros((0, SLOTS), np.uint64), -1)
     index = {name: i for i, name in enumerate(languages)}
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {}                              # of this task's part of the sample, which is bounded
         for batch in batches:
@@ -173,6 +176,7 @@ def learned(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     totals = np.maximum(np.array(counts.agg(*[F.coalesce(F.sum(name), F.lit(0)) for name in names]).first(), float), 1)
     deep, kind = -(-len(languages) // 64), (np.uint8 if len(languages) <= 8 else np.uint64)
 
+    @frugal
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = np.zeros((deep, SLOTS), kind)
         for batch in batches:
@@ -195,10 +199,11 @@ def predicted(docs: DataFrame, model: Filter, text: str = "text", into: str = "l
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
+    @frugal
     def judge(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = np.array([*shared.value.languages, "und"], object)
         for batch in column:
-            parts = [shared.value.judge(rows) for rows in X.slices(batch)]
+            parts = [shared.value.judge(rows) for rows in X.slices(batch, SLICE_BYTES)]
             best = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
             score = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0)
             yield pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(score)], ["lang_pred", "score"])

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rapport.llm import texts as X
-from rapport.llm.shared import col, fresh, table
+from rapport.llm.shared import col, fresh, frugal, table
 
 #: Shortest repeat that counts, most of a text that repeats may cover, and longest repeat.
 MIN_REPEAT, MAX_COVERED, MAX_REPEAT = 10, 0.2, 50
@@ -139,6 +139,7 @@ def repetition(text, min_repeat: int = MIN_REPEAT):
     kind = "struct<" + ",".join(f"{name}:bigint" for name in MEASURES) + ">"
 
     @F.arrow_udf(kind)
+    @frugal
     def count(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in column:
             parts = [measures(rows, min_repeat) for rows in X.slices(batch)]

@@ -33,12 +33,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rapport.llm.shared import col, table
+from rapport.llm.shared import col, frugal, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Segments whose paths a worker remembers, and bytes of texts (one at least) that it takes at once.
-REMEMBERED, AT_ONCE = 400_000, 1 << 20
+REMEMBERED, AT_ONCE, SEGMENTS = 200_000, 1 << 20, 1 << 16
 INFINITE = float("inf")
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 #: Cuts before a marked word and around line ends, and (finer) also behind a run of letters.
@@ -130,7 +130,7 @@ class Transducer:
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.weight = [0.0] * self.size if model.bpe else [-s for s in model.scores]
         self.fallback = 10.0 - min(model.scores)
-        self.legal: dict[int, bool] = {}
+        self.legal: dict[int, bool] = {}          # whether a piece may follow another; at most REMEMBERED, give or take a slice
         across = {a for piece in self.known for a, b in zip(piece, piece[1:]) if _LETTER.match(a) and not _LETTER.match(b)}
         odd = "".join(map(re.escape, sorted(a for a in across if not a.isalpha())))
         self.segment = _COARSE if any(a.isalpha() for a in across) else _FINE
@@ -138,6 +138,8 @@ class Transducer:
         self.forget()
 
     def forget(self) -> None:
+        """Drop what was remembered; bounds what a worker keeps, within a partition and after it."""
+        self.legal.clear()
         self.seen: dict[str, int] = {}
         self.bound = np.zeros(1 << 16, np.int64)        # where each remembered path begins in ``flat``, and the last ends
         self.flat = np.zeros(1 << 18, np.int32)
@@ -263,8 +265,6 @@ class Transducer:
 
     def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end to end, and where each text's ids begin (and the last end)."""
-        if len(self.seen) > REMEMBERED:
-            self.forget()
         segments, counts = [], []
         lead = " " if self.model.prefix else ""
         for text in texts:
@@ -272,9 +272,15 @@ class Transducer:
             own = cut.findall(lead + text) if text else []
             segments += own
             counts.append(len(own))
-        code = self.remembered(segments)
-        size = self.bound[code + 1] - self.bound[code]
-        ids = self.flat[_ranges(self.bound[code], size)]
+        done, sizes = [], []
+        for at in range(0, len(segments), SEGMENTS):
+            if len(self.seen) > REMEMBERED or len(self.legal) > REMEMBERED or len(self.flat) > 16 * REMEMBERED:
+                self.forget()
+            code = self.remembered(segments[at:at + SEGMENTS])
+            sizes.append(self.bound[code + 1] - self.bound[code])
+            done.append(self.flat[_ranges(self.bound[code], sizes[-1])])
+        ids = np.concatenate([*done, np.zeros(0, np.int32)])
+        size = np.concatenate([*sizes, np.zeros(0, np.int64)])
         ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
         return ids, ends
 
@@ -345,12 +351,14 @@ def encoder(spark, path: str = MODEL):
     shared = spark.sparkContext.broadcast(model_bytes(path))
 
     @F.arrow_udf("struct<" + ",".join(f"{name}:{kind}" for name, kind in FIELDS.items()) + ">")
+    @frugal
     def encode(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine = compiled(shared.value)
         for batch in column:
             parts = [columns for _, _, columns in _slices(machine, batch)]
             yield pa.StructArray.from_arrays([pa.concat_arrays(c) for c in zip(*parts)], list(FIELDS)) if parts else pa.array(
                 [], pa.struct([("ids", pa.list_(pa.int32())), ("n_pieces", pa.int64()), ("n_bytes", pa.int64()), ("round_trip", pa.bool_())]))
+        machine.forget()
 
     return encode
 
@@ -361,11 +369,13 @@ def encoded_rows(docs: DataFrame, keep: list[str], text: str = "text", path: str
     rows = docs.select(*[col(c) for c in keep], col(text).alias("_text"))
     schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep] + [f"{n} {k}" for n, k in FIELDS.items()])
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled(shared.value)
         for batch in batches:
             for low, high, columns in _slices(machine, batch.column(len(keep))):
                 yield pa.RecordBatch.from_arrays([c.slice(low, high - low) for c in batch.columns[:-1]] + columns, [*keep, *FIELDS])
+        machine.forget()
 
     return rows.mapInArrow(run, schema)
 
@@ -375,6 +385,7 @@ def decoder(spark, path: str = MODEL):
     shared = spark.sparkContext.broadcast(model_bytes(path))
 
     @F.arrow_udf("string")
+    @frugal
     def decode(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine = compiled(shared.value)
         for batch in column:

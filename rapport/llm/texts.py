@@ -19,7 +19,8 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.ones(1, np.uint64)
+#: Powers kept from call to call; longer words and lines have theirs computed anew.
+_KEPT = 1 << 12
 
 
 @dataclass
@@ -96,20 +97,28 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _raised(n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _BASE)]), dtype=np.uint64)
+
+
+_FIRST = _raised(_KEPT)
+
+
+def _powers(n: int) -> np.ndarray:
+    return _FIRST if n <= _KEPT else _raised(n)
+
+
 def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each (non-overlapping, ordered, non-empty) byte range."""
-    global _powers
     if len(begin) == 0:
         return np.zeros(0, np.uint64)
     length = end - begin
-    longest = int(length.max())
-    if longest > len(_powers):
-        with np.errstate(over="ignore"):
-            _powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(longest * 2, _BASE)]), dtype=np.uint64)
+    powers = _powers(max(int(length.max()), _KEPT))
     total = int(length.sum())
     head = np.cumsum(length) - length
     offset = np.arange(total, dtype=np.int64) - np.repeat(head, length)
-    value = (data[offset + np.repeat(begin, length)].astype(np.uint64) + np.uint64(1)) * _powers[offset]
+    value = (data[offset + np.repeat(begin, length)].astype(np.uint64) + np.uint64(1)) * powers[offset]
     return mixed(np.add.reduceat(value, head) + length.astype(np.uint64) * _BASE)
 
 
