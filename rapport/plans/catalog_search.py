@@ -16,6 +16,7 @@ from rapport.operators import retrieval as S
 from rapport.operators import timeline as TL
 from rapport.operators.profiles import topic_counts
 from rapport.plans import fixtures as X
+from rapport.sinks import people as PL
 
 QUERIES: dict = {}
 
@@ -588,6 +589,59 @@ def x7_components(spark, sf):
     return RS.resolve_merges(first.unionByName(second))
 
 
+def _families(spark, sf, low: int, high: int):
+    """Merges of customers who are a multiple of ``low`` but not of ``high`` into the multiple of ``high`` before them."""
+    k = F.col("c_custkey")
+    name = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    return X.table(spark, sf, "customer").where((k % low == 0) & (k % high > 0)).select(
+        name(k).alias("old_id"), name(k - k % high).alias("new_id"))
+
+
+def _labels(spark, sf):
+    """Labels after two merges; the second names people whom the first merged away already, and repeats some of it."""
+    nobody = spark.createDataFrame([], "id string, person_id string")
+    first = PL.extend_labels(nobody, _families(spark, sf, 1, 7))
+    again = _families(spark, sf, 1, 7).where(F.substring("old_id", 2, 20).cast("bigint") % 3 == 0)
+    second = PL.extend_labels(first, _families(spark, sf, 7, 21).unionByName(again))
+    return first.join(second, "id", "left_anti").withColumn("version", F.lit(1)).unionByName(second.withColumn("version", F.lit(2)))
+
+
+@query("x7_incremental_merges", """
+SELECT 'p' || c_custkey AS id, 'p' || (c_custkey - c_custkey % 21) AS person_id, CASE WHEN c_custkey % 21 < 7 THEN 1 ELSE 2 END AS version
+FROM customer WHERE c_custkey % 21 > 0""")
+def x7_incremental(spark, sf):
+    return _labels(spark, sf).select("id", "person_id", "version")
+
+
+MERGED = "'p' || (CAST(substr({0}, 2) AS BIGINT) - CAST(substr({0}, 2) AS BIGINT) % 21)"
+IS_MERGED = "{0} IN (SELECT 'p' || c_custkey FROM customer WHERE c_custkey % 21 > 0)"
+
+
+@query("x7_moved_rows", " UNION ALL ".join(
+    f"SELECT '{name}' AS name, count(*) AS moved FROM v_{name} WHERE {IS_MERGED.format('person_id')}"
+    for name in ("events", "emails", "notes", "voice", "identities")) + f"""
+UNION ALL SELECT 'calendar', count(DISTINCT id) FROM v_bridge WHERE {IS_MERGED.format('person_id')}""")
+def x7_moved(spark, sf):
+    tables = {name: getattr(X, name)(spark, sf) for name in ("events", "emails", "notes", "voice", "identities", "calendar")}
+    return PL.moved_rows(tables, _labels(spark, sf))
+
+
+@query("x7_repointed_tables", f"""
+SELECT name, id, CASE WHEN {IS_MERGED.format('person_id')} THEN {MERGED.format('person_id')} ELSE person_id END AS person_id FROM (
+  SELECT 'events' AS name, id, person_id FROM v_events WHERE person_id <> '' UNION ALL SELECT 'emails', id, person_id FROM v_emails
+  UNION ALL SELECT 'notes', id, person_id FROM v_notes UNION ALL SELECT 'voice', id, person_id FROM v_voice)
+UNION ALL SELECT DISTINCT 'calendar', id, CASE WHEN {IS_MERGED.format('person_id')} THEN {MERGED.format('person_id')} ELSE person_id END FROM v_bridge""")
+def x7_tables(spark, sf):
+    """Every record with the person it belongs to after both merges; meetings give a row per attendee."""
+    merges = _labels(spark, sf).select(F.col("id").alias("old_id"), F.col("person_id").alias("new_id"))
+    out = PL.repointed("calendar", X.calendar(spark, sf), merges).select(
+        F.lit("calendar").alias("name"), "id", F.explode("person_ids").alias("person_id"))
+    for name in ("events", "emails", "notes", "voice"):
+        rows = getattr(X, name)(spark, sf).where("person_id <> ''")
+        out = out.unionByName(PL.repointed(name, rows, merges).select(F.lit(name).alias("name"), "id", "person_id"))
+    return out
+
+
 @query("x8_repoint_record", """
 SELECT c.id, CASE WHEN v.id IS NOT NULL THEN v.person_id ELSE c.person_id END AS person_id FROM v_corpus c
 LEFT JOIN v_notes v ON 'doc-' || substr(v.id, 6) = 'doc-' || c.doc_id""")

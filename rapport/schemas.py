@@ -2,6 +2,13 @@
 
 _ATTACHMENTS = "array<struct<kind:string,filename:string,filename_key:string,label:string>>"
 
+_PROFILE = ("person_id string, status string, status_reason string, interaction_count bigint, "
+            "interactions_14d bigint, interactions_60d bigint, last_interaction_at timestamp_ntz, "
+            "source_breakdown map<string,bigint>, "
+            "topics array<struct<topic:string,count:bigint,last_seen:timestamp_ntz>>, "
+            "active_topics array<struct<topic:string,count:bigint>>, "
+            "upcoming_events array<struct<id:string,title:string,starts_at:timestamp_ntz>>, updated_at timestamp_ntz")
+
 TABLES = {
     "people": "person_id string, display_name string, aliases array<string>, is_user boolean, created_at timestamp_ntz",
     "aliases": "person_id string, alias string",
@@ -24,12 +31,7 @@ TABLES = {
                 "record_id string, citation string, topics array<string>",
     "suggestions": "id string, person_a_id string, person_b_id string, label string, source string, "
                    "confidence double, reason string, status string",
-    "profiles": "person_id string, status string, status_reason string, interaction_count bigint, "
-                "interactions_14d bigint, interactions_60d bigint, last_interaction_at timestamp_ntz, "
-                "source_breakdown map<string,bigint>, "
-                "topics array<struct<topic:string,count:bigint,last_seen:timestamp_ntz>>, "
-                "active_topics array<struct<topic:string,count:bigint>>, "
-                "upcoming_events array<struct<id:string,title:string,starts_at:timestamp_ntz>>, updated_at timestamp_ntz",
+    "profiles": _PROFILE,
     "processed": "checksum string, path string",
     "jobs": "id string, path string, checksum string, source string, status string, error string, imported bigint, "
             "version bigint",
@@ -37,7 +39,13 @@ TABLES = {
     "feed": "topic string, key string, detail string",
     "daily": "person_id string, day timestamp_ntz, n bigint, version bigint",
     "statuses": "person_id string, status string, reason string, version bigint",
+    # Numbered by merges, not by import batches.
+    "merges": "old_id string, new_id string",
+    "labels": "id string, person_id string",
+    "moves": "name string, moved bigint",
+    "decisions": "id string, merge boolean",
+    "merged_profiles": _PROFILE + ", after bigint",
 }
 
 KEYS = {"people": "person_id", "messages": "id", "emails": "id", "calendar": "id", "notes": "id", "voice": "id",
-        "documents": "id", "media": "id", "events": "id", "memories": "id"}
+        "documents": "id", "media": "id", "events": "id", "memories": "id", "suggestions": "id"}

@@ -26,6 +26,22 @@ class Archive:
         except AnalysisException:
             return self.spark.createDataFrame([], TABLES[name] + ", batch bigint")
 
+    def rows(self, name: str) -> DataFrame:
+        """All rows with the number of the batch that wrote them."""
+        return self._load(name)
+
+    def has(self, name: str) -> bool:
+        """Whether anything was written to a table."""
+        try:
+            self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}")
+        except AnalysisException:
+            return False
+        return True
+
+    def last_batch(self, name: str) -> int:
+        """The last batch of a table, -1 without any."""
+        return self._load(name).agg(F.coalesce(F.max("batch"), F.lit(-1)).alias("b")).first().b
+
     def read(self, name: str, before: int | None = None) -> DataFrame:
         """All rows, or those of the batches before one (partitions are pruned)."""
         rows = self._load(name)

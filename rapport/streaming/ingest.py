@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rapport.functions.dates import ntz
-from rapport.functions.text import deterministic_id
+from rapport.functions.text import deterministic_id, duplicate_key
 from rapport.operators import media_links as ML
 from rapport.operators import profiles as P
 from rapport.operators import resolution as R
 from rapport.operators.timeline import memories_of
+from rapport.sinks import people as PL
 from rapport.sinks.changes import unprocessed
 from rapport.sinks.tables import Archive
 from rapport.sources.archive import expand_archives
@@ -72,8 +73,7 @@ def ingest(archive: Archive, files: DataFrame, batch: int, as_of, root: str = ""
     _started(archive, work, batch)
     parsed = parse_all(work.where("verdict = 'ok'"), lambda name, rows: archive.stage(name, rows, batch))
 
-    people, identities = before("people"), before("identities")
-    aliases = before("aliases")
+    people, identities, aliases = (PL.current(archive, name, batch) for name in ("people", "identities", "aliases"))
     contacts = archive.stage("contacts", R.resolve_contacts(parsed["contacts"], people, identities), batch)
     created = ntz(as_of)
     met = R.contact_people(contacts).withColumn("created_at", created)
@@ -89,10 +89,9 @@ def ingest(archive: Archive, files: DataFrame, batch: int, as_of, root: str = ""
                                            F.lit(None).cast("string").alias("email"))))
     resolved = archive.stage("senders", R.resolve_senders(labels, everyone, known_ids, aliases=aliases), batch)
     archive.write("aliases", R.new_aliases(resolved, everyone), batch)
-    archive.write("suggestions", R.name_match_suggestions(resolved), batch)
     archive.insert_new("people", met.unionByName(R.new_people(resolved).withColumn("created_at", created)),
                        batch, ["display_name"])
-    people = archive.read("people")
+    people = PL.current(archive, "people")
 
     messages = archive.insert_new("messages", R.assign_people(parsed["messages"], resolved), batch, ["path"])
     who = resolved.select(F.col("label").alias("_label"), "person_id")
@@ -110,14 +109,25 @@ def ingest(archive: Archive, files: DataFrame, batch: int, as_of, root: str = ""
 
     archive.insert_new("events", R.ledger_events(messages, emails, calendar, notes, voice), batch, ["id"])
     archive.insert_new("memories", memories_of(messages, emails, calendar, notes, documents), batch, ["id"])
+    archive.insert_new("suggestions", R.name_match_suggestions(resolved).unionByName(
+        duplicates_of(archive.batch("people", batch), people, PL.current(archive, "events"))), batch, ["label"])
     touched = archive.batch("events", batch).select("person_id").distinct()
     profiles = archive.write("profiles", P.refresh_profiles(
-        touched, people, archive.read("events"), archive.read("memories"), archive.read("calendar"), as_of), batch)
+        touched, people, *(PL.current(archive, name) for name in ("events", "memories", "calendar")), as_of), batch)
     _finish(archive, work, known, parsed, batch, profiles)
     for frame in (kept, fresh, work):
         frame.unpersist()
 
 
+def duplicates_of(fresh: DataFrame, people: DataFrame, events: DataFrame) -> DataFrame:
+    """Suggestions for new people whose name somebody else has too; only people of such names are looked at."""
+    key = duplicate_key(F.col("display_name"))
+    names = fresh.select(key.alias("_key")).where("_key <> ''").distinct()
+    alike = people.withColumn("_key", key).join(names, "_key", "left_semi").drop("_key")
+    own = events.join(alike.select("person_id"), "person_id", "left_semi")
+    return R.duplicate_suggestions(R.duplicate_people(alike, own), alike)
+
+
 def _job_id(batch: int):
     return F.concat(F.lit("job-"), deterministic_id(F.col("path"), F.lit(batch))).alias("id")
 
