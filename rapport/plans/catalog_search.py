@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rapport import constants as K
@@ -16,7 +18,9 @@ from rapport.operators import retrieval as S
 from rapport.operators import timeline as TL
 from rapport.operators.profiles import topic_counts
 from rapport.plans import fixtures as X
+from rapport.session import ensure_checkpoint_dir
 from rapport.sinks import people as PL
+from rapport.sinks import segments as SG
 
 QUERIES: dict = {}
 
@@ -71,6 +75,27 @@ def r2_filtered(spark, sf):
     return S.keyword_search(asked, X.corpus(spark, sf), 12).select("qid", "id", big("rank"))
 
 
+def _segments(spark, sf):
+    """An index of the corpus in five segments, three of which were merged."""
+    ensure_checkpoint_dir(spark)
+    corpus = X.corpus(spark, sf)
+    part = F.pmod(F.xxhash64("id"), F.lit(5))
+    index = SG.indexed(spark, f"{spark.sparkContext.getCheckpointDir()}/segments-{uuid.uuid4().hex}", [corpus.where(part == i) for i in range(5)])
+    index.merge([0, 2, 3])
+    return index
+
+
+@query("r1_segment_terms", """
+SELECT term, count(DISTINCT id) AS df, count(*) AS occurrences FROM v_tokens GROUP BY term""")
+def r1_segment_terms(spark, sf):
+    return _segments(spark, sf).term_counts()
+
+
+@query("r2_segment_search", "SELECT qid, id, rank FROM (" + KEYWORD.format(k=12) + ")")
+def r2_segments(spark, sf):
+    return _segments(spark, sf).search(X.questions(spark, sf), 12).select("qid", "id", big("rank"))
+
+
 @query("j3_hits_with_memory", """
 SELECT h.qid, h.id, c.source, c.person_id FROM (""" + KEYWORD.format(k=12) + """) h JOIN v_corpus c ON c.id = h.id
 WHERE c.source IN ('src1', 'src2', 'src3')""")

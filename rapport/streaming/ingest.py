@@ -13,6 +13,7 @@ from rapport.operators import resolution as R
 from rapport.operators.timeline import memories_of
 from rapport.sinks import people as PL
 from rapport.sinks.changes import unprocessed
+from rapport.sinks.segments import TextIndex
 from rapport.sinks.tables import Archive
 from rapport.sources.archive import expand_archives
 from rapport.sources.files import FILE_SCHEMA, admitted
@@ -108,7 +109,10 @@ def ingest(archive: Archive, files: DataFrame, batch: int, as_of, root: str = ""
     archive.insert_new("media", ML.media_catalogue(work.where(is_media & (F.col("verdict") == "ok"))), batch, ["path"])
 
     archive.insert_new("events", R.ledger_events(messages, emails, calendar, notes, voice), batch, ["id"])
-    archive.insert_new("memories", memories_of(messages, emails, calendar, notes, documents), batch, ["id"])
+    memories = archive.insert_new("memories", memories_of(messages, emails, calendar, notes, documents), batch, ["id"])
+    index = text_index(archive)
+    index.append(memories, batch)
+    index.merge()
     archive.insert_new("suggestions", R.name_match_suggestions(resolved).unionByName(
         duplicates_of(archive.batch("people", batch), people, PL.current(archive, "events"))), batch, ["label"])
     touched = archive.batch("events", batch).select("person_id").distinct()
@@ -119,6 +123,11 @@ def ingest(archive: Archive, files: DataFrame, batch: int, as_of, root: str = ""
         frame.unpersist()
 
 
+def text_index(archive: Archive) -> TextIndex:
+    """The index of everything imported so far."""
+    return TextIndex(archive.spark, f"{archive.root}/_index")
+
+
 def duplicates_of(fresh: DataFrame, people: DataFrame, events: DataFrame) -> DataFrame:
     """Suggestions for new people whose name somebody else has too; only people of such names are looked at."""
     key = duplicate_key(F.col("display_name"))

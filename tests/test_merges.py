@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rapport.sinks import people as PL
 from rapport.sinks.tables import Archive
-from rapport.streaming.ingest import run_ingest
+from rapport.streaming.ingest import run_ingest, text_index
 
 AS_OF = "2024-01-10 00:00:00"
 PAIRS = "old_id string, new_id string"
@@ -87,6 +87,14 @@ def test_merge_people_of_an_archive(spark, tmp_path):
     assert moved["events"] == archive.read("events").where(F.col("person_id") == gone).count()
     assert PL.open_suggestions(archive).where("person_b_id IS NOT NULL").isEmpty()
 
+    # The index was kept up by the import; questions about the keeper find what the other one wrote.
+    index = text_index(archive)
+    merges = PL.labels(archive).select(F.col("id").alias("old_id"), F.col("person_id").alias("new_id"))
+    asked = spark.createDataFrame([(1, "anything about robotics?", keeper)], "qid int, question string, person_id string")
+    hits = index.search(asked, 5, merges).collect()
+    assert len(hits) == 1 and hits[0].id in {r.id for r in archive.read("memories").where("text LIKE '%robotics%'").collect()}
+    assert index.size().first().docs == archive.read("memories").count()
+
     # Every table reads with the keeper, and the attendee's list holds them once.
     for name in ("messages", "events", "memories", "identities"):
         assert PL.current(archive, name).where(F.col("person_id") == gone).isEmpty(), name
@@ -114,4 +122,5 @@ def test_merge_people_of_an_archive(spark, tmp_path):
     newest = archive.read("messages").where("content = 'again'").first()
     assert newest.person_id == ids["Carla Poe"]
     assert {r.person_id for r in PL.current(archive, "people").collect()} == set(ids.values()) - {gone, keeper}
+    assert index.size().first().docs == archive.read("memories").count() and len(index.live()) == 2
     assert profile(ids["Carla Poe"]).interaction_count == PL.current(archive, "events").where(F.col("person_id") == ids["Carla Poe"]).count()
