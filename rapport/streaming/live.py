@@ -62,10 +62,13 @@ def status_from_days(daily: DataFrame, as_of, rules: str = "classic") -> DataFra
 def status_changes(archive: Archive, as_of, rules: str = "classic"):
     """``foreachBatch`` handler for a stream of ledger rows: stores the batch's day
     buckets, and publishes a row for everybody whose status became another. A replayed
-    batch overwrites its own buckets."""
+    batch overwrites its own buckets. ``as_of`` is a time, or a function that gives the
+    time of a batch; between batches nothing decays (:mod:`rapport.streaming.decay`
+    has timers for that)."""
     def handle(rows: DataFrame, batch: int) -> None:
+        now = as_of() if callable(as_of) else as_of
         archive.write("daily", daily_counts(rows).withColumn("version", F.lit(batch)), batch)
-        current = status_from_days(archive.read("daily"), as_of, rules).select("person_id", "status", "reason")
+        current = status_from_days(archive.read("daily"), now, rules).select("person_id", "status", "reason")
         known = latest(archive.read("statuses", before=batch), ["person_id"], "version").select(
             "person_id", F.col("status").alias("was"))
         changed = current.join(known, "person_id", "left").where(~F.col("status").eqNullSafe(F.col("was")))
