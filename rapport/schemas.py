@@ -37,6 +37,8 @@ TABLES = {
             "version bigint",
     "provenance": "checksum string, filename string, record_count bigint",
     "feed": "topic string, key string, detail string",
+    "commits": "at timestamp_ntz",
+    "live_feed": "topic string, key string, detail string",
     "daily": "person_id string, day timestamp_ntz, n bigint, version bigint",
     "statuses": "person_id string, status string, reason string, version bigint",
     # Numbered by merges, not by import batches.
@@ -49,3 +51,10 @@ TABLES = {
 
 KEYS = {"people": "person_id", "messages": "id", "emails": "id", "calendar": "id", "notes": "id", "voice": "id",
         "documents": "id", "media": "id", "events": "id", "memories": "id", "suggestions": "id"}
+
+#: Tables that an import batch writes; they are read up to the last committed batch.
+IMPORTED = ("people", "aliases", "identities", "messages", "emails", "calendar", "notes", "voice", "documents", "media", "events", "memories",
+            "suggestions", "profiles", "processed", "jobs", "provenance", "feed")
+
+#: Tables parted by the month of a time.
+DATED = {"messages": "sent_at", "emails": "sent_at", "calendar": "starts_at", "events": "occurred_at", "memories": "occurred_at"}

@@ -2,6 +2,11 @@
 
 A replayed batch overwrites its own partition and reads only the partitions before
 it, so writing is idempotent; rows are never updated in place.
+
+An import writes many tables; they become visible together. Readers see batches up to
+the last committed one, the import itself also the batch it is writing. Tables with
+times are parted by month below the batch and ordered by person inside their files, so
+a time window reads its months, and one person's rows a few row groups.
 """
 
 from __future__ import annotations
@@ -10,25 +15,50 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rapport.schemas import KEYS, TABLES
+from rapport.functions.dates import ntz
+from rapport.schemas import DATED, IMPORTED, KEYS, TABLES
 from rapport.sinks.changes import latest, new_rows
 
 
 class Archive:
-    """Tables under ``root``, a folder every executor can reach."""
+    """Tables under ``root``, a folder every executor can reach. ``at`` pins what is read to a commit, so that several
+    tables belong together whatever is imported meanwhile."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, at: int | None = None):
+        self.spark, self.root, self.at = spark, root.rstrip("/"), at
 
-    def _load(self, name: str) -> DataFrame:
+    def _stored(self, name: str) -> DataFrame:
+        schema = TABLES[name] + ", batch bigint" + (", month string" if name in DATED else "")
         try:
-            return self.spark.read.schema(TABLES[name] + ", batch bigint").parquet(f"{self.root}/{name}")
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
         except AnalysisException:
-            return self.spark.createDataFrame([], TABLES[name] + ", batch bigint")
+            return self.spark.createDataFrame([], schema)
+
+    def _load(self, name: str) -> DataFrame:
+        rows = self._stored(name)
+        if name in IMPORTED:
+            rows = rows.where(F.col("batch") <= (self.committed() if self.at is None else self.at))
+        return rows
+
+    def committed(self) -> int:
+        """The last batch whose tables are all written, -1 before the first."""
+        return self._stored("commits").agg(F.coalesce(F.max("batch"), F.lit(-1)).alias("b")).first().b
+
+    def snapshot(self) -> Archive:
+        """The archive as of its last commit."""
+        return Archive(self.spark, self.root, self.committed())
+
+    def writing(self, batch: int) -> Archive:
+        """The archive as the import of ``batch`` sees it."""
+        return Archive(self.spark, self.root, batch)
+
+    def commit(self, batch: int) -> None:
+        """Make a batch visible. It is the last thing that an import writes."""
+        self.write("commits", self.spark.range(1).select(F.current_timestamp().cast("timestamp_ntz").alias("at")), batch)
 
     def rows(self, name: str) -> DataFrame:
         """All rows with the number of the batch that wrote them."""
-        return self._load(name)
+        return self._load(name).drop("month")
 
     def has(self, name: str) -> bool:
         """Whether anything was written to a table."""
@@ -45,10 +75,16 @@ class Archive:
     def read(self, name: str, before: int | None = None) -> DataFrame:
         """All rows, or those of the batches before one (partitions are pruned)."""
         rows = self._load(name)
-        return (rows if before is None else rows.where(F.col("batch") < before)).drop("batch")
+        return (rows if before is None else rows.where(F.col("batch") < before)).drop("batch", "month")
+
+    def window(self, name: str, since, until) -> DataFrame:
+        """Rows with ``since <= time <= until``; only their months are read."""
+        at, month = F.col(DATED[name]), lambda t: F.date_format(ntz(t), "yyyy-MM")
+        return (self._load(name).where(F.col("month").between(month(since), month(until)))
+                .where((at >= ntz(since)) & (at <= ntz(until))).drop("batch", "month"))
 
     def batch(self, name: str, batch: int) -> DataFrame:
-        return self._load(name).where(F.col("batch") == batch).drop("batch")
+        return self._stored(name).where(F.col("batch") == batch).drop("batch", "month")
 
     def write(self, name: str, rows: DataFrame, batch: int) -> DataFrame:
         """Write one batch and hand back what was written, its lineage cut."""
@@ -58,7 +94,14 @@ class Archive:
                 rows = rows.withColumn(column, F.lit(None))
         schema = self.spark.createDataFrame([], TABLES[name]).schema
         out = rows.select(*[F.col(c).cast(schema[c].dataType).alias(c) for c in columns])
-        out.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch}")
+        path = f"{self.root}/{name}/batch={batch}"
+        if name in DATED:
+            month = F.coalesce(F.date_format(DATED[name], "yyyy-MM"), F.lit("none"))
+            order = [c for c in ("month", "person_id") if c == "month" or c in columns]
+            # Rebalancing splits a month with very many rows and keeps few rows in few files.
+            out.withColumn("month", month).hint("rebalance", "month").sortWithinPartitions(*order).write.partitionBy("month").mode("overwrite").parquet(path)
+        else:
+            out.write.mode("overwrite").parquet(path)
         return self.batch(name, batch)
 
     def stage(self, name: str, rows: DataFrame, batch: int) -> DataFrame:
@@ -78,7 +121,7 @@ class Archive:
         rows = self._load(name)
         if before is not None:
             rows = rows.where(F.col("batch") < before)
-        return latest(rows, key, "batch").drop("batch")
+        return latest(rows.drop("month"), key, "batch").drop("batch")
 
 
 def split_ddl(ddl: str) -> list[str]:

@@ -129,7 +129,7 @@ def status_feed(archive: Archive):
         known = latest(mine, ["person_id"], "version").select("person_id", F.col("status").alias("was"))
         changed = now.join(known, "person_id", "left").where(~F.col("status").eqNullSafe(F.col("was")))
         written = archive.write("statuses", changed.withColumn("version", F.lit(batch)), batch)
-        archive.write("feed", written.select(F.lit("status").alias("topic"), F.col("person_id").alias("key"),
+        archive.write("live_feed", written.select(F.lit("status").alias("topic"), F.col("person_id").alias("key"),
                                              F.col("status").alias("detail")), batch)
 
     return handle

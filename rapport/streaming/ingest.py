@@ -63,13 +63,15 @@ def ingest(archive: Archive, files: DataFrame, batch: int, as_of, root: str = ""
     neither hides a good one nor keeps a finished download from being imported.
 
     Every stage writes its table and later stages read the written rows, so no
-    stage recomputes an earlier one and a lost executor costs one stage at most."""
+    stage recomputes an earlier one and a lost executor costs one stage at most.
+    Readers see the batch once all of it is there."""
+    archive = archive.writing(batch)
     before = lambda name: archive.read(name, before=batch)
     kept = admitted(files, root).persist()
     taken = kept.where("verdict = 'ok'")
     fresh = unprocessed(taken, before("processed")).persist()
     archive.write("processed", fresh.select("checksum", "path"), batch)
-    known = taken.join(before("processed").select("checksum"), "checksum", "left_semi")
+    known = taken.join(fresh.select("path"), "path", "left_anti")          # imported before, or twice in this batch
     work = unpacked(fresh.unionByName(kept.where("verdict != 'ok'")), root).persist()
     _started(archive, work, batch)
     parsed = parse_all(work.where("verdict = 'ok'"), lambda name, rows: archive.stage(name, rows, batch))
@@ -109,16 +111,17 @@ def ingest(archive: Archive, files: DataFrame, batch: int, as_of, root: str = ""
     archive.insert_new("media", ML.media_catalogue(work.where(is_media & (F.col("verdict") == "ok"))), batch, ["path"])
 
     archive.insert_new("events", R.ledger_events(messages, emails, calendar, notes, voice), batch, ["id"])
-    memories = archive.insert_new("memories", memories_of(messages, emails, calendar, notes, documents), batch, ["id"])
-    index = text_index(archive)
-    index.append(memories, batch)
-    index.merge()
+    written = archive.insert_new("memories", memories_of(messages, emails, calendar, notes, documents), batch, ["id"])
     archive.insert_new("suggestions", R.name_match_suggestions(resolved).unionByName(
         duplicates_of(archive.batch("people", batch), people, PL.current(archive, "events"))), batch, ["label"])
     touched = archive.batch("events", batch).select("person_id").distinct()
     profiles = archive.write("profiles", P.refresh_profiles(
         touched, people, *(PL.current(archive, name) for name in ("events", "memories", "calendar")), as_of), batch)
     _finish(archive, work, known, parsed, batch, profiles)
+    archive.commit(batch)
+    index = text_index(archive)          # after the commit: a search finds nothing that cannot be read
+    index.append(written, batch)
+    index.merge()
     for frame in (kept, fresh, work):
         frame.unpersist()
 

@@ -47,7 +47,7 @@ def test_status_decays_without_new_rows(spark, rocks, tmp_path):
 
     query = (stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp"))
              .trigger(processingTime="1 second").start())
-    told = lambda who: [r.detail for r in archive.rows("feed").where(F.col("key") == who).orderBy("batch").collect()]
+    told = lambda who: [r.detail for r in archive.rows("live_feed").where(F.col("key") == who).orderBy("batch").collect()]
     try:
         wait(lambda: told("busy")[-1:] == ["Low Activity"] and told("few")[-1:] == ["Low Activity"])
         wait(lambda: len(told("ahead")) >= 2)

@@ -41,7 +41,16 @@ def test_folder_feed(spark, tmp_path):
     assert {(r.kind, r.n) for r in archive.read("events").groupBy("kind").agg(F.count("*").alias("n")).collect()} == {
         ("message", 2), ("email", 1), ("meeting", 2)}
     jobs = {os.path.basename(r.path): r.status for r in archive.read("jobs").collect()}
-    assert jobs["bad.json"] == "FAILED" and jobs["a_chat.txt"] == "COMPLETED" and "copy_chat.txt" not in jobs
+    assert jobs["bad.json"] == "FAILED" and jobs["a_chat.txt"] == "COMPLETED" and jobs["copy_chat.txt"] == "SKIPPED"
+    # A window reads its months only; a batch that broke off is not there for readers.
+    plan = archive.window("events", "2024-01-01 00:00:00", "2024-01-31 00:00:00")
+    assert plan.count() == 3 and "PartitionFilters" in plan._jdf.queryExecution().toString()
+    assert archive.window("events", "2024-02-01 00:00:00", "2024-02-28 00:00:00").count() == 2
+    assert all("month=2024-01" in r.f for r in plan.select(F.input_file_name().alias("f")).collect())
+    pinned = archive.snapshot()
+    archive.write("people", archive.read("people").withColumn("person_id", F.lit("half")), 9)
+    assert archive.read("people").where("person_id = 'half'").isEmpty() and archive.committed() == pinned.at == 0
+    archive.write("people", archive.read("people").limit(0), 9)
     profile = archive.latest("profiles", ["person_id"]).where(F.col("person_id") == alice).collect()[0]
     assert profile.interaction_count == 4 and profile.upcoming_events[0].title == "Sync"
 
@@ -49,7 +58,7 @@ def test_folder_feed(spark, tmp_path):
     put(inbox, "media/IMG-1-WA1.jpg", b"\xff\xd8jpeg")
     put(inbox, "whatsapp/renamed_chat.txt", CHAT + "03/01/24, 8:00 AM - Alice Doe: new\n")
     run_ingest(spark, inbox, root, check, AS_OF).awaitTermination()
-    assert archive.read("messages").count() == 3
+    assert archive.read("messages").count() == 3 and pinned.read("messages").count() == 2
     media = linked_media(archive).collect()[0]
     assert media.status == "LINKED" and media.person_id == alice
     assert archive.latest("profiles", ["person_id"]).where(F.col("person_id") == alice).collect()[0].interaction_count == 5
@@ -80,7 +89,7 @@ def test_live_counters_and_status_changes(spark, tmp_path):
     run()
     more(12, 100)
     run()
-    changes = [r.detail for r in archive._load("feed").where("topic = 'status'").orderBy("batch").collect()]
+    changes = [r.detail for r in archive.rows("live_feed").where("topic = 'status'").orderBy("batch").collect()]
     assert changes == ["Active", "Very Active"]
 
 
