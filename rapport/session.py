@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +23,16 @@ def build_session(master: str | None = None, app: str = "rapport", **conf: str)
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return prepare(builder.getOrCreate())
+    return ship(prepare(builder.getOrCreate()))
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give this package to the Python workers, which do not look where the driver found it."""
+    package = Path(__file__).resolve().parent
+    if package.name not in (Path(f).stem for f in spark.sparkContext.listFiles):
+        spark.sparkContext.addPyFile(shutil.make_archive(
+            f"{tempfile.mkdtemp(prefix='spark-package-')}/{package.name}", "zip", package.parent, package.name))
+    return spark
 
 
 def prepare(spark: SparkSession) -> SparkSession:

@@ -8,6 +8,7 @@ import email.utils
 import io
 import re
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -156,6 +157,17 @@ def _text_of(part) -> str:
     return content.decode("utf-8", "replace") if isinstance(content, bytes) else str(content)
 
 
+def _files_in(part) -> Iterator[tuple[str, int]]:
+    """Name and decoded size of every named part, at any depth, in the order of the message."""
+    name = part.get_filename()
+    if name:
+        held = part.get_payload(decode=True)
+        yield name, 0 if held is None else len(held)
+    if part.is_multipart():
+        for inner in part.iter_parts():
+            yield from _files_in(inner)
+
+
 def _read_email(path: str, content: bytes) -> tuple:
     """One message by the standard library's modern policy: it decodes headers, picks the
     body and finds the attachments."""
@@ -165,8 +177,7 @@ def _read_email(path: str, content: bytes) -> tuple:
     text = _text_of(body) if body is not None else ""
     if body is not None and body.get_content_subtype() == "html":
         text = re.sub("<[^>]+>", " ", text)
-    files = [{"kind": "attachment", "label": part.get_filename(), "size": len(part.get_payload(decode=True) or b"")}
-             for part in message.walk() if part.get_filename()]
+    files = [dict(zip(("kind", "label", "size"), ("attachment", *file))) for file in _files_in(message)]
     to = [entry.strip() for field in message.get_all("To", []) for entry in re.split("[,;]", " ".join(str(field).split()))]
     try:
         sent = pd.Timestamp(email.utils.parsedate_to_datetime(str(message["Date"])))
