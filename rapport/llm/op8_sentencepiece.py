@@ -38,7 +38,7 @@ from rapport.llm.shared import col, frugal, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Segments whose paths a worker remembers, and bytes of texts (one at least) that it takes at once.
-REMEMBERED, AT_ONCE, SEGMENTS = 200_000, 1 << 20, 1 << 16
+REMEMBERED, PAIRS, AT_ONCE, SEGMENTS = 400_000, 500_000, 1 << 20, 1 << 16
 INFINITE = float("inf")
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 #: Cuts before a marked word and around line ends, and (finer) also behind a run of letters.
@@ -130,7 +130,7 @@ class Transducer:
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.weight = [0.0] * self.size if model.bpe else [-s for s in model.scores]
         self.fallback = 10.0 - min(model.scores)
-        self.legal: dict[int, bool] = {}          # whether a piece may follow another; at most REMEMBERED, give or take a slice
+        self.legal: dict[int, bool] = {}          # whether a piece may follow another; at most PAIRS, give or take a slice
         across = {a for piece in self.known for a, b in zip(piece, piece[1:]) if _LETTER.match(a) and not _LETTER.match(b)}
         odd = "".join(map(re.escape, sorted(a for a in across if not a.isalpha())))
         self.segment = _COARSE if any(a.isalpha() for a in across) else _FINE
@@ -274,8 +274,10 @@ class Transducer:
             counts.append(len(own))
         done, sizes = [], []
         for at in range(0, len(segments), SEGMENTS):
-            if len(self.seen) > REMEMBERED or len(self.legal) > REMEMBERED or len(self.flat) > 16 * REMEMBERED:
+            if len(self.seen) > REMEMBERED or len(self.flat) > 16 * REMEMBERED:
                 self.forget()
+            if len(self.legal) > PAIRS:
+                self.legal.clear()
             code = self.remembered(segments[at:at + SEGMENTS])
             sizes.append(self.bound[code + 1] - self.bound[code])
             done.append(self.flat[_ranges(self.bound[code], sizes[-1])])
