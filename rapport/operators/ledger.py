@@ -87,7 +87,11 @@ def person_source_stats(events: DataFrame, as_of, windows=(14, 60)) -> DataFrame
 def person_stats(events: DataFrame, as_of, windows=(14, 60)) -> DataFrame:
     """Per person: total, last time, window counts and counts by source (a map,
     largest first)."""
-    per_source = person_source_stats(events, as_of, windows)
+    return stats_by_person(person_source_stats(events, as_of, windows), windows)
+
+
+def stats_by_person(per_source: DataFrame, windows=(14, 60)) -> DataFrame:
+    """Rows of (person, source) rolled up to one row per person."""
     parts = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), F.col("source"))))
     return per_source.groupBy("person_id").agg(
         F.sum("n").alias("interactions"), F.max("last_at").alias("last_at"),

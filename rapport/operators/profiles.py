@@ -23,8 +23,13 @@ def topic_counts(memories: DataFrame, people: DataFrame, as_of) -> DataFrame:
               .where("topic IS NOT NULL")
               .groupBy("person_id", "topic")
               .agg(F.count("*").alias("n"), F.count_if(active).alias("active_n"),
-                   F.max("occurred_at").alias("last_seen"))
-              .where(~is_noise_topic(F.col("topic"))))
+                   F.max("occurred_at").alias("last_seen")))
+    return meaningful_topics(counts, people)
+
+
+def meaningful_topics(counts: DataFrame, people: DataFrame) -> DataFrame:
+    """Counts of topics that are neither noise nor the person's own names."""
+    counts = counts.where(~is_noise_topic(F.col("topic")))
     own = people.select("person_id", name_tokens(F.col("display_name"), F.col("aliases")).alias("own"))
     return (counts.join(own, "person_id", "left")
             .where(~is_noise_topic(F.col("topic"), F.coalesce("own", F.array().cast("array<string>"))))
@@ -55,8 +60,12 @@ def profiles(people: DataFrame, events: DataFrame, memories: DataFrame, calendar
     Four aggregates joined on person_id. Nothing nested is unbounded: lists hold
     at most 8 topics, 6 active topics, 5 upcoming events, and one entry per source.
     """
-    stats = person_stats(events, as_of)
-    counts = topic_counts(memories, people, as_of)
+    return assembled(people, person_stats(events, as_of), topic_counts(memories, people, as_of), calendar, as_of, rules)
+
+
+def assembled(people: DataFrame, stats: DataFrame, counts: DataFrame, calendar: DataFrame, as_of,
+              rules: str = "classic") -> DataFrame:
+    """Profiles from finished statistics per person and topic."""
     topics = top_topics(counts).groupBy("person_id").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "topic", "n", "last_seen"))),
         lambda s: F.struct(s["topic"], s["n"].alias("count"), s["last_seen"])).alias("topics"))

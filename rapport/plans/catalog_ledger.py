@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rapport.functions.dates import ntz
+from rapport.operators import buckets as B
 from rapport.operators import ledger as L
 from rapport.operators import match as M
 from rapport.operators import people as P
@@ -133,18 +137,39 @@ def _profiles(spark, sf):
     return R.profiles(X.people(spark, sf), X.events(spark, sf), X.memories(spark, sf), X.calendar(spark, sf), X.AS_OF)
 
 
-@query("a8_profile_scalars", """
+PROFILE_SCALARS = """
 SELECT p.person_id, coalesce(status, 'No Recent Activity') AS status,
        coalesce(reason, 'No recorded interactions yet.') AS status_reason,
        coalesce(interactions, 0) AS interaction_count, coalesce(n14, 0) AS interactions_14d,
        coalesce(n60, 0) AS interactions_60d, last_at AS last_interaction_at
-FROM v_people p LEFT JOIN v_status s ON s.person_id = p.person_id""")
+FROM v_people p LEFT JOIN v_status s ON s.person_id = p.person_id"""
+
+
+@query("a8_profile_scalars", PROFILE_SCALARS)
 def a8_scalars(spark, sf):
     return _profiles(spark, sf).select(
         "person_id", "status", "status_reason", "interaction_count", "interactions_14d",
         "interactions_60d", "last_interaction_at")
 
 
+IMPORTS = 4
+
+
+def _imports(df):
+    """The parts of a table as several imports bring them: rows of one person and day arrive in any of them."""
+    return [df.where(F.pmod(F.xxhash64("occurred_at", "person_id"), F.lit(IMPORTS)) == i) for i in range(IMPORTS)]
+
+
+@query("t4_profiles_by_deltas", PROFILE_SCALARS)
+def t4_profiles(spark, sf):
+    events, memories = X.events(spark, sf), X.memories(spark, sf)
+    activity = reduce(DataFrame.unionByName, [B.activity_buckets(part) for part in _imports(events)])
+    topics = reduce(DataFrame.unionByName, [B.topic_buckets(part) for part in _imports(memories)])
+    return B.bucket_profiles(X.people(spark, sf), activity, topics, B.at_edges(events, X.AS_OF), B.at_edges(memories, X.AS_OF),
+                             X.calendar(spark, sf), X.AS_OF).select(
+        "person_id", "status", "status_reason", "interaction_count", "interactions_14d", "interactions_60d", "last_interaction_at")
+
+
 @query("a8_profile_upcoming", f"""
 SELECT p.person_id, string_agg(b.id, ',' ORDER BY rn) AS upcoming FROM v_people p JOIN (
   SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY starts_at, id) AS rn FROM v_bridge
@@ -195,6 +220,14 @@ def a9_topics(spark, sf):
     return _topic_counts(spark, sf)
 
 
+@query("t4_topics_by_deltas", TOPIC_COUNTS.format(keep=f"{KEEP_TOPIC} AND {OWN_NAME}"))
+def t4_topics(spark, sf):
+    memories = X.memories(spark, sf)
+    topics = reduce(DataFrame.unionByName, [B.topic_buckets(part) for part in _imports(memories)])
+    return B.topic_counts(topics, B.at_edges(memories, X.AS_OF), X.people(spark, sf), X.AS_OF).select(
+        "person_id", "topic", "n", "active_n", "last_seen")
+
+
 @query("a9_top_topics", f"""
 SELECT person_id, topic, n, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY n DESC, topic) AS rank

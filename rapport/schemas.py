@@ -32,6 +32,9 @@ TABLES = {
     "suggestions": "id string, person_a_id string, person_b_id string, label string, source string, "
                    "confidence double, reason string, status string",
     "profiles": _PROFILE,
+    # Added up per import batch; profiles are kept from them.
+    "activity": "person_id string, source string, day timestamp_ntz, n bigint, last_at timestamp_ntz",
+    "topic_days": "person_id string, topic string, day timestamp_ntz, n bigint, last_at timestamp_ntz",
     "processed": "checksum string, path string",
     "jobs": "id string, path string, checksum string, source string, status string, error string, imported bigint, "
             "version bigint",
@@ -54,7 +57,11 @@ KEYS = {"people": "person_id", "messages": "id", "emails": "id", "calendar": "id
 
 #: Tables that an import batch writes; they are read up to the last committed batch.
 IMPORTED = ("people", "aliases", "identities", "messages", "emails", "calendar", "notes", "voice", "documents", "media", "events", "memories",
-            "suggestions", "profiles", "processed", "jobs", "provenance", "feed")
+            "suggestions", "profiles", "activity", "topic_days", "processed", "jobs", "provenance", "feed")
 
 #: Tables parted by the month of a time.
 DATED = {"messages": "sent_at", "emails": "sent_at", "calendar": "starts_at", "events": "occurred_at", "memories": "occurred_at"}
+
+#: Tables parted by a hash of the person, so that an upkeep reads the parts of the people it touches.
+SLOTTED = ("activity", "topic_days")
+SLOTS = 64

@@ -16,16 +16,18 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rapport.operators import profiles as P
+from rapport.operators import buckets as B
 from rapport.operators import resolution as R
 from rapport.operators.ranking import first_per_group
 from rapport.session import cut_lineage
-from rapport.sinks.tables import Archive
+from rapport.sinks.tables import Archive, slot_of
 
 #: Columns with a person, and columns with a list of people, by table.
 PERSON = {name: ["person_id"] for name in ("aliases", "identities", "messages", "emails", "notes", "voice", "events", "memories", "daily")}
 PERSON["suggestions"] = ["person_a_id", "person_b_id"]
 MEMBERS = {"calendar": "person_ids"}
+#: Sums kept per person: read through the labels like all tables, but nothing of its own that a merge moves.
+SUMS = ("activity", "topic_days")
 
 
 def extend_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -74,7 +76,7 @@ def repointed(name: str, rows: DataFrame, merges: DataFrame, key: str = "id") ->
         return R.surviving_people(rows, merges)
     if name in MEMBERS:
         return R.repoint_array(rows, merges, key, MEMBERS[name]).select(*rows.columns)
-    for column in PERSON.get(name, []):
+    for column in ["person_id"] if name in SUMS else PERSON.get(name, []):
         rows = R.repoint(rows, merges, column).drop("moved").select(*rows.columns)
     if name in ("identities", "aliases"):
         return rows.distinct()
@@ -83,9 +85,9 @@ def repointed(name: str, rows: DataFrame, merges: DataFrame, key: str = "id") ->
     return rows
 
 
-def current(archive: Archive, name: str, before: int | None = None) -> DataFrame:
-    """A table as it reads today. ``before`` leaves out later import batches, never merges."""
-    rows = archive.read(name, before)
+def current(archive: Archive, name: str, before: int | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """A table as it reads today. ``before`` leaves out later import batches, never merges; ``rows`` are some of its rows."""
+    rows = archive.read(name, before) if rows is None else rows
     if not archive.has("labels"):               # nobody was merged yet
         accepted = archive.has("decisions") and name == "aliases"
         return rows.unionByName(R.accepted_aliases(decided(archive))).distinct() if accepted else rows
@@ -117,6 +119,39 @@ def profiles(archive: Archive) -> DataFrame:
     return last.join(labels(archive).select(F.col("id").alias("person_id")), "person_id", "left_anti")
 
 
+def kept_profiles(archive: Archive, touched: DataFrame, as_of) -> DataFrame:
+    """Profiles of the touched people, from their buckets.
+
+    Read are the parts of the buckets in which the touched people lie, under all ids that they ever had, the ledger and
+    the memories of the days in which a window begins or ends, and the calendar from ``as_of`` on. The slots come to the
+    driver: at most ``SLOTS`` numbers.
+    """
+    ids = touched.select("person_id").distinct()
+    names = ids.select(F.col("person_id").alias("id"))
+    if archive.has("labels"):
+        names = names.unionByName(labels(archive).join(ids, "person_id", "left_semi").select("id"))
+    slots = [r.slot for r in names.select(slot_of(F.col("id")).alias("slot")).distinct().collect()]
+
+    def mine(name: str, rows: DataFrame) -> DataFrame:
+        return current(archive, name, rows=rows).join(ids, "person_id", "left_semi")
+
+    def edge(name: str) -> DataFrame:
+        return mine(name, reduce(DataFrame.unionByName, [archive.window(name, *day) for day in B.edge_days(as_of)]))
+
+    ahead = current(archive, "calendar", rows=archive.since("calendar", as_of)).select(
+        "id", "title", "starts_at", F.explode("person_ids").alias("person_id")).join(ids, "person_id", "left_semi")
+    def buckets(name: str) -> DataFrame:
+        if archive.has(name):
+            return mine(name, archive.of_slots(name, slots))
+        table, added = {"activity": ("events", B.activity_buckets), "topic_days": ("memories", B.topic_buckets)}[name]
+        return added(mine(table, archive.read(table)))         # no import has written buckets yet
+
+    return B.bucket_profiles(
+        current(archive, "people").join(ids, "person_id", "left_semi"),
+        *(buckets(name) for name in SUMS), edge("events"), edge("memories"),
+        ahead.withColumn("person_ids", F.array("person_id")).drop("person_id"), as_of)
+
+
 def merge(archive: Archive, edges: DataFrame, version: int, as_of) -> DataFrame:
     """Merge people (old_id into new_id) and hand back what moved: (name, moved) per table.
 
@@ -127,7 +162,7 @@ def merge(archive: Archive, edges: DataFrame, version: int, as_of) -> DataFrame:
     changed = archive.write("labels", extend_labels(labels(archive, before=version), edges), version)
     tables = {name: archive.read(name) for name in (*PERSON, *MEMBERS)}
     moves = archive.write("moves", moved_rows(tables, changed), version)
-    fresh = P.refresh_profiles(changed.select("person_id"), *(current(archive, name) for name in ("people", "events", "memories", "calendar")), as_of)
+    fresh = kept_profiles(archive, changed, as_of)
     archive.write("merged_profiles", fresh.withColumn("after", F.lit(archive.last_batch("jobs"))), version)
     return moves
 

@@ -12,14 +12,18 @@ a time window reads its months, and one person's rows a few row groups.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rapport.functions.dates import ntz
-from rapport.schemas import DATED, IMPORTED, KEYS, TABLES
+from rapport.schemas import DATED, IMPORTED, KEYS, SLOTS, SLOTTED, TABLES
 from rapport.sinks.changes import latest, new_rows
 
 
+def slot_of(person: Column) -> Column:
+    return F.pmod(F.xxhash64(person), F.lit(SLOTS)).cast("int")
+
+
 class Archive:
     """Tables under ``root``, a folder every executor can reach. ``at`` pins what is read to a commit, so that several
     tables belong together whatever is imported meanwhile."""
@@ -28,7 +32,8 @@ class Archive:
         self.spark, self.root, self.at = spark, root.rstrip("/"), at
 
     def _stored(self, name: str) -> DataFrame:
-        schema = TABLES[name] + ", batch bigint" + (", month string" if name in DATED else "")
+        part = ", month string" if name in DATED else ", slot int" if name in SLOTTED else ""
+        schema = TABLES[name] + ", batch bigint" + part
         try:
             return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
         except AnalysisException:
@@ -58,7 +63,7 @@ class Archive:
 
     def rows(self, name: str) -> DataFrame:
         """All rows with the number of the batch that wrote them."""
-        return self._load(name).drop("month")
+        return self._load(name).drop("month", "slot")
 
     def has(self, name: str) -> bool:
         """Whether anything was written to a table."""
@@ -75,16 +80,26 @@ class Archive:
     def read(self, name: str, before: int | None = None) -> DataFrame:
         """All rows, or those of the batches before one (partitions are pruned)."""
         rows = self._load(name)
-        return (rows if before is None else rows.where(F.col("batch") < before)).drop("batch", "month")
+        return (rows if before is None else rows.where(F.col("batch") < before)).drop("batch", "month", "slot")
 
     def window(self, name: str, since, until) -> DataFrame:
         """Rows with ``since <= time <= until``; only their months are read."""
         at, month = F.col(DATED[name]), lambda t: F.date_format(ntz(t), "yyyy-MM")
         return (self._load(name).where(F.col("month").between(month(since), month(until)))
-                .where((at >= ntz(since)) & (at <= ntz(until))).drop("batch", "month"))
+                .where((at >= ntz(since)) & (at <= ntz(until))).drop("batch", "month", "slot"))
+
+    def since(self, name: str, since) -> DataFrame:
+        """Rows from a moment on; earlier months are not read."""
+        at = ntz(since)
+        return (self._load(name).where(F.col("month") >= F.date_format(at, "yyyy-MM"))
+                .where(F.col(DATED[name]) >= at).drop("batch", "month"))
+
+    def of_slots(self, name: str, slots: list[int]) -> DataFrame:
+        """Rows in some of a slotted table's parts; the others are not read."""
+        return self._load(name).where(F.col("slot").isin(slots)).drop("batch", "slot")
 
     def batch(self, name: str, batch: int) -> DataFrame:
-        return self._stored(name).where(F.col("batch") == batch).drop("batch", "month")
+        return self._stored(name).where(F.col("batch") == batch).drop("batch", "month", "slot")
 
     def write(self, name: str, rows: DataFrame, batch: int) -> DataFrame:
         """Write one batch and hand back what was written, its lineage cut."""
@@ -100,6 +115,9 @@ class Archive:
             order = [c for c in ("month", "person_id") if c == "month" or c in columns]
             # Rebalancing splits a month with very many rows and keeps few rows in few files.
             out.withColumn("month", month).hint("rebalance", "month").sortWithinPartitions(*order).write.partitionBy("month").mode("overwrite").parquet(path)
+        elif name in SLOTTED:
+            out = out.withColumn("slot", slot_of(F.col("person_id"))).hint("rebalance", "slot")
+            out.sortWithinPartitions("slot", "person_id").write.partitionBy("slot").mode("overwrite").parquet(path)
         else:
             out.write.mode("overwrite").parquet(path)
         return self.batch(name, batch)
@@ -121,7 +139,7 @@ class Archive:
         rows = self._load(name)
         if before is not None:
             rows = rows.where(F.col("batch") < before)
-        return latest(rows.drop("month"), key, "batch").drop("batch")
+        return latest(rows.drop("month", "slot"), key, "batch").drop("batch")
 
 
 def split_ddl(ddl: str) -> list[str]:

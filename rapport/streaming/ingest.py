@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from rapport.functions.dates import ntz
 from rapport.functions.text import deterministic_id, duplicate_key
+from rapport.operators import buckets as B
 from rapport.operators import media_links as ML
-from rapport.operators import profiles as P
 from rapport.operators import resolution as R
 from rapport.operators.timeline import memories_of
 from rapport.sinks import people as PL
@@ -115,8 +115,12 @@ def ingest(archive: Archive, files: DataFrame, batch: int, as_of, root: str = ""
     archive.insert_new("suggestions", R.name_match_suggestions(resolved).unionByName(
         duplicates_of(archive.batch("people", batch), people, PL.current(archive, "events"))), batch, ["label"])
     touched = archive.batch("events", batch).select("person_id").distinct()
-    profiles = archive.write("profiles", P.refresh_profiles(
-        touched, people, *(PL.current(archive, name) for name in ("events", "memories", "calendar")), as_of), batch)
+    # Where no batch before has buckets (an archive from before there were any), they take up the whole ledger.
+    first = before("activity").isEmpty()
+    archive.write("activity", B.activity_buckets(archive.read("events") if first else archive.batch("events", batch)), batch)
+    first = before("topic_days").isEmpty()
+    archive.write("topic_days", B.topic_buckets(archive.read("memories") if first else written), batch)
+    profiles = archive.write("profiles", PL.kept_profiles(archive, touched, as_of), batch)
     _finish(archive, work, known, parsed, batch, profiles)
     archive.commit(batch)
     index = text_index(archive)          # after the commit: a search finds nothing that cannot be read
