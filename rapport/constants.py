@@ -121,6 +121,7 @@ MEDIA_PREFIX_KINDS = {
     "IMG": "image", "PHOTO": "image", "PTT": "voice", "AUD": "audio",
     "VID": "video", "GIF": "video", "STK": "sticker", "DOC": "document",
 }
+RECORDING_KINDS = ("voice", "audio")
 MEDIA_MAX_BYTES = 200 * 1024 * 1024
 
 RESERVED_FILE_STEMS = (

@@ -66,3 +66,19 @@ def link_media(media: DataFrame, references: DataFrame) -> DataFrame:
         "occurred_at": F.coalesce(old["occurred_at"].cast("timestamp_ntz"), "first_sent"),
         "status": F.when(linked, F.lit("LINKED")).otherwise(F.col("status"))})
     return out.drop("m", "first_sent")
+
+
+def recordings(media: DataFrame) -> DataFrame:
+    return media.where(F.col("kind").isin(*K.RECORDING_KINDS) & (F.col("status") != "TOO_LARGE"))
+
+
+def voice_rows(media: DataFrame, references: DataFrame, files: DataFrame) -> DataFrame:
+    """A voice row, with its content, for every recording of a media catalogue.
+
+    ``files``: path, content, modificationTime. A recording sent in a chat belongs to the message and its sender and is as
+    old as the message; any other one belongs to nobody yet and is as old as its file.
+    """
+    linked = link_media(recordings(media), references)
+    return linked.join(files.select("path", "content", "modificationTime"), "path").select(
+        F.concat(F.lit("voice-"), F.substring("checksum", 1, 24)).alias("id"), "person_id", "message_id", "filename",
+        F.coalesce("occurred_at", F.col("modificationTime").cast("timestamp_ntz")).alias("recorded_at"), "path", "content")

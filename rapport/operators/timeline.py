@@ -171,3 +171,14 @@ def document_memories(documents: DataFrame) -> DataFrame:
         F.lit("document").alias("source"), null.cast("timestamp_ntz").alias("occurred_at"),
         F.when(first, F.concat(F.col("title"), F.lit(": "), F.col("chunk"))).otherwise(F.col("chunk")).alias("text"),
         F.col("id").alias("record_id"), F.col("filename").alias("citation"), F.col("chunk").alias("topic_text"))
+
+
+def voice_memories(voice: DataFrame) -> DataFrame:
+    """One memory per recording with a transcript."""
+    said = clean_text(F.col("transcript"))
+    return voice.where(said != "").select(
+        F.concat(F.lit("mem-"), F.col("id")).alias("id"), "person_id", F.lit("voice").alias("kind"),
+        F.lit("voice").alias("source"), F.col("recorded_at").alias("occurred_at"),
+        F.concat(F.lit("[Voice recording "), F.col("filename"), F.lit("] "), said).alias("text"),
+        F.col("id").alias("record_id"), citation(F.lit("voice"), F.col("recorded_at"), F.col("filename")).alias("citation"),
+        extract_topics(said).alias("topics"))

@@ -21,7 +21,7 @@ TABLES = {
     "calendar": "id string, title string, starts_at timestamp_ntz, ends_at timestamp_ntz, location string, "
                 "description string, participants array<string>, person_ids array<string>, path string",
     "notes": "id string, person_id string, title string, body string, noted_at timestamp_ntz, path string",
-    "voice": "id string, person_id string, filename string, transcript string, recorded_at timestamp_ntz, path string",
+    "voice": "id string, person_id string, message_id string, filename string, transcript string, recorded_at timestamp_ntz, path string",
     "documents": "id string, filename string, title string, text string, mime_type string, path string",
     "media": "id string, filename string, filename_key string, kind string, mime_type string, size_bytes bigint, "
              "checksum string, path string, status string",
@@ -29,6 +29,8 @@ TABLES = {
               "record_id string",
     "memories": "id string, person_id string, kind string, source string, occurred_at timestamp_ntz, text string, "
                 "record_id string, citation string, topics array<string>",
+    # Of the user's model; one row a text, whatever number of memories say it.
+    "vectors": "text_key string, embedding array<float>",
     "suggestions": "id string, person_a_id string, person_b_id string, label string, source string, "
                    "confidence double, reason string, status string",
     "profiles": _PROFILE,
@@ -57,7 +59,7 @@ KEYS = {"people": "person_id", "messages": "id", "emails": "id", "calendar": "id
 
 #: Tables that an import batch writes; they are read up to the last committed batch.
 IMPORTED = ("people", "aliases", "identities", "messages", "emails", "calendar", "notes", "voice", "documents", "media", "events", "memories",
-            "suggestions", "profiles", "activity", "topic_days", "processed", "jobs", "provenance", "feed")
+            "vectors", "suggestions", "profiles", "activity", "topic_days", "processed", "jobs", "provenance", "feed")
 
 #: Tables parted by the month of a time.
 DATED = {"messages": "sent_at", "emails": "sent_at", "calendar": "starts_at", "events": "occurred_at", "memories": "occurred_at"}

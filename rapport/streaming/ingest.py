@@ -10,7 +10,8 @@ from rapport.functions.text import deterministic_id, duplicate_key
 from rapport.operators import buckets as B
 from rapport.operators import media_links as ML
 from rapport.operators import resolution as R
-from rapport.operators.timeline import memories_of
+from rapport.operators.hooks import Models, embed, spoken
+from rapport.operators.timeline import memories_of, voice_memories
 from rapport.sinks import people as PL
 from rapport.sinks.changes import unprocessed
 from rapport.sinks.segments import TextIndex
@@ -29,12 +30,12 @@ def file_stream(spark: SparkSession, folder: str, per_trigger: int = 1000, glob:
 
 
 def run_ingest(spark: SparkSession, folder: str, root: str, checkpoint: str, as_of, per_trigger: int = 1000,
-               once: bool = True):
+               once: bool = True, models: Models = Models()):
     """Start the feed. The checkpoint remembers which files were handed out, the
     processed table which contents were imported; a replayed batch rewrites itself."""
     archive = Archive(spark, root)
     query = (file_stream(spark, folder, per_trigger).writeStream
-             .foreachBatch(lambda files, batch: ingest(archive, files, batch, as_of, folder))
+             .foreachBatch(lambda files, batch: ingest(archive, files, batch, as_of, folder, models))
              .option("checkpointLocation", checkpoint))
     return (query.trigger(availableNow=True) if once else query.trigger(processingTime="10 seconds")).start()
 
@@ -55,7 +56,7 @@ def unpacked(kept: DataFrame, root: str) -> DataFrame:
     return plain.unionByName(admitted(good, root)).unionByName(bad)
 
 
-def ingest(archive: Archive, files: DataFrame, batch: int, as_of, root: str = "") -> None:
+def ingest(archive: Archive, files: DataFrame, batch: int, as_of, root: str = "", models: Models = Models()) -> None:
     """One batch: admit, dedupe by content, parse, resolve people, insert what is new,
     emit ledger rows and memories, refresh the profiles that changed.
 
@@ -106,14 +107,18 @@ def ingest(archive: Archive, files: DataFrame, batch: int, as_of, root: str = ""
     calendar = archive.insert_new("calendar", meetings.join(guests, "id", "left"), batch, ["path"])
     notes = archive.insert_new("notes", parsed["notes"], batch, ["path"])
     documents = archive.insert_new("documents", parsed["documents"], batch, ["path"])
-    voice = archive.batch("voice", batch)
     is_media = F.col("ext").isin(list(K.MEDIA_TYPES)) & ~F.col("ext").isin(".zip", ".vcf", ".docx")
-    archive.insert_new("media", ML.media_catalogue(work.where(is_media & (F.col("verdict") == "ok"))), batch, ["path"])
-
-    archive.insert_new("events", R.ledger_events(messages, emails, calendar, notes, voice), batch, ["id"])
-    written = archive.insert_new("memories", memories_of(messages, emails, calendar, notes, documents), batch, ["id"])
+    media = archive.insert_new("media", ML.media_catalogue(work.where(is_media & (F.col("verdict") == "ok"))), batch, ["path"])
+    voice = _recorded(archive, media, work, batch, models)
+
+    # A recording in a chat is counted with its message; one of nobody's counts once the user says whose it is.
+    archive.insert_new("events", R.ledger_events(messages, emails, calendar, notes, voice.where("person_id IS NULL")), batch, ["id"])
+    written = archive.insert_new("memories", memories_of(messages, emails, calendar, notes, documents).unionByName(
+        voice_memories(voice)), batch, ["id"])
+    _embedded(archive, written, batch, models)
     archive.insert_new("suggestions", R.name_match_suggestions(resolved).unionByName(
-        duplicates_of(archive.batch("people", batch), people, PL.current(archive, "events"))), batch, ["label"])
+        duplicates_of(archive.batch("people", batch), people, PL.current(archive, "events"))).unionByName(
+        R.voice_mention_suggestions(voice.where("person_id IS NULL AND transcript IS NOT NULL"), people)), batch, ["label"])
     touched = archive.batch("events", batch).select("person_id").distinct()
     # Where no batch before has buckets (an archive from before there were any), they take up the whole ledger.
     first = before("activity").isEmpty()
@@ -130,6 +135,38 @@ def ingest(archive: Archive, files: DataFrame, batch: int, as_of, root: str = ""
         frame.unpersist()
 
 
+def _recorded(archive: Archive, media: DataFrame, work: DataFrame, batch: int, models: Models) -> DataFrame:
+    """Voice rows of the batch's new recordings, with what the user's model understands of them."""
+    if ML.recordings(media).isEmpty():
+        return archive.write("voice", archive.batch("voice", batch).limit(0), batch)
+    keys = ML.recordings(media).select("filename_key").distinct()
+    sent = ML.attachment_keys(PL.current(archive, "messages")).join(keys, "filename_key", "left_semi")
+    rows = ML.voice_rows(media, sent, work)
+    rows = rows.withColumn("transcript", F.lit(None).cast("string")) if models.transcribe is None else spoken(rows, models.transcribe)
+    return archive.insert_new("voice", rows.drop("content"), batch, ["path"])
+
+
+def text_key(text):
+    return F.sha2(text, 256)
+
+
+def _embedded(archive: Archive, memories: DataFrame, batch: int, models: Models) -> None:
+    """Vectors of texts that the archive has none for; a text is given to the model once, however often it is said."""
+    if models.embed is None:
+        return
+    texts = memories.where("text IS NOT NULL").groupBy(text_key(F.col("text")).alias("text_key")).agg(F.first("text").alias("text"))
+    new = texts.join(archive.read("vectors", before=batch).select("text_key"), "text_key", "left_anti")
+    # Staged first: filters must not make the model run a second time.
+    vectors = archive.stage("vectors", embed(new, "text", models.embed).drop("text"), batch)
+    archive.write("vectors", vectors.where("size(embedding) > 0"), batch)
+
+
+def corpus(archive: Archive) -> DataFrame:
+    """All memories with their vectors (NULL without one), as ``retrieval`` takes them."""
+    vectors = archive.read("vectors").withColumnRenamed("text_key", "_key")
+    return PL.current(archive, "memories").withColumn("_key", text_key(F.col("text"))).join(vectors, "_key", "left").drop("_key")
+
+
 def text_index(archive: Archive) -> TextIndex:
     """The index of everything imported so far."""
     return TextIndex(archive.spark, f"{archive.root}/_index")
