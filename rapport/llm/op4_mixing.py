@@ -4,13 +4,14 @@ Each source gets a share of all words; what exceeds ``max_copies`` times a sourc
 target over its size says how often each of its documents is taken: the whole part is certain, the rest is an inclusion
 probability pi. Documents are ranked by their random odds u / (1 - u) over their inclusion odds pi / (1 - pi) (times a
 given relative odds column, if any), and taken in that order up to the words still missing; at most ``FILLS`` further
-documents, each the nearest in size, close the gap that is left. u comes from the id's MD5, so runs agree.
+documents, each the nearest in size, close the gap that is left. u comes from the MD5 of id and text, so runs agree.
 
 The cut of a source is found without sorting it: ranks fall into ``BINS`` bins, whose sums are small, and only the bin
 that holds the cut is ordered. Decisions are a row per source; they travel to the documents, not the other way.
 
 Defined results: null text has size 0; null sources are one source, last in order; documents of size 0 take part and add
-nothing; rows that repeat an id (null ids are one id) are taken alike; empty tables give empty results.
+nothing; other texts under one id (null ids are one id) are documents of their own; rows that repeat id and text are one
+document of their joint size, taken alike and charged as a whole; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -31,6 +32,11 @@ def n_words(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def row_key(key, text):
+    """What tells documents apart: the id and the MD5 of the text."""
+    return F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(" "), F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+
+
 def uniform(key):
     """A number in (0, 1) from the MD5 of a key."""
     digits = F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 13), 16, 10)
@@ -67,6 +73,9 @@ def decisions(sizes: DataFrame, weights=(1, 2, 3), max_copies: int = 3) -> DataF
 
     ``sizes``: key (string), source, size, u, odds. Staged, as it is read by every document.
     """
+    # Equal documents are one from here on; odds differ between them only where the caller's column does.
+    sizes = staged(sizes.groupBy("key", "source").agg(F.sum("size").alias("size"), F.max("u").alias("u"), F.max("odds").alias("odds")),
+                   "mix-classes")
     per = (targets(sizes, weights, max_copies)
            .withColumn("whole", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")),
                                                                          F.lit(max_copies))).otherwise(0).cast("int"))
@@ -121,9 +130,9 @@ def _taken():
 
 
 def prepared(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", odds: str | None = None):
-    """key, source, size, u and odds of every document."""
-    return docs.select(F.coalesce(col(key).cast("string"), F.lit("")).alias("key"), col(source).alias("source"),
-                       n_words(col(text)).alias("size"), uniform(col(key)).alias("u"),
+    """key, source, size, u and odds of every row."""
+    name = row_key(col(key), col(text))
+    return docs.select(name.alias("key"), col(source).alias("source"), n_words(col(text)).alias("size"), uniform(name).alias("u"),
                        (col(odds).cast("double") if odds else F.lit(1.0)).alias("odds"))
 
 
@@ -133,13 +142,12 @@ def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: st
     sizes = staged(prepared(docs, key, source, text, odds), "mix-sizes")
     per = decisions(sizes, weights, max_copies)
     name = fresh(docs, "mix")
-    return _applied(docs, per, name, n_words(col(text)), key, source, odds)
+    return _applied(docs, per, name, n_words(col(text)), row_key(col(key), col(text)), source, odds)
 
 
-def _applied(docs: DataFrame, per: DataFrame, name: str, size, key: str, source: str, odds: str | None) -> DataFrame:
+def _applied(docs: DataFrame, per: DataFrame, name: str, size, key, source: str, odds: str | None) -> DataFrame:
     row = F.struct(*[col(c) for c in docs.columns]).alias("row")
-    flat = docs.select(row, F.coalesce(col(key).cast("string"), F.lit("")).alias("key"), col(source).alias("source"),
-                       uniform(col(key)).alias("u"), (col(odds).cast("double") if odds else F.lit(1.0)).alias("odds"),
+    flat = docs.select(row, key.alias("key"), col(source).alias("source"), uniform(key).alias("u"), (col(odds).cast("double") if odds else F.lit(1.0)).alias("odds"),
                        size.alias("size"))
     done = _rank(with_decisions(flat, per))
     copies = F.col("whole") + _taken().cast("int")
@@ -160,24 +168,24 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    sizes = staged(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
-    ready = sizes.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), "source", "size",
-                         uniform(F.col("doc_id")).alias("u"), F.lit(1.0).alias("odds"))
-    done = _applied(sizes, decisions(ready), "mix", F.col("size"), "doc_id", "source", None)
+    sizes = staged(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"),
+                               row_key(F.col("doc_id"), F.col("text")).alias("key")), "mix-sizes")
+    ready = sizes.select("key", "source", "size", uniform(F.col("key")).alias("u"), F.lit(1.0).alias("odds"))
+    done = _applied(sizes, decisions(ready), "mix", F.col("size"), F.col("key"), "source", None)
     return done.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-  (('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u,
-  coalesce(CAST(doc_id AS VARCHAR), '') AS key FROM documents),
+WITH k AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+  coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || md5(coalesce(text, '')) AS key FROM documents),
+d AS (SELECT *, (('0x' || substr(md5(key), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM k),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 a AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w, 3 * source_size AS cap FROM s),
 b AS (SELECT *, sum(source_size) OVER () - sum(cap) OVER f + cap AS remaining, sum(w) OVER () - sum(w) OVER f + w AS open
   FROM a WINDOW f AS (ORDER BY cap / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
-k AS (SELECT remaining AS r0, open AS o0 FROM b WHERE remaining * w <= cap * open ORDER BY cap / w, source NULLS LAST LIMIT 1),
+z AS (SELECT remaining AS r0, open AS o0 FROM b WHERE remaining * w <= cap * open ORDER BY cap / w, source NULLS LAST LIMIT 1),
 t AS (SELECT source, source_size, CASE WHEN remaining * w <= cap * open
-  THEN CAST(CAST(w * (SELECT r0 FROM k) AS BIGINT) AS DOUBLE) / CAST((SELECT o0 FROM k) AS DOUBLE)
+  THEN CAST(CAST(w * (SELECT r0 FROM z) AS BIGINT) AS DOUBLE) / CAST((SELECT o0 FROM z) AS DOUBLE)
   ELSE CAST(cap AS DOUBLE) END AS target FROM b),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(least(floor(target / source_size), 3) AS INT) ELSE 0 END AS whole FROM t),
 e AS (SELECT *, target - whole * source_size AS missing FROM p),
@@ -188,7 +196,8 @@ c AS (SELECT *, CASE WHEN q IS NOT NULL THEN sum(size) OVER (PARTITION BY source
 g0 AS (SELECT *, coalesce(upto <= missing, false) AS taken0,
   missing - coalesce(max(CASE WHEN upto <= missing THEN upto END) OVER (PARTITION BY source), 0) AS gap0 FROM c),
 """ + ",\n".join(f"""f{k} AS (SELECT source AS fs, arg_min({{'k': key, 's': size}}, {{'o': abs(gap{k} - size), 'q': q, 'k': key}}) AS fill
-  FROM g{k} WHERE q IS NOT NULL AND NOT taken{k} AND abs(gap{k} - size) < gap{k} GROUP BY source),
+  FROM (SELECT source, key, q, gap{k}, sum(size) AS size FROM g{k} WHERE q IS NOT NULL AND NOT taken{k} GROUP BY source, key, q, gap{k})
+  WHERE abs(gap{k} - size) < gap{k} GROUP BY source),
 g{k + 1} AS (SELECT g{k}.*, taken{k} OR coalesce(key = fill.k, false) AS taken{k + 1}, gap{k} - coalesce(fill.s, 0) AS gap{k + 1}
   FROM g{k} LEFT JOIN f{k} ON g{k}.source IS NOT DISTINCT FROM f{k}.fs)""" for k in range(FILLS)) + f"""
 SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN taken{FILLS} THEN 1 ELSE 0 END) AS taken FROM g{FILLS}"""

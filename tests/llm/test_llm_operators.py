@@ -265,6 +265,21 @@ def test_mixing_meets_targets_and_repeats(spark):
     assert again.exceptAll(M.op4_mixing(spark, "/root/testdata/sf0.01").repartition(7)).count() == 0
 
 
+def test_mixing_with_repeated_ids(spark):
+    """Other texts under one id, or under null, are taken one by one; exact repeats are charged as a whole."""
+    from rapport.llm import op4_mixing as M
+
+    text = lambda tag, i, n: " ".join(f"{tag}{i}x{j}" for j in range(n))
+    rows = [(7, text("a", i, 10), "a") for i in range(200)] + [(1000 + i, text("b", i, 37), "a") for i in range(400)]
+    rows += [(None, text("c", i, 12), "b") for i in range(400)] + [(5000 + i, text("d", i, 25), "b") for i in range(300)]
+    rows += [(9, "same words here", "c")] * 5 + [(6000 + i, text("e", i, 9), "c") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    done = M.mixed(docs)
+    per = done.groupBy("source").agg(F.sum(F.col(done.columns[-1]).taken).alias("t"), F.first(F.col(done.columns[-1]).target).alias("w"))
+    assert all(abs(r.t - r.w) <= 0.01 * r.w for r in per.collect())
+    assert M.mixed(docs.repartition(3)).exceptAll(done).isEmpty()
+
+
 # -- vectors -----------------------------------------------------------------------------------
 
 def clustered(seed, width=24):
