@@ -54,28 +54,31 @@ def positions(df: DataFrame, keys: list[str], at: str, ties: list[str],
         "_bucket", "_before", "_inside")
 
 
-def rolling_counts(df: DataFrame, keys: list[str], at: str, days: list[int]) -> DataFrame:
-    """For every row, how many rows of its group lie in the preceding n days.
+def rolling_counts(df: DataFrame, keys: list[str], at: str, days: list[int], bucket: int = 3600) -> DataFrame:
+    """For every row, how many rows of its group lie in the n days up to its time, both ends included.
 
-    Each group is split into time blocks as wide as the longest window; a row is
-    copied once into the next block as context. Every window is complete inside
-    one block, and a hot group spreads over as many tasks as it has blocks. Rows
-    without a time have no window and keep NULL counts.
+    A count is the difference of two running counts: up to the row's time, and up to just before the window. Equal
+    times are folded first; both points are then ranked inside a bucket of some seconds and the rows of earlier buckets
+    are added, as in :func:`positions`. No task holds more of a group than one bucket, however long the windows are.
+    Rows without a time have no window and keep NULL counts; a NULL key is a group.
     """
-    width = max(days) * 86400 * 1_000_000
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    home = F.floor(micros / F.lit(width)).cast("bigint")
-    copies = F.explode(F.array(
-        F.struct(home.alias("block"), F.lit(True).alias("home")),
-        F.struct((home + 1).alias("block"), F.lit(False).alias("home"))))
-    spread = df.where(F.col(at).isNotNull()).withColumn("_micros", micros).withColumn("_copy", copies)
-    window = Window.partitionBy(*keys, "_copy.block").orderBy("_micros")
-    for n in days:
-        spread = spread.withColumn(
-            f"n{n}", F.count("*").over(window.rangeBetween(-n * 86400 * 1_000_000, 0)))
-    counted = spread.where(F.col("_copy.home")).drop("_copy", "_micros")
-    timeless = df.where(F.col(at).isNull())
-    return counted.unionByName(timeless.withColumns({f"n{n}": F.lit(None).cast("bigint") for n in days}))
+    # The keys meet as one struct, which is never NULL itself, so joins need no null-safe form.
+    marked = df.withColumns({"_group": F.struct(*keys), "_at": F.unix_micros(F.col(at).cast("timestamp"))})
+    points = marked.where(F.col("_at").isNotNull()).groupBy("_group", "_at").agg(F.count("*").alias("_n"))
+    nothing = F.lit(0).cast("bigint")
+    marks = F.array(F.struct(nothing.alias("window"), F.col("_at").alias("point"), F.col("_n").alias("n")), *[
+        F.struct(F.lit(n).cast("bigint").alias("window"), (F.col("_at") - n * 86400 * 1_000_000 - 1).alias("point"),
+                 nothing.alias("n")) for n in days])
+    sweep = (points.select("_group", "_at", F.inline(marks))
+             .withColumn("_bucket", F.expr(f"point div {bucket * 1_000_000} - int(point < 0)")))
+    earlier = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (sweep.groupBy("_group", "_bucket").agg(F.sum("n").alias("_n"))
+               .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), nothing)).drop("_n"))
+    inside = Window.partitionBy("_group", "_bucket").orderBy("point").rangeBetween(Window.unboundedPreceding, 0)
+    ranked = sweep.withColumn("_inside", F.sum("n").over(inside)).join(offsets, ["_group", "_bucket"])
+    until = lambda n: F.max(F.when(F.col("window") == n, F.col("_before") + F.col("_inside")))
+    counts = ranked.groupBy("_group", "_at").agg(*[(until(0) - until(n)).alias(f"n{n}") for n in days])
+    return marked.join(counts, ["_group", "_at"], "left").select(*df.columns, *[f"n{n}" for n in days])
 
 
 def sorted_page(df: DataFrame, order: list[Column], limit: int | None = None, offset: int = 0) -> DataFrame:

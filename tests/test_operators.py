@@ -56,6 +56,7 @@ def test_positions_and_rolling_match_brute_force(spark):
     df = spark.createDataFrame(rows, "id int, k string, at timestamp_ntz")
     got = {r.id: r.position for r in positions(df, ["k"], "at", ["id"]).collect()}
     roll = {r.id: (r.n14, r.n60) for r in rolling_counts(df, ["k"], "at", [14, 60]).collect()}
+    assert len(roll) == 400
     for key in ("hot", "b"):
         mine = sorted([r for r in rows if r[1] == key], key=lambda r: (r[2], r[0]))
         assert [got[r[0]] for r in mine] == list(range(1, len(mine) + 1))
@@ -64,6 +65,27 @@ def test_positions_and_rolling_match_brute_force(spark):
             assert roll[r[0]] == want
 
 
+def test_rolling_counts_keep_ties_null_times_and_null_keys(spark):
+    base = dt.datetime(2024, 3, 1)
+    at = [0, 0, 0, 14 * 86400, 14 * 86400 + 1, 60 * 86400, None, None, -5]
+    rows = [(i, k, None if s is None else base + dt.timedelta(seconds=s)) for k in ("hot", None) for i, s in enumerate(at)]
+    df = spark.createDataFrame(rows, "id int, k string, at timestamp_ntz").unionByName(
+        spark.createDataFrame([(0, "hot", base)], "id int, k string, at timestamp_ntz"))         # a repeated row
+    rows.append((0, "hot", base))
+    for bucket in (3600, 30 * 86400):
+        out = rolling_counts(df, ["k"], "at", [14, 60], bucket)
+        assert out.columns == ["id", "k", "at", "n14", "n60"]
+        want = sorted(((i, k or "", t or base.min) + tuple(
+            None if t is None else sum(k == o and u is not None and 0 <= (t - u).total_seconds() <= d * 86400 for _, o, u in rows)
+            for d in (14, 60)) for i, k, t in rows), key=str)
+        assert sorted(((r.id, r.k or "", r.at or base.min, r.n14, r.n60) for r in out.collect()), key=str) == want
+    assert rolling_counts(df.limit(0), ["k"], "at", [14]).count() == 0
+    # No window runs over a group without its bucket, but for the one over bucket totals.
+    plan = rolling_counts(df, ["k"], "at", [14, 60])._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert len(windows) == 2 and sum("_n" in line.split("windowspec")[0] for line in windows) == 1
+
+
 def vectors(spark, n=60, q=9):
     rng = np.random.default_rng(1)
     corpus = [(f"m{i:03d}", "x" if i % 3 else "y", [float(v) for v in rng.normal(size=8)] if i % 7 else None) for i in range(n)]
