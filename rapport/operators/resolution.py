@@ -312,13 +312,27 @@ def contact_people(resolved: DataFrame) -> DataFrame:
 
 
 def contact_identities(resolved: DataFrame) -> DataFrame:
-    """(person_id, kind, value) every contact brings, distinct."""
-    entries = F.filter(F.array(
+    """(person_id, kind, value) every contact brings, handles in lower case under the kind they came with; distinct."""
+    entries = F.array(
         F.struct(F.lit("name").alias("kind"), norm_name(F.col("name")).alias("value")),
         F.struct(F.lit("email").alias("kind"), norm_email(F.col("email")).alias("value")),
-        F.struct(F.lit("phone").alias("kind"), norm_phone(F.col("phone")).alias("value"))),
-        lambda e: e["value"] != "")
-    return resolved.select("person_id", F.inline(entries)).distinct()
+        F.struct(F.lit("phone").alias("kind"), norm_phone(F.col("phone")).alias("value")))
+    if "usernames" in resolved.columns:
+        handles = F.transform("usernames", lambda u: F.struct(u["kind"].alias("kind"), F.lower(u["value"]).alias("value")))
+        entries = F.concat(entries, F.coalesce(handles, F.array().cast("array<struct<kind:string,value:string>>")))
+    return resolved.select("person_id", F.inline(F.filter(entries, lambda e: e["value"] != ""))).distinct()
+
+
+def contact_aliases(resolved: DataFrame, people: DataFrame, known: DataFrame) -> DataFrame:
+    """(person_id, alias) that contacts add: nicknames, and names other than the one the person goes by. ``known`` are
+    aliases of earlier imports; a name that differs in case or punctuation only is none."""
+    none = F.array().cast("array<string>")
+    nicknames = F.coalesce("aliases", none) if "aliases" in resolved.columns else none
+    names = resolved.select("person_id", F.explode(F.concat(F.array("name"), nicknames)).alias("_name"))
+    own = people.select("person_id", norm_name(F.col("display_name")).alias("_own"), F.coalesce("aliases", none).alias("_had"))
+    rows = names.select("person_id", clean_text(F.col("_name")).alias("alias")).where("alias <> ''").join(own, "person_id")
+    return (rows.where((norm_name(F.col("alias")) != F.col("_own")) & ~F.array_contains("_had", F.col("alias")))
+            .select("person_id", "alias").distinct().join(known, ["person_id", "alias"], "left_anti"))
 
 
 # -- duplicates, suggestions ------------------------------------------------------------------

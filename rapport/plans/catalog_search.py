@@ -498,6 +498,45 @@ def x1_contacts(spark, sf):
         "s_suppkey", "how", "person_id")
 
 
+def _nicknamed(spark, sf):
+    """The same contacts with a nickname, and a handle for every second one, resolved."""
+    contacts = _contacts(spark, sf).withColumns({
+        "aliases": F.array(F.concat(F.lit("nick "), F.col("s_suppkey").cast("string"))),
+        "usernames": F.expr("IF(s_suppkey % 2 = 0, array(named_struct('kind', 'telegram', 'value', concat('Handle', s_suppkey))), NULL)")})
+    return RS.resolve_contacts(contacts, X.people(spark, sf), X.identities(spark, sf))
+
+
+#: Who a contact is, as in ``x1_contact_ingest``.
+CONTACT_SQL = """WITH met AS (SELECT s_suppkey, s_name, s_suppkey % 4 AS way,
+  trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')) AS norm FROM supplier),
+ who AS (SELECT *, CASE WHEN way < 3 THEN 'p' || s_suppkey ELSE 'person-' || substr(sha256('contact' || chr(31) || norm), 1, 32) END AS person_id FROM met)"""
+
+
+@query("x1_contact_aliases", f"""{CONTACT_SQL}
+SELECT person_id, 'nick ' || s_suppkey AS alias FROM who UNION
+SELECT person_id, name FROM (SELECT person_id, CASE WHEN way = 2 THEN 'customer ' || lpad(s_suppkey::VARCHAR, 9, '0') ELSE s_name END AS name FROM who) n
+JOIN v_people p USING (person_id)
+WHERE trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) <> trim(regexp_replace(lower(display_name), '[^a-z0-9]+', ' ', 'g'))
+  AND NOT list_contains(p.aliases, name)""")
+def x1_aliases(spark, sf):
+    resolved = _nicknamed(spark, sf)
+    people = X.people(spark, sf)
+    none = people.select("person_id", F.lit("").alias("alias")).limit(0)
+    everyone = people.select("person_id", "display_name", "aliases").unionByName(
+        RS.contact_people(resolved).select("person_id", "display_name", "aliases"))
+    return RS.contact_aliases(resolved, everyone, none)
+
+
+@query("x1_contact_identities", f"""{CONTACT_SQL}
+SELECT DISTINCT person_id, kind, value FROM (
+ SELECT person_id, 'name' AS kind, CASE WHEN way = 2 THEN 'customer ' || lpad(s_suppkey::VARCHAR, 9, '0') ELSE norm END AS value FROM who
+ UNION ALL SELECT person_id, 'email', 'customer.' || lpad(s_suppkey::VARCHAR, 9, '0') || '@x.org' FROM who WHERE way = 0
+ UNION ALL SELECT person_id, 'phone', '91' || (s_suppkey + 9000000000) FROM who WHERE way = 1
+ UNION ALL SELECT person_id, 'telegram', 'handle' || s_suppkey FROM who WHERE s_suppkey % 2 = 0)""")
+def x1_identities(spark, sf):
+    return RS.contact_identities(_nicknamed(spark, sf))
+
+
 @query("j7_phone_suffix", """
 WITH n AS (SELECT DISTINCT CASE s_suppkey % 3 WHEN 0 THEN '0091' || (s_suppkey + 9000000000) WHEN 1 THEN CAST(s_suppkey + 9000000000 AS VARCHAR)
    ELSE right(CAST(s_suppkey + 9000000000 AS VARCHAR), 5) END AS digits FROM supplier)

@@ -15,6 +15,7 @@ from rapport.functions import media as ME
 from rapport.functions import questions as Q
 from rapport.functions import text as T
 from rapport.functions.evidence import evidence_entry, matched_by
+from rapport.functions.tables import register_table_functions
 from rapport.functions.topics import is_noise_topic
 from rapport.operators import media_links as ML
 from rapport.operators import timeline as TL
@@ -514,6 +515,35 @@ def f21_chunks(spark, sf):
     return TL.document_chunks(docs).select("id", F.col("chunk_no").cast("bigint").alias("chunk_no"), "chunk")
 
 
+#: A conversation turn as one entry of a chat export, and its sender and body by the grammar's rules.
+TURN_SQL = f"""WITH turns AS (SELECT conv_id, turn, coalesce(role, '') || ': ' || coalesce(text, '') AS said FROM conversations),
+ entries AS (SELECT conv_id, turn, said, trim(split_part(said, ':', 1)) AS name, NOT regexp_matches(split_part(said, chr(10), 1), '{K.CHAT_SYSTEM_VERBS}') AS plain FROM turns),
+ named AS (SELECT *, plain AND name <> '' AND length(name) < 100 AS known FROM entries)"""
+
+
+@query("n4_parse_chat_function", f"""{TURN_SQL}
+SELECT conv_id, turn, 0 AS entry_no, '8:05 PM' AS sent_time, CASE WHEN known THEN name END AS sender,
+  {clean_sql("CASE WHEN known THEN substr(said, strpos(said, ':') + 1) ELSE said END")} AS body FROM named""")
+def n4_parse_chat(spark, sf):
+    """Every turn written as an export of one message, read back through ``parse_chat`` in SQL."""
+    register_table_functions(spark)
+    X.table(spark, sf, "conversations").selectExpr(
+        "conv_id", "turn", "concat('02/01/24, 8:05 PM - ', coalesce(role, ''), ': ', coalesce(text, '')) AS export"
+    ).createOrReplaceTempView("rapport_exports")
+    return spark.sql(r"""SELECT conv_id, turn, entry_no, sent_time, sender, trim(regexp_replace(body, '\\s+', ' ')) AS body
+                         FROM rapport_exports, LATERAL parse_chat(export)""")
+
+
+@query("n5_text_chunks_function", f"""
+SELECT conv_id, turn, CAST(n AS INTEGER) AS chunk_no, substr(c, CAST(n * 200 + 1 AS BIGINT), 200) AS chunk FROM (
+ SELECT conv_id, turn, c, unnest(range(CAST(ceil(length(c) / 200.0) AS BIGINT))) AS n
+ FROM (SELECT conv_id, turn, {clean_sql('text')} AS c FROM conversations))""")
+def n5_text_chunks(spark, sf):
+    register_table_functions(spark)
+    X.table(spark, sf, "conversations").createOrReplaceTempView("rapport_turns")
+    return spark.sql("SELECT conv_id, turn, chunk_no, chunk FROM rapport_turns, LATERAL text_chunks(text, 200)")
+
+
 @query("f25_labels", """
 SELECT DISTINCT sender_label, sender_label = 'Me' AS owner, sender_label = 'Instagram User' AS placeholder FROM v_messages""")
 def f25_labels(spark, sf):

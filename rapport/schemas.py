@@ -43,6 +43,9 @@ TABLES = {
     "provenance": "checksum string, filename string, record_count bigint",
     "feed": "topic string, key string, detail string",
     "commits": "at timestamp_ntz",
+    # Of streams, numbered by their batches.
+    "progress": "stream string, run_id string, started_at timestamp_ntz, input_rows bigint, batch_ms bigint, "
+                "steps map<string,bigint>, state_rows bigint",
     "live_feed": "topic string, key string, detail string",
     "daily": "person_id string, day timestamp_ntz, n bigint, version bigint",
     "statuses": "person_id string, status string, reason string, version bigint",

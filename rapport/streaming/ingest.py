@@ -16,6 +16,7 @@ from rapport.sinks import people as PL
 from rapport.sinks.changes import unprocessed
 from rapport.sinks.segments import TextIndex
 from rapport.sinks.tables import Archive
+from rapport.streaming.progress import Progress
 from rapport.sources.archive import expand_archives
 from rapport.sources.files import FILE_SCHEMA, admitted
 from rapport.sources.registry import parse_all
@@ -32,9 +33,11 @@ def file_stream(spark: SparkSession, folder: str, per_trigger: int = 1000, glob:
 def run_ingest(spark: SparkSession, folder: str, root: str, checkpoint: str, as_of, per_trigger: int = 1000,
                once: bool = True, models: Models = Models()):
     """Start the feed. The checkpoint remembers which files were handed out, the
-    processed table which contents were imported; a replayed batch rewrites itself."""
+    processed table which contents were imported; a replayed batch rewrites itself.
+    Durations and row counts of its batches go to the archive's ``progress`` table."""
     archive = Archive(spark, root)
-    query = (file_stream(spark, folder, per_trigger).writeStream
+    progress = Progress.of(archive, "import")
+    query = (file_stream(spark, folder, per_trigger).writeStream.queryName(progress.name)
              .foreachBatch(lambda files, batch: ingest(archive, files, batch, as_of, folder, models))
              .option("checkpointLocation", checkpoint))
     return (query.trigger(availableNow=True) if once else query.trigger(processingTime="10 seconds")).start()
@@ -84,6 +87,7 @@ def ingest(archive: Archive, files: DataFrame, batch: int, as_of, root: str = ""
     named = archive.write("identities", R.contact_identities(contacts).join(
         identities, ["person_id", "kind", "value"], "left_anti"), batch)
     everyone, known_ids = people.unionByName(met), identities.unionByName(named)
+    called = archive.stage("contact_aliases", R.contact_aliases(contacts, everyone, aliases.select("person_id", "alias")), batch)
 
     mails, meetings = parsed["emails"], parsed["calendar"]
     labels = (parsed["messages"].select(F.col("sender_label").alias("label"), F.lit(None).cast("string").alias("email"))
@@ -91,8 +95,9 @@ def ingest(archive: Archive, files: DataFrame, batch: int, as_of, root: str = ""
                                         F.col("from_address").alias("email")))
               .unionByName(meetings.select(F.explode("participants").alias("label"),
                                            F.lit(None).cast("string").alias("email"))))
-    resolved = archive.stage("senders", R.resolve_senders(labels, everyone, known_ids, aliases=aliases), batch)
-    archive.write("aliases", R.new_aliases(resolved, everyone), batch)
+    resolved = archive.stage("senders", R.resolve_senders(
+        labels, everyone, known_ids, aliases=aliases.select("person_id", "alias").unionByName(called)), batch)
+    archive.write("aliases", called.unionByName(R.new_aliases(resolved, everyone)).distinct(), batch)
     archive.insert_new("people", met.unionByName(R.new_people(resolved).withColumn("created_at", created)),
                        batch, ["display_name"])
     people = PL.current(archive, "people")

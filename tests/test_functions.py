@@ -148,3 +148,27 @@ def test_natural_order(spark):
     df = spark.createDataFrame(rows, "a string")
     ordered = [r.a for r in df.orderBy(*T.sort_name_key(F.col("a"), F.col("a"))).collect()]
     assert ordered == ["anna", "x2", "x10", "xa", "+91 5", "9lives"]
+
+
+def test_table_functions_give_the_native_rows(spark):
+    from rapport.functions.tables import register_table_functions
+    from rapport.operators.timeline import document_chunks
+    from rapport.sources.chat_text import parse_chat
+
+    register_table_functions(spark)
+    chat = ("head\n12/28/23, 8:42 PM - Alice: one\ntwo: 2\r\n[28/12/23, 11:59:59 PM] Bob: at 5:30\n"
+            "28/12/2023, 20:44 – Alice created group \"T\"\n12/28/23, 8:45 PM - https://a.b/c\n12/28/23, 8:46 PM - 12: x\n")
+    files = spark.createDataFrame([("a_chat.txt", chat), ("b_chat.txt", ""), ("c_chat.txt", None), ("d_chat.txt", "prose\n")], "path string, text string")
+    files.createOrReplaceTempView("chats")
+    rows = spark.sql("SELECT path, t.* FROM chats, LATERAL parse_chat(text) t ORDER BY path, entry_no").collect()
+    assert [(r.path, r.entry_no, r.sender) for r in rows] == [
+        ("a_chat.txt", i, who) for i, who in enumerate(["Alice", "Bob", None, None, None])]
+    assert rows[0].body == "one\ntwo: 2" and (rows[1].sent_date, rows[1].sent_time, rows[1].body) == ("28/12/23", "11:59:59 PM", "at 5:30")
+    native = {(r.sender_label, r.content) for r in parse_chat(files).collect()}
+    assert native == {(r.sender, " ".join(r.body.split())) for r in rows if r.sender}
+    texts = spark.createDataFrame([("x", "ab\u200b  c\u00a0d" * 40), ("y", ""), ("z", None)], "id string, text string")
+    texts.createOrReplaceTempView("texts")
+    got = {tuple(r) for r in spark.sql("SELECT id, chunk_no, chunk FROM texts, LATERAL text_chunks(text, 7)").collect()}
+    assert got == {(r.id, r.chunk_no, r.chunk) for r in document_chunks(texts, 7).collect()} and len(got) > 20
+    with pytest.raises(Exception, match="width"):
+        spark.sql("SELECT * FROM texts, LATERAL text_chunks(text, 0)").collect()

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import time
 
 from pyspark.sql import functions as F
 
@@ -63,6 +64,41 @@ def test_folder_feed(spark, tmp_path):
     assert media.status == "LINKED" and media.person_id == alice
     assert archive.latest("profiles", ["person_id"]).where(F.col("person_id") == alice).collect()[0].interaction_count == 5
 
+    # Both runs left their durations and row counts, a moment after they ended.
+    until = time.time() + 30
+    while archive.read("progress").count() < 2 and time.time() < until:
+        time.sleep(0.5)
+    steps = archive.rows("progress").orderBy("batch").collect()
+    assert [r.batch for r in steps] == [0, 1] and {r.stream for r in steps} == {"import"}
+    assert steps[0].input_rows >= 7 and steps[1].input_rows >= 2 and len({r.run_id for r in steps}) == 2
+    assert all(r.batch_ms > 0 and r.steps["addBatch"] <= r.batch_ms and r.started_at for r in steps)
+
+
+def test_contacts_enrich_known_people(spark, tmp_path):
+    """Nicknames, handles and further names of somebody who is known, from a later file and beside new people."""
+    inbox, root, check = str(tmp_path / "in"), str(tmp_path / "db"), str(tmp_path / "cp")
+    archive = Archive(spark, root)
+    put(inbox, "contacts/a.csv", "name,email,phone,organization,nickname,telegram\nAlice Doe,alice@x.org,,Acme,,\n")
+    run_ingest(spark, inbox, root, check, AS_OF).awaitTermination()
+    alice = archive.read("people").first().person_id
+    put(inbox, "contacts/b.csv", "name,email,phone,organization,nickname,telegram\n"
+        "Alicia Smith,Alice@X.org,+1 555 0100,,Lissy,@AliceD\nALICE DOE!,alice@x.org,,,,\nBob Roe,bob@x.org,,,Bobby,\n")
+    put(inbox, "whatsapp/a_chat.txt", "02/01/24, 8:42 PM - Lissy: hi\n02/01/24, 8:43 PM - Alicia Smith: yes\n02/01/24, 8:44 PM - Bobby: no\n")
+    run_ingest(spark, inbox, root, check, AS_OF).awaitTermination()
+    people = {r.display_name: r.person_id for r in archive.read("people").collect()}
+    assert people.keys() == {"Alice Doe", "Bob Roe"} and people["Alice Doe"] == alice
+    assert sorted(tuple(r) for r in archive.read("aliases").collect()) == sorted(
+        [(alice, "Alicia Smith"), (alice, "Lissy"), (people["Bob Roe"], "Bobby")])
+    mine = {(r.kind, r.value) for r in archive.read("identities").where(F.col("person_id") == alice).collect()}
+    assert mine == {("name", "alice doe"), ("email", "alice@x.org"), ("name", "alicia smith"), ("phone", "15550100"), ("telegram", "aliced")}
+    # The chat of the same import already goes by the names the contacts brought.
+    assert {r.sender_label: r.person_id for r in archive.read("messages").collect()} == {
+        "Lissy": alice, "Alicia Smith": alice, "Bobby": people["Bob Roe"]}
+    # The same contacts in another file add nothing.
+    put(inbox, "contacts/c.csv", "name,email,phone,organization,nickname,telegram\nAlicia Smith,alice@x.org,,,Lissy,@alicED\n")
+    run_ingest(spark, inbox, root, check, AS_OF).awaitTermination()
+    assert archive.read("aliases").count() == 3 and archive.read("identities").where(F.col("person_id") == alice).count() == 5
+
 
 def events(spark):
     start = dt.datetime(2024, 1, 1)
