@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = ["relationship_status", "a1_leaderboard_window", "a2_activity_totals", "a8_profile_scalars", "w1_rolling_counts",
           "w3_conversation_replay", "o2_people_page_interactions", "p1_match_or_and", "j5_stale_profiles", "u1_timeline",
           "r2_keyword_search", "r4_vector_search", "r8_evidence_answer", "a14_activity_answers", "x2_resolve_senders",
-          "x5_duplicate_people", "x7_merge_chains", "s1_chat_text", "s4_instagram_json", "k3_changed_rows", "f8_export_dates"]
+          "x1_contact_aliases", "x1_contact_identities", "x5_duplicate_people", "x7_merge_chains", "n4_parse_chat_function", "n5_text_chunks_function", "s1_chat_text", "s4_instagram_json", "k3_changed_rows", "f8_export_dates"]
 
 
 @pytest.fixture(scope="module")
