@@ -85,16 +85,18 @@ GRAM = 3
 
 
 def name_mentions(texts: DataFrame, people: DataFrame) -> DataFrame:
-    """(qid, person_id, name_length): people whose name or alias stands in the
-    text on word boundaries.
+    """(low, person_id, created_at, name_length): people whose name or alias stands in the
+    lower-case text on word boundaries.
 
     Text and names meet on their first one to three words as an equi-key, then a
     boundary test on the whole name decides. Names shared by several people are
-    reduced to one person before the join, so a common name does not multiply.
+    reduced to one person before the join, so a common name does not multiply, and
+    texts that repeat are read once. The joins are merge joins: names and texts both grow with
+    the archive, and files of repeated or encoded values look small enough to broadcast.
     """
     names = person_names(people).withColumn("name", F.lower("name"))
-    unique = _earliest(names, ["name"]).join(
-        names.groupBy("name").agg(F.min("created_at").alias("created_at")), "name")
+    unique = names.groupBy("name").agg(
+        F.min_by("person_id", F.struct("created_at", "person_id")).alias("person_id"), F.min("created_at").alias("created_at"))
     name_words = F.regexp_extract_all("name", F.lit(_WORDS), F.lit(0))
     keyed = (unique.withColumn("_w", name_words).where(F.size("_w") > 0)
              .select("name", "person_id", "created_at",
@@ -107,26 +109,29 @@ def name_mentions(texts: DataFrame, people: DataFrame) -> DataFrame:
             F.sequence(F.lit(1), F.least(F.lit(GRAM), F.size(w) - i + 1)),
             lambda n: F.array_join(F.slice(w, i, n), " ")))))
 
-    asked = (texts.select("qid", F.lower("question").alias("low"), text_words.alias("_w"))
+    asked = (texts.select(F.lower("question").alias("question")).distinct()
+             .select(F.col("question").alias("low"), text_words.alias("_w"))
              .where(F.size("_w") > 0)
-             .select("qid", "low", F.explode_outer(grams(F.col("_w"))).alias("gram")).where("gram IS NOT NULL"))
-    pairs = asked.join(keyed, "gram")
+             .select("low", F.explode_outer(grams(F.col("_w"))).alias("gram")).where("gram IS NOT NULL"))
+    pairs = asked.join(keyed.hint("merge"), "gram")
     bounded = F.regexp_like("low", F.concat(F.lit(r"(?U)\b\Q"), F.col("name"), F.lit(r"\E\b")))
     return (pairs.where(F.contains("low", F.col("name")) & bounded)
-            .select("qid", "person_id", "created_at", F.length("name").alias("name_length")))
+            .select("low", "person_id", "created_at", F.length("name").alias("name_length")))
 
 
 def person_in_question(texts: DataFrame, people: DataFrame) -> DataFrame:
     """(qid, person_id): the longest name mentioned; earliest person on a tie."""
-    best = F.struct((-F.col("name_length")).alias("l"), "created_at", "person_id")
-    return name_mentions(texts, people).groupBy("qid").agg(F.min_by("person_id", best).alias("person_id"))
+    best = (-F.col("name_length")).alias("l"), F.col("created_at")
+    found = name_mentions(texts, people).groupBy("low").agg(F.min(F.struct(*best, "person_id")).alias("best"))
+    asked = texts.select("qid", F.lower("question").alias("low")).join(found.hint("merge"), "low")
+    return asked.groupBy("qid").agg(F.min("best")["person_id"].alias("person_id"))
 
 
 def voice_mention_suggestions(recordings: DataFrame, people: DataFrame) -> DataFrame:
     """Suggestions for recordings whose transcript names somebody."""
     texts = recordings.select(F.col("id").alias("qid"), F.col("transcript").alias("question"))
     found = person_in_question(texts, people).withColumnRenamed("qid", "id")
-    rows = recordings.select("id", "filename").join(found, "id")
+    rows = recordings.select("id", "filename").join(found.hint("merge"), "id")
     return rows.select(
         F.concat(F.lit("sug-voice-"), "id", F.lit("-"), "person_id").alias("id"),
         F.col("person_id").alias("person_a_id"), F.lit(None).cast("string").alias("person_b_id"),
