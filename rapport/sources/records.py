@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import email
 import email.policy
 import email.utils
@@ -20,6 +21,7 @@ from rapport.functions.dates import parse_calendar_stamp
 from rapport.functions.media import basename, extension
 from rapport.functions.text import (clean_text, deterministic_id, html_title, html_to_text, norm_email,
                                     norm_phone, strip)
+from rapport.session import spread
 from rapport.sources.files import file_stem
 from rapport.sources.tabular import with_email_id
 
@@ -168,24 +170,74 @@ def _files_in(part) -> Iterator[tuple[str, int]]:
             yield from _files_in(inner)
 
 
+_ATOM = r"[A-Za-z0-9_+-]+(?:\.[A-Za-z0-9_+-]+)*"
+_ADDRESS = rf"{_ATOM}@{_ATOM}"
+_HEAD = re.compile(rb"((?:[A-Za-z][A-Za-z0-9-]*: ?[\x21-\x7e](?:[\x20-\x7e]*[\x21-\x7e])?\n)+)\n([\x20-\x7e\t\n]*)")
+_FROM = re.compile(rf"(?:[A-Za-z0-9]+(?: [A-Za-z0-9]+)* <({_ADDRESS})>|({_ADDRESS}))", re.ASCII)
+_TO = re.compile(rf"{_ADDRESS}(?:, {_ADDRESS})*", re.ASCII)
+_ENCODED = re.compile(r"=\?utf-8\?[bB]\?((?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?)\?=", re.ASCII)
+_DATE = re.compile(r"(?:[A-Z][a-z]{2}, )?[0-9]{1,2} [A-Z][a-z]{2} [0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2} [+-][0-9]{4}", re.ASCII)
+
+
+def _plain_email(content: bytes) -> tuple | None:
+    """From as written, its address, To, Subject, body and date of a plain message, None for any other.
+
+    Plain is an ASCII message of one part whose header lines are not folded, with simple addresses and a subject that is
+    plain or one encoded word. Read so, it gives what :func:`_read_email` gets from the library, in a twentieth of the time."""
+    parts = _HEAD.fullmatch(content)
+    if parts is None:
+        return None
+    held: dict[str, str] = {}
+    for line in parts[1].decode("ascii").splitlines():
+        name, _, value = line.partition(":")
+        name = name.lower()
+        if name in held or name.startswith(("content-", "mime-")):
+            return None
+        held[name] = value.removeprefix(" ")
+    sender, to, subject, date = (held.get(name, "") for name in ("from", "to", "subject", "date"))
+    named, encoded = _FROM.fullmatch(sender), _ENCODED.fullmatch(subject)
+    if (sender and named is None) or (to and _TO.fullmatch(to) is None) or (date and _DATE.fullmatch(date) is None):
+        return None
+    if encoded is not None:
+        try:
+            subject = base64.b64decode(encoded[1]).decode("utf-8")
+        except UnicodeDecodeError:
+            return None
+        if subject and not subject.isprintable():
+            return None
+    elif "=?" in subject:
+        return None
+    address = (named[1] or named[2]).lower() if named else ""
+    return sender, address, to.split(", ") if to else [], " ".join(subject.split()), parts[2].decode("ascii"), date
+
+
+def _instant(date: str):
+    """The moment of a date header in UTC, None when it is none."""
+    try:
+        sent = pd.Timestamp(email.utils.parsedate_to_datetime(date))
+        return sent.tz_convert("UTC").tz_localize(None) if sent.tzinfo else sent
+    except Exception:
+        return None
+
+
 def _read_email(path: str, content: bytes) -> tuple:
     """One message by the standard library's modern policy: it decodes headers, picks the
-    body and finds the attachments."""
+    body and finds the attachments. Plain messages need no such parser."""
+    plain = _plain_email(content)
+    if plain is not None:
+        *fields, date = plain
+        return (path, *fields, _instant(date), [], None)
     message = email.message_from_bytes(content, policy=email.policy.default)
     header = lambda name: " ".join(str(message.get(name, "")).split())
+    sender = header("From")
     body = message.get_body(("plain", "html"))
     text = _text_of(body) if body is not None else ""
     if body is not None and body.get_content_subtype() == "html":
         text = re.sub("<[^>]+>", " ", text)
     files = [dict(zip(("kind", "label", "size"), ("attachment", *file))) for file in _files_in(message)]
     to = [entry.strip() for field in message.get_all("To", []) for entry in re.split("[,;]", " ".join(str(field).split()))]
-    try:
-        sent = pd.Timestamp(email.utils.parsedate_to_datetime(str(message["Date"])))
-        sent = sent.tz_convert("UTC").tz_localize(None) if sent.tzinfo else sent
-    except Exception:
-        sent = None
-    return (path, header("From"), email.utils.parseaddr(header("From"))[1].lower(), [entry for entry in to if entry],
-            header("Subject"), text, sent, files, None)
+    return (path, sender, email.utils.parseaddr(sender)[1].lower(), [entry for entry in to if entry],
+            header("Subject"), text, _instant(str(message["Date"])), files, None)
 
 
 def parse_email_files(files: DataFrame) -> DataFrame:
@@ -213,6 +265,6 @@ def parse_email_files(files: DataFrame) -> DataFrame:
             frame["sent_at"] = pd.to_datetime(frame["sent_at"])
             yield frame
 
-    rows = single.unionByName(boxed).mapInPandas(parse, EMAIL_ROWS)
+    rows = spread(single.unionByName(boxed)).mapInPandas(parse, EMAIL_ROWS)
     rows = rows.withColumns({"sent_at": F.col("sent_at").cast("timestamp_ntz"), "body": clean_text(F.col("body"))})
     return with_email_id(rows).where("error is not null OR body != '' OR subject != '' OR size(attachments) > 0")
