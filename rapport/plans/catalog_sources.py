@@ -20,6 +20,7 @@ from rapport.functions.topics import is_noise_topic
 from rapport.operators import media_links as ML
 from rapport.operators import timeline as TL
 from rapport.plans import fixtures as X
+from rapport.session import spread
 from rapport.sinks import changes as W
 from rapport.sources import archive, chat_json, chat_text, files, records, tabular
 
@@ -478,10 +479,11 @@ SELECT p_partkey, 'img-' || p_partkey || '-wa.jpg' AS file_key, 'image' AS kind,
 def f13_attachments(spark, sf):
     name = F.concat(F.lit("IMG-"), F.col("p_partkey").cast("string"), F.lit("-WA.JPG"))
     body = F.concat(F.lit("‎"), name, F.lit(" (file attached)\n"), F.col("p_name"))
-    return X.table(spark, sf, "part").select(
-        "p_partkey", F.array_join(F.transform(C.attachments(body), lambda a: a["filename_key"]), ",").alias("file_key"),
-        F.element_at(C.attachments(body), 1)["kind"].alias("kind"), C.caption(body).alias("caption"),
-        ME.media_mime(name).alias("mime"))
+    rows = spread(X.table(spark, sf, "part")).select("p_partkey", name.alias("name"), body.alias("body"))
+    return rows.withColumn("found", C.attachments(F.col("body"))).select(
+        "p_partkey", F.array_join(F.transform("found", lambda a: a["filename_key"]), ",").alias("file_key"),
+        F.element_at("found", 1)["kind"].alias("kind"), C.caption(F.col("body")).alias("caption"),
+        ME.media_mime(F.col("name")).alias("mime"))
 
 
 @query("f17_noise_topics", """
