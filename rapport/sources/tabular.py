@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from rapport import constants as K
 from rapport.functions.dates import parse_any, parse_iso
 from rapport.functions.text import clean_text, deterministic_id, message_id, norm_email, norm_phone, slug
+from rapport.session import spread
 from rapport.sources.chat_json import LIST, get, is_object
 from rapport.sources.chat_text import no_attachments
 from rapport.sources.files import file_stem
@@ -101,7 +102,7 @@ def html_table_rows(files: DataFrame) -> DataFrame:
                     out = []
             yield _frame(out)
 
-    return files.select("path", "text").mapInPandas(parse, ROWS)
+    return spread(files.select("path", "text")).mapInPandas(parse, ROWS)
 
 
 def json_rows(files: DataFrame) -> DataFrame:
