@@ -459,15 +459,16 @@ def repoint(df: DataFrame, merges: DataFrame, column: str = "person_id") -> Data
 
 def repoint_array(df: DataFrame, merges: DataFrame, key: str, column: str) -> DataFrame:
     """The same for an array of person ids: members replaced one by one, distinct,
-    co-attendees kept. Only rows that hold a merged id are rebuilt."""
+    co-attendees kept. Only rows that hold a merged id are rebuilt.
+
+    Members travel once, to the merges; only those that change go on to their row, which
+    is rebuilt in place."""
     members = df.select(key, F.posexplode(column).alias("_pos", "old_id"))
-    touched = members.join(merges, "old_id", "left_semi").select(key).distinct()
-    rebuilt = (members.join(touched, key, "left_semi").join(merges, "old_id", "left")
-               .groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
-                   "_pos", F.coalesce("new_id", "old_id").alias("id")))).alias("_m"))
-               .select(key, F.array_distinct(F.transform("_m", lambda s: s["id"])).alias("_new")))
-    return (df.join(rebuilt, key, "left").withColumn("moved", F.col("_new").isNotNull())
-            .withColumn(column, F.coalesce("_new", column)).drop("_new"))
+    changes = members.join(merges.select("old_id", "new_id"), "old_id").groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("_pos", "new_id"))).alias("_new"))
+    renamed = F.array_distinct(F.transform(column, lambda m, i: F.coalesce(F.try_element_at("_new", i), m)))
+    return (df.join(changes, key, "left").withColumn("moved", F.col("_new").isNotNull())
+            .withColumn(column, F.when(F.col("moved"), renamed).otherwise(F.col(column))).drop("_new"))
 
 
 def remove_member(df: DataFrame, column: str, value: str) -> DataFrame:
