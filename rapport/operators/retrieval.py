@@ -31,6 +31,8 @@ QUESTION_BLOCK = 2048
 CORPUS_BLOCK = 8192
 # (question, term) rows up to this many are broadcast: about ten megabytes.
 BROADCAST_TERMS = 200_000
+# Tokens of the corpus behind one task of the scoring: a few thousand memories, whatever the questions match.
+TASK_TOKENS = 1_000_000
 
 
 # -- index ----------------------------------------------------------------------
@@ -107,18 +109,21 @@ def keyword_scores(questions: DataFrame, corpus: DataFrame, index: DataFrame | N
     Only postings of asked terms leave the scan. They are shuffled once, by
     memory, and every later step up to the per-memory sum keeps that
     partitioning when the question terms are small enough for Spark to
-    broadcast; corpus statistics stay global whatever the filters say.
+    broadcast; corpus statistics stay global whatever the filters say. The number of
+    partitions follows the corpus: a posting meets every question that asks for its term, so
+    partitions put together for their small size before that would grow without bound.
     """
     index = postings(corpus) if index is None else index
-    size = corpus_size(corpus) if size is None else size
     terms = question_terms(questions)
     # Few question terms (checked) are broadcast; more are joined as Spark sees fit.
     small = at_most(terms, BROADCAST_TERMS)
     ship = F.broadcast if small else (lambda df: df)
+    of_corpus = (corpus_size(corpus) if size is None else size).select("docs", "avg_len").first()
+    docs, avg_len = F.lit(of_corpus.docs), F.lit(of_corpus.avg_len).cast("double")
+    parts = max(int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                -(-int(of_corpus.docs * (of_corpus.avg_len or 0)) // TASK_TOKENS))
     # One exchange by memory feeds both the document frequencies and the scores.
-    asked = index.join(ship(terms.select("term").distinct()), "term", "left_semi").repartition("id")
-    docs = size.select("docs").scalar()
-    avg_len = size.select("avg_len").scalar()
+    asked = index.join(ship(terms.select("term").distinct()), "term", "left_semi").repartition(parts, "id")
     df = asked.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(F.lit(1.0) + (docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     weighted = terms.join(df, "term").select("qid", "term", idf.alias("idf"))
