@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rapport.functions.dates import ntz
+from rapport.functions.topics import extract_topics_desktop
 from rapport.operators import buckets as B
 from rapport.operators import ledger as L
 from rapport.operators import match as M
@@ -222,7 +223,7 @@ def a9_topics(spark, sf):
 
 @query("t4_topics_by_deltas", TOPIC_COUNTS.format(keep=f"{KEEP_TOPIC} AND {OWN_NAME}"))
 def t4_topics(spark, sf):
-    memories = X.memories(spark, sf)
+    memories = X.corpus(spark, sf).withColumn("topics", extract_topics_desktop(F.col("text")))
     topics = reduce(DataFrame.unionByName, [B.topic_buckets(part) for part in _imports(memories)])
     return B.topic_counts(topics, B.at_edges(memories, X.AS_OF), X.people(spark, sf), X.AS_OF).select(
         "person_id", "topic", "n", "active_n", "last_seen")
