@@ -241,7 +241,7 @@ they this to too up us was we were what when where which who whom why will with
 would you your
 """.split()
 
-STEM_SUFFIX = r"(ing|ed|es|s)$"
+STEM_SUFFIXES = ("ing", "ed", "es", "s")
 
 DESKTOP_STOPWORDS = """
 a an the and or but if then else for of to in on at by with from as is are was were be been being

@@ -14,8 +14,13 @@ _FILLER_PHRASES = sorted(set(K.TOPIC_STOPWORDS + K.TOPIC_CHAT_FILLER + K.TOPIC_S
 
 
 def stem(w: Column) -> Column:
-    """Crude suffix removal for words longer than five letters."""
-    return F.when(F.length(w) > 5, F.regexp_replace(w, K.STEM_SUFFIX, "")).otherwise(w)
+    """Crude suffix removal for words longer than five letters; the longest suffix goes.
+
+    By ends, not by a pattern: this runs for every word of every text."""
+    ends = F.when(F.length(w) <= 5, w)
+    for suffix in K.STEM_SUFFIXES:
+        ends = ends.when(w.endswith(suffix), F.substring(w, F.lit(1), F.length(w) - len(suffix)))
+    return ends.otherwise(w)
 
 
 def words(c: Column) -> Column:
