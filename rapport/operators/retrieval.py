@@ -103,7 +103,7 @@ def _filter_columns(questions: DataFrame, prefix: str = "q_") -> list[Column]:
 
 
 def keyword_scores(questions: DataFrame, corpus: DataFrame, index: DataFrame | None = None,
-                   size: DataFrame | None = None) -> DataFrame:
+                   size: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """(qid, id, score) for every memory sharing a term with the question.
 
     Only postings of asked terms leave the scan. They are shuffled once, by
@@ -112,6 +112,7 @@ def keyword_scores(questions: DataFrame, corpus: DataFrame, index: DataFrame | N
     broadcast; corpus statistics stay global whatever the filters say. The number of
     partitions follows the corpus: a posting meets every question that asks for its term, so
     partitions put together for their small size before that would grow without bound.
+    ``counts`` (term, df) saves counting the postings when an index has kept them.
     """
     index = postings(corpus) if index is None else index
     terms = question_terms(questions)
@@ -122,9 +123,9 @@ def keyword_scores(questions: DataFrame, corpus: DataFrame, index: DataFrame | N
     docs, avg_len = F.lit(of_corpus.docs), F.lit(of_corpus.avg_len).cast("double")
     parts = max(int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions")),
                 -(-int(of_corpus.docs * (of_corpus.avg_len or 0)) // TASK_TOKENS))
-    # One exchange by memory feeds both the document frequencies and the scores.
+    # One exchange by memory feeds the scores and, without ``counts``, the document frequencies.
     asked = index.join(ship(terms.select("term").distinct()), "term", "left_semi").repartition(parts, "id")
-    df = asked.groupBy("term").agg(F.count("*").alias("df"))
+    df = asked.groupBy("term").agg(F.count("*").alias("df")) if counts is None else counts
     idf = F.log(F.lit(1.0) + (docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     weighted = terms.join(df, "term").select("qid", "term", idf.alias("idf"))
     filters = questions.select("qid", *_filter_columns(questions))
@@ -139,9 +140,10 @@ def keyword_scores(questions: DataFrame, corpus: DataFrame, index: DataFrame | N
 
 
 def keyword_search(questions: DataFrame, corpus: DataFrame, k: int = 12,
-                   index: DataFrame | None = None, size: DataFrame | None = None) -> DataFrame:
+                   index: DataFrame | None = None, size: DataFrame | None = None,
+                   counts: DataFrame | None = None) -> DataFrame:
     """(qid, id, score, rank): the k best memories per question."""
-    scores = keyword_scores(questions, corpus, index, size)
+    scores = keyword_scores(questions, corpus, index, size, counts)
     rounded = scores.withColumn("score", F.round("score", 6))
     return top_per_group(rounded, ["qid"], [F.desc("score"), F.asc("id")], k).select(
         "qid", "id", "score", "rank")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from rapport.functions.topics import stem, words
 from rapport.operators import resolution as R
 from rapport.operators import retrieval as S
+from rapport.session import at_most
 
 #: Asked terms up to this many go to the scan as a list (some ten kilobytes); more are joined.
 LITERALS = 2_000
@@ -170,7 +171,7 @@ class TextIndex:
         terms = S.question_terms(questions).select("term").distinct()
         some = [r.term for r in terms.limit(LITERALS + 1).collect()]
         if len(some) > LITERALS:
-            return self.lists().join(terms, "term", "left_semi")
+            return self.lists().join(F.broadcast(terms) if at_most(terms, S.BROADCAST_TERMS) else terms, "term", "left_semi")
         if int(self.spark.conf.get("spark.sql.parquet.pushdown.inFilterThreshold")) < LITERALS:
             self.spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", str(LITERALS))
         return self.lists().where(F.col("term").isin(some))
@@ -187,7 +188,8 @@ class TextIndex:
         if {*S.FILTERS, "after"} & {*questions.columns}:
             docs = self.docs()
             index = index.join(docs if merges is None else R.repoint(docs, merges).drop("moved"), "id")
-        return S.keyword_search(questions, None, k, index=index, size=self.size())
+        counts = lists.groupBy("term").agg(F.sum("df").alias("df"))
+        return S.keyword_search(questions, None, k, index=index, size=self.size(), counts=counts)
 
 
 def indexed(spark: SparkSession, root: str, parts: list[DataFrame]) -> TextIndex:
