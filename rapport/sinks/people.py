@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from rapport.operators import buckets as B
 from rapport.operators import resolution as R
 from rapport.operators.ranking import first_per_group
-from rapport.session import cut_lineage
+from rapport.session import at_most, cut_lineage
 from rapport.sinks.tables import Archive, slot_of
 
 #: Columns with a person, and columns with a list of people, by table.
@@ -28,6 +28,8 @@ PERSON["suggestions"] = ["person_a_id", "person_b_id"]
 MEMBERS = {"calendar": "person_ids"}
 #: Sums kept per person: read through the labels like all tables, but nothing of its own that a merge moves.
 SUMS = ("activity", "topic_days")
+#: People whom a change touches up to this many are broadcast: some forty megabytes.
+BROADCAST_PEOPLE = 400_000
 
 
 def extend_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -50,18 +52,25 @@ def extend_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
 def moved_rows(tables: dict[str, DataFrame], changed: DataFrame) -> DataFrame:
     """(name, moved): rows of each table that a change of labels gives to somebody else.
 
-    Ids are counted in the columns as stored; a row with several people counts once.
+    Ids are counted in the columns as stored; a row with several people counts once. Rows are counted per person before
+    they meet the change; of rows with several people only those travel that it touches, once, when the people it touches
+    in a table are few enough (checked) to go to the rows.
     """
     ids = changed.select(F.col("id").alias("_person")).distinct()
 
     def count(name: str, rows: DataFrame) -> DataFrame:
         columns = PERSON.get(name, [])
         if len(columns) == 1:
-            hits = rows.select(F.col(columns[0]).alias("_person")).join(ids, "_person", "left_semi")
+            hits = rows.groupBy(F.col(columns[0]).alias("_person")).agg(F.count("*").alias("_rows")).join(ids, "_person", "left_semi")
+            moved = F.coalesce(F.sum("_rows"), F.lit(0))
         else:
             people = F.col(MEMBERS[name]) if name in MEMBERS else F.array(*columns)
-            hits = (rows.select("id", F.explode(people).alias("_person")).join(ids, "_person", "left_semi").select("id").distinct())
-        return hits.agg(F.count("*").alias("moved")).select(F.lit(name).alias("name"), "moved")
+            members = rows.select("id", F.explode(people).alias("_person"))
+            touched = cut_lineage(members.select("_person").distinct().join(ids, "_person", "left_semi"))
+            touched = F.broadcast(touched) if at_most(touched, BROADCAST_PEOPLE) else touched
+            hits = members.join(touched, "_person", "left_semi").select("id").distinct()
+            moved = F.count("*")
+        return hits.agg(moved.alias("moved")).select(F.lit(name).alias("name"), "moved")
 
     return reduce(DataFrame.unionByName, [count(name, rows) for name, rows in tables.items()])
 
