@@ -15,7 +15,12 @@ from rapport.functions.text import (clean_text, deterministic_id, duplicate_key,
                                     is_user_label, norm_email, norm_name, norm_phone)
 from rapport.operators.ledger import event_counts
 from rapport.operators.ranking import first_per_group, top_per_group
-from rapport.session import cut_lineage
+from rapport.session import at_most, cut_lineage
+
+#: Merges of up to this many people go to the rows that name them: some fifty megabytes.
+BROADCAST_MERGES = 400_000
+#: Lists of up to this many people are re-pointed where they lie, by one lookup a place.
+PLACES = 8
 
 
 def _earliest(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -461,14 +466,44 @@ def repoint_array(df: DataFrame, merges: DataFrame, key: str, column: str) -> Da
     """The same for an array of person ids: members replaced one by one, distinct,
     co-attendees kept. Only rows that hold a merged id are rebuilt.
 
-    Members travel once, to the merges; only those that change go on to their row, which
+    Merges of people whom no row names stay behind. When those left are few enough (checked), they go to
+    the rows, and lists of up to ``PLACES`` people are rebuilt without travelling; members of longer lists
+    go on to their row by ``key`` if they change. More merges than that meet the members by a shuffle."""
+    named = df.select(F.explode(column).alias("old_id"), F.size(column).alias("_size")).groupBy("old_id").agg(F.max("_size").alias("_size"))
+    touched = cut_lineage(merges.select("old_id", "new_id").join(named, "old_id"))
+    side = touched.drop("_size")
+    if not at_most(side, BROADCAST_MERGES):
+        return _repoint_members(df, side, key, column)
+    side = F.broadcast(side)
+    longest = touched.agg(F.coalesce(F.max("_size"), F.lit(1)))
+    places = min(PLACES, longest.first()[0])
+    # The longest list goes first: where it is short, no list is built for its size.
+    long = F.coalesce((longest.scalar() > PLACES) & (F.size(column) > PLACES), F.lit(False))
+    return _repoint_places(df.where(~long), side, column, places).unionByName(_repoint_members(df.where(long), side, key, column))
+
+
+def _repoint_places(df: DataFrame, merges: DataFrame, column: str, places: int) -> DataFrame:
+    """One lookup for each of the first ``places`` members."""
+    out = df
+    for i in range(places):
+        side = merges.select(F.col("old_id").alias(f"_old{i}"), F.col("new_id").alias(f"_new{i}"))
+        out = out.join(side, F.get(column, F.lit(i)) == F.col(f"_old{i}"), "left")
+    found = [F.col(f"_new{i}") for i in range(places)]
+    members = F.array(*[F.coalesce(n, F.get(column, F.lit(i))) for i, n in enumerate(found)])
+    renamed = F.array_distinct(F.slice(members, 1, F.size(column)))
+    return (out.withColumn("moved", F.coalesce(*found).isNotNull())
+            .withColumn(column, F.when(F.col("moved"), renamed).otherwise(F.col(column))).select(*df.columns, "moved"))
+
+
+def _repoint_members(df: DataFrame, merges: DataFrame, key: str, column: str) -> DataFrame:
+    """Members travel once, to the merges; only those that change go on to their row, which
     is rebuilt in place."""
     members = df.select(key, F.posexplode(column).alias("_pos", "old_id"))
-    changes = members.join(merges.select("old_id", "new_id"), "old_id").groupBy(key).agg(
+    changes = members.join(merges, "old_id").groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.struct("_pos", "new_id"))).alias("_new"))
     renamed = F.array_distinct(F.transform(column, lambda m, i: F.coalesce(F.try_element_at("_new", i), m)))
     return (df.join(changes, key, "left").withColumn("moved", F.col("_new").isNotNull())
-            .withColumn(column, F.when(F.col("moved"), renamed).otherwise(F.col(column))).drop("_new"))
+            .withColumn(column, F.when(F.col("moved"), renamed).otherwise(F.col(column))).select(*df.columns, "moved"))
 
 
 def remove_member(df: DataFrame, column: str, value: str) -> DataFrame:

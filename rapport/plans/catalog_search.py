@@ -18,7 +18,7 @@ from rapport.operators import retrieval as S
 from rapport.operators import timeline as TL
 from rapport.operators.profiles import topic_counts
 from rapport.plans import fixtures as X
-from rapport.session import ensure_checkpoint_dir
+from rapport.session import cut_lineage, ensure_checkpoint_dir
 from rapport.sinks import people as PL
 from rapport.sinks import segments as SG
 
@@ -697,7 +697,7 @@ SELECT name, id, CASE WHEN {IS_MERGED.format('person_id')} THEN {MERGED.format('
 UNION ALL SELECT DISTINCT 'calendar', id, CASE WHEN {IS_MERGED.format('person_id')} THEN {MERGED.format('person_id')} ELSE person_id END FROM v_bridge""")
 def x7_tables(spark, sf):
     """Every record with the person it belongs to after both merges; meetings give a row per attendee."""
-    merges = _labels(spark, sf).select(F.col("id").alias("old_id"), F.col("person_id").alias("new_id"))
+    merges = cut_lineage(_labels(spark, sf).select(F.col("id").alias("old_id"), F.col("person_id").alias("new_id")))
     out = PL.repointed("calendar", X.calendar(spark, sf), merges).select(
         F.lit("calendar").alias("name"), "id", F.explode("person_ids").alias("person_id"))
     for name in ("events", "emails", "notes", "voice"):
